@@ -27,7 +27,6 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 #: Chunks remembered by a worker in each of two generations. Longer ones aren't kept.
 REMEMBER, LONGEST = 300_000, 48
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-ENCODED = "doc_id bigint, ids array<int>, decoded string"
 
 
 class Pieces:
@@ -186,38 +185,24 @@ def pieces(model: str) -> Pieces:
     return _loaded[model]
 
 
-def digests(documents: DataFrame, model: str) -> DataFrame:
-    """Per document: all ids counted, and the digests of the ids and of the text decoded from them."""
+def encoded(documents: DataFrame, model: str, ids_too: bool = True) -> DataFrame:
+    """Per document: all ids counted, the digests of the ids and of the text decoded from them, and the ids."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         p = pieces(model)
         begin, end = (np.array([i], "<u4").tobytes() for i in (p.begin, p.end))
-        for batch in batches:
-            out = []
-            for doc, text in rows(batch, "doc_id", "text"):
-                ids = begin + p.encode(text or "") + end
-                decoded = p.decode(np.frombuffer(ids, "<u4").tolist())
-                out.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, RESULT)
-
-
-def encode(documents: DataFrame, model: str) -> DataFrame:
-    """Per document: the ids, begin and end included, and the text decoded from them."""
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        p = pieces(model)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + ids_too]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids_too]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 out = []
                 for doc, text in rows(batch.slice(at, SLICE), "doc_id", "text"):
-                    ids = [p.begin, *np.frombuffer(p.encode(text or ""), "<u4").tolist(), p.end]
-                    out.append((doc, ids, p.decode(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.int32()), pa.string()))], ["doc_id", "ids", "decoded"])
+                    ids = begin + p.encode(text or "") + end
+                    numbers = np.frombuffer(ids, "<u4")
+                    decoded = p.decode(numbers.tolist())
+                    out.append((doc, len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), numbers.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, ENCODED)
+    return documents.select("doc_id", "text").mapInArrow(run, RESULT + ", ids array<int>" * ids_too)

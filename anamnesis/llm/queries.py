@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, pieces, pii, simhash
+from . import mixing, pieces, pii, quality, simhash
 
 
-def _model() -> str:
+def piece_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -18,8 +18,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(table(spark, sf_dir, "documents"), _model())
+    return pieces.encoded(table(spark, sf_dir, "documents"), piece_model(), ids_too=False)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_sentencepiece, op8_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_quality, op4_sentencepiece, op8_simhash, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
