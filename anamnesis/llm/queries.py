@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, pieces, pii, quality, simhash
+from . import mixing, pieces, pii, quality, simhash, warc
 
 
 def piece_model() -> str:
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_quality, op4_sentencepiece, op8_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op8_simhash, op10_mixing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        q as (select page_id, strlen(html) as n, sha1(html) as d from p),
+        g as (select d, max(page_id) as top from q where n >= 1000 group by d having count(*) > 1)
+        select page_id, n::bigint as payload_bytes, q.d as payload_digest,
+            case when top is not null and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+            case when top is not null and page_id is distinct from top then top end as refers_to
+        from q left join g on q.d = g.d and n >= 1000
+    """,
+}
