@@ -1,21 +1,19 @@
-"""Opening files from tasks, by local path or by any address that pyarrow's file systems know."""
+"""Files of shared folders from tasks: local ones, or any store that pyarrow's file systems know."""
 
 from __future__ import annotations
 
 from urllib.parse import unquote, urlparse
 
+from pyarrow import fs
 
-def local(path: str) -> str | None:
-    """The local path of a file: address or plain path; None for other stores."""
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address or plain path, and the path in it."""
     url = urlparse(path)
-    return unquote(url.path) if url.scheme in ("", "file") else None
+    return (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(path)
 
 
 def opened(path: str):
     """A seekable binary file."""
-    if (here := local(path)) is not None:
-        return open(here, "rb")
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inner)
+    system, inner = store(path)
+    return system.open_input_file(inner)
