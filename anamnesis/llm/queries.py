@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import media, mixing, pieces, pii, quality, simhash, warc
+from . import media, mixing, pieces, pii, quality, rules, simhash, warc
 
 
 def piece_model() -> str:
@@ -30,6 +30,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), piece_model(), ids_too=False)
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op6_media, op8_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op5_rules, op6_media, op8_simhash, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_warc": """
