@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import media, mixing, pieces, pii, quality, rules, simhash, warc
+from . import lines, lm, media, mixing, pieces, pii, quality, rules, simhash, warc
 
 
 def piece_model() -> str:
@@ -38,15 +38,23 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op5_rules, op6_media, op8_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op5_rules, op6_media, op7_lm, op8_simhash, op9_lines, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_warc": """

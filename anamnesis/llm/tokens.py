@@ -43,3 +43,15 @@ def word_hashes(text: bytes) -> np.ndarray:
 def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of each pair."""
     return mixed(a * MIX + b)
+
+
+def lowered(text: str | None, size: int = 1 << 22):
+    """The bytes of a text with A to Z in lower case, in pieces of about a size that end between words."""
+    data = (text or "").encode("utf-8", "replace").lower()
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while end < len(data) and not SPACE[data[end]]:
+            end += 1
+        yield data[at:end]
+        at = end
