@@ -153,3 +153,34 @@ def corpus_profile(messages: DataFrame) -> DataFrame:
     words = F.size(T.blank_tokens(F.col("content")))
     each = messages.groupBy("user_id").agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("messages"), F.sum(words).alias("words"))
     return each.agg(F.count("*").alias("users"), F.round(F.avg("sessions"), 6).alias("mean_sessions"), F.min("sessions").alias("min_sessions"), F.max("sessions").alias("max_sessions"), F.sum("messages").alias("messages"), F.sum("words").alias("words"))
+
+
+def units_per_user(units: DataFrame) -> DataFrame:
+    return units.groupBy("user_id").agg(F.count("*").alias("units"))
+
+
+def entity_stats(postings: DataFrame, least: int = 2) -> DataFrame:
+    """Per user: entities that are frequent enough, and all."""
+    each = postings.groupBy("user_id", "entity").agg(F.count("*").alias("df"))
+    return each.groupBy("user_id").agg(F.count_if(F.col("df") >= least).alias("active"), F.count("*").alias("raw"))
+
+
+def answer_mix(judged: DataFrame) -> DataFrame:
+    """Per category: its share of all rows, and the shares of its answers with a time and with a number."""
+    df = judged.groupBy("category").agg(F.count("*").alias("n"), F.count_if(T.has(F.col("answer"), fixed.TIME_ANSWER)).alias("timed"), F.count_if(F.col("answer").rlike(r"\d")).alias("numbered"))
+    df = df.withColumn("whole", F.sum("n").over(Window.partitionBy()))
+    share = lambda a, b: F.round(F.col(a) / F.col(b), 6)
+    return df.select("category", "n", share("n", "whole").alias("share"), share("timed", "n").alias("timed"), share("numbered", "n").alias("numbered"))
+
+
+def evidence_spread(evidence: DataFrame) -> DataFrame:
+    """Questions whose evidence lies in several sessions, and pieces of evidence a question. evidence: (id, session)."""
+    each = evidence.groupBy("id").agg(F.count_distinct("session").alias("sessions"), F.count("*").alias("pieces"))
+    return each.agg(F.count("*").alias("questions"), F.count_if(F.col("sessions") > 1).alias("across"), F.round(F.avg("pieces"), 6).alias("mean_pieces"), F.max("pieces").alias("most_pieces"))
+
+
+def message_lengths(messages: DataFrame) -> DataFrame:
+    """Mean, median and 95th percentile (by rank) of the characters of messages."""
+    sized = messages.select(F.length("content").alias("n"))
+    means = sized.agg(F.round(F.avg("n"), 6).alias("mean_chars"), F.median("n").alias("median_chars"), F.lit(1).alias("k"))
+    return means.join(nearest_rank(sized, "n", {"p95": 0.95}, ceil=False).withColumn("k", F.lit(1)), "k").drop("k")

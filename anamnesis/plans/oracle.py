@@ -209,4 +209,16 @@ ORACLE_SQL = {
     "rubric_parse": "select doc_id, case when doc_id % 4 = 0 then 1.0::double end as first, case when doc_id % 4 = 0 then 0.5::double end as second from labels",
     "sanitize": "select n_nationkey, n_name || 'a b c d  e f g ->-> 12,3 ' as clean, n_name || 'a b c d  e f g' as cut from nation",
 }
+ORACLE_SQL |= {
+    "units_per_user": f"with {MESSAGES} select user_id, count(*) as units from m group by 1",
+    "entity_stats": f"with {FACTS}, e as (select user_id, word, count(*) as df from (select distinct user_id, seq, unnest(case o_orderkey % 4 when 3 then ['acme logistics'] else [] end) as word from f) group by 1, 2) select user_id, count_if(df >= 2)::bigint as active, count(*) as raw from e group by 1",
+    "answer_mix": f"""with {JUDGED} select category, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share, round(count_if(regexp_matches(answer, '{fixed.TIME_ANSWER}', 'i')) / count(*), 6) as timed,
+        round(count_if(regexp_matches(answer, '[0-9]')) / count(*), 6) as numbered from j group by 1""",
+    "evidence_spread": """with e as (select user_id, count(distinct event_type) as s, count(*) as p from events group by 1)
+        select count(*) as questions, count_if(s > 1)::bigint as across, round(avg(p), 6) as mean_pieces, max(p) as most_pieces from e""",
+    "message_lengths": f"with {MESSAGES}, k as (select length(content) as n, row_number() over (order by length(content)) - 1 as r, count(*) over () as c from m) select round(avg(n), 6) as mean_chars, median(n) as median_chars, max(n) filter (r = floor(c * 0.95)::bigint) as p95 from k",
+    "contexts": f"""with {MESSAGES}, {INDEX_TEXT}, {QUESTIONS}, {index('mi')}, {scores()}, x as (select query_id, user_id, seq, row_number() over (partition by query_id order by round(score, 9) desc, seq) as pos from b where score > 0 qualify pos <= 10),
+        g as (select query_id, string_agg('[memory mem-' || seq || '] [mem-' || seq || ' | ' || role || ' | ' || {day('ts')} || '] ' || content, chr(10) || chr(10) order by pos) as context from x join m using (user_id, seq) group by 1)
+        select query_id, length(context)::int as chars, md5(context) as digest from g""",
+}
 ORACLE_SQL["stream_ingest"] = ORACLE_SQL["ingest_dedup"]

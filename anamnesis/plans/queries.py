@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cards, evaluation, ingest, retrieval, updates
+from ..operators import cards, evaluation, ingest, prep, retrieval, updates
 from ..session import table
 from ..sources import bindings
 from ..streaming import ingest as stream
@@ -356,3 +356,36 @@ def stream_ingest(spark, sf):
     source = spark.readStream.schema("user_id string, request_id string, arrival bigint, content string").parquet(f"{at}/in")
     stream.run(source, f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").select("user_id", "request_id", "arrival", "content", "seq")
+
+
+@query
+def units_per_user(spark, sf):
+    return evaluation.units_per_user(bindings.messages(spark, sf))
+
+
+@query
+def entity_stats(spark, sf):
+    return evaluation.entity_stats(retrieval.entity_postings(bindings.facts(spark, sf)))
+
+
+@query
+def answer_mix(spark, sf):
+    return evaluation.answer_mix(bindings.judged(spark, sf))
+
+
+@query
+def evidence_spread(spark, sf):
+    return evaluation.evidence_spread(table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("session")))
+
+
+@query
+def message_lengths(spark, sf):
+    return evaluation.message_lengths(bindings.messages(spark, sf))
+
+
+@query
+def contexts(spark, sf):
+    _, index = memory_index(spark, sf)
+    picked = retrieval.bm25_top(bindings.questions(spark, sf), index, 10).withColumnRenamed("rank", "pos")
+    shown = retrieval.rendered(picked, bindings.messages(spark, sf))
+    return prep.context_text(shown).select("query_id", F.length("context").alias("chars"), F.md5(F.col("context").cast("binary")).alias("digest"))

@@ -94,3 +94,19 @@ def test_stream_equals_batch(spark, tmp_path):
     want = ingest.assign_seq(ingest.first_requests(spark.createDataFrame(rows, schema)), ["arrival"], F.lit(0))
     assert got.select("user_id", "request_id").distinct().count() == got.count() == want.count()
     assert sorted((r.user_id, r.seq) for r in got.collect()) == sorted((r.user_id, r.seq) for r in want.collect())
+
+
+def test_timeline_and_traits(spark):
+    from anamnesis.operators import cards
+
+    m = facts(spark, ["The walnut table came.", "Nothing of note here.", "A walnut chair " + "x" * 400 + " end"]).withColumn("ts", F.col("ts") + F.col("seq") * 20 * 86400000)
+    q = spark.createDataFrame([(1, "u", "How many days between the walnut things?"), (2, "u", "Tell me about walnut"), (3, "u", "How long ago was the walnut bought?")], "query_id int, user_id string, query string")
+    picked = q.join(m, "user_id").select("query_id", "user_id", "seq", F.col("seq").alias("pos"))
+    got = {r.query_id: r.content for r in cards.timeline(q, picked, m).collect()}
+    assert set(got) == {1, 3}
+    lines = got[1].split("\n")
+    assert lines[0].startswith("[TIMELINE") and lines[1] == "(1) [08 May 2023] The walnut table came." and lines[2] == "(2) [17 Jun 2023] (+40d) A walnut chair..."
+    assert "[40d (~5w) before latest] The walnut" in got[3] and got[3].endswith("[ANCHOR | latest activity date in memory: 17 Jun 2023]")
+    traits = spark.createDataFrame([("u", 1, "[X] "), ("u", 2, "[LIKES] tea"), ("u", 3, "[likes] TEA"), ("u", 4, "[HABIT] runs")], "user_id string, pos int, line string")
+    asked = spark.createDataFrame([(1, "u", "Plan a day"), (2, "u", "Which doctor?")], "query_id int, user_id string, query string")
+    assert {r.query_id: r.content.split("\n")[1:] for r in cards.persona(asked, traits).collect()} == {1: ["- [LIKES] tea", "- [HABIT] runs"]}
