@@ -23,7 +23,7 @@ GOLDEN = (5**0.5 - 1) / 2
 #: Slots of a schedule, about; a document is split among blocks, so this sets only how fine the mix is.
 SLOTS = 1 << 16
 #: Documents of one part of a source's axis, about, and slots of one part of the schedule.
-PART = 1 << 14
+PART = 1 << 11
 
 
 def words(text: Column) -> Column:

@@ -16,14 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows
 from .tokens import mixed, pairs, word_hashes
 
 #: Bits of the feature hash; vector length; labelled documents of a class that may be learned from.
-BUCKET_BITS, DIMENSIONS, SAMPLE = 18, 8, 2500
+BUCKET_BITS, DIMENSIONS, SAMPLE = 18, 8, 1500
 #: Character n-grams.
 GRAMS = (3, 4)
 EPOCHS, RATE, BATCH = 12, 0.5, 16
@@ -94,8 +94,9 @@ def usable(labels: DataFrame, label: str, teach) -> DataFrame:
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, teach, each: int) -> DataFrame:
     """(text, label): at most each documents of either label, the first by a hash of their id."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
-    ids = usable(labels, label, teach).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).drop("_n")
+    known = usable(labels, label, teach)
+    first = [known.where(F.col(label) == c).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(each) for c in (0, 1)]
+    ids = first[0].unionByName(first[1])
     # At most 2 * each ids of 12 bytes.
     return documents.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", label)
 

@@ -88,7 +88,9 @@ def groups(prints: DataFrame, bits: int = BITS) -> DataFrame:
     if bits > BITS:
         raise ValueError(f"these segments find at most {BITS} differing bits")
     kinds = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-kinds")
-    keyed = kinds.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
+    # Each row becomes many: dealt out first, as few tasks would read so small a table.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = kinds.repartition(tasks).select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     members = materialize(keyed.join(materialize(keys, "simhash-keys"), "key"), "simhash-members")
     fp, low, high = F.col("fp"), F.col("low"), F.col("high")

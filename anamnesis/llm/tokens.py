@@ -6,8 +6,8 @@ import numpy as np
 
 #: Odd multipliers of the rolling hashes.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: The token that ends a text.
-END = np.uint64(0x5851F42D4C957F2D)
+#: Stands for a text's end among its words: a byte that UTF-8 doesn't have.
+END_WORD = b"\xff"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.ones(1, np.uint64)
@@ -45,9 +45,13 @@ def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * MIX + b)
 
 
-def lowered(text: str | None, size: int = 1 << 22):
-    """The bytes of a text with A to Z in lower case, in pieces of about a size that end between words."""
-    data = (text or "").encode("utf-8", "replace").lower()
+def lowered(text: str | None) -> bytes:
+    """The bytes of a text with A to Z in lower case."""
+    return (text or "").encode("utf-8", "replace").lower()
+
+
+def cut(data: bytes, size: int = 1 << 22):
+    """Pieces of about a size that end between words."""
     at = 0
     while at < len(data):
         end = min(at + size, len(data))
@@ -55,3 +59,7 @@ def lowered(text: str | None, size: int = 1 << 22):
             end += 1
         yield data[at:end]
         at = end
+
+
+#: The hash of the end token.
+END = word_hashes(END_WORD)[0]

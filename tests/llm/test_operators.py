@@ -153,9 +153,8 @@ def test_lm_counts_never_fall_short(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     model = lm.train(docs, 1000, 100)
     true = Counter()
-    for _, text in rows:
-        for one, two in lm.ngrams(text):
-            true.update(one.tolist() + two.tolist())
+    for one, two, _ in lm.ngrams(text for _, text in rows):
+        true.update(one.tolist() + two.tolist())
     keys = np.array(list(true), np.uint64)
     got, least = model.counts(keys), lm.COUNT[1 + np.floor(np.log2(np.array(list(true.values())))).astype(int)]
     assert (got >= least).all() and (got > least).mean() < 0.1
