@@ -6,8 +6,10 @@ is missing gives the level back: never too low, and too high with the filter's e
 probability of a word after another is its pair's count, smoothed with the word's own.
 
 Counting: tasks pack the n-grams they met by hash range, and one group a range adds these up and
-fills the filter's block for that range. The driver joins the blocks and broadcasts them, MOST_BITS
-at most. N-grams are known by 32 bits of hash within their range.
+fills the filter's block for that range. The filter grows with what is counted. Up to MOST_BITS the
+driver joins the blocks and broadcasts them. A larger filter stays where it is: each slice of texts
+sends its distinct n-grams to the shards of their ranges, and gets their levels back by a shuffle.
+Either way gives the same scores. N-grams are known by 32 bits of hash within their range.
 
 The base score has exact counts. The most frequent words, a bounded number, are broadcast; the rest
 are counted and looked up by a join.
@@ -35,8 +37,10 @@ from .tokens import END, END_WORD, MIX, STEP, cut, lowered, mixed, pairs, word_h
 
 #: Words broadcast with their counts, and bytes of the longest.
 HEAD, LONGEST = 100_000, 64
-#: Bits of the filter an entry, and at most (64 MB); bits set for each entry.
+#: Bits of the filter an entry, and of the largest filter that is broadcast (64 MB); bits set for each entry.
 BITS, MOST_BITS, PROBES = 8, 1 << 29, 3
+#: Bits of a shard, about, of a filter that isn't broadcast, and a number above that of all shards.
+SHARD_BITS, SHARDS = 1 << 24, 1 << 20
 #: N-grams or words that a task adds up before it hands them on.
 FLUSH = 3_000_000
 #: Characters of the texts that are scored together.
@@ -164,22 +168,27 @@ def filled(counts: DataFrame, block: int) -> DataFrame:
 
 
 class Model:
-    """The filter, and the sizes that smoothing needs."""
+    """The filter, or its blocks from a range on, and the sizes that smoothing needs."""
 
-    def __init__(self, bits: np.ndarray, range_bits: int, block: int, tokens: int, kinds: int):
-        self.bits, self.range_bits, self.block, self.tokens, self.kinds = bits, range_bits, block, tokens, kinds
+    def __init__(self, bits: np.ndarray, range_bits: int, block: int, tokens: int, kinds: int, first: int = 0):
+        self.bits, self.range_bits, self.block, self.tokens, self.kinds, self.first = bits, range_bits, block, tokens, kinds, first
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The counts of n-grams by repeated probes: level after level, while all bits are set."""
-        where, keys = ranged(h, self.range_bits)
-        where = where * self.block
-        level, left = np.zeros(len(h), np.int64), np.arange(len(h))
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The levels of n-grams by repeated probes: level after level, while all bits are set."""
+        return self.levels_at(*ranged(h, self.range_bits))
+
+    def levels_at(self, where: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        where = (where - self.first) * self.block
+        level, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for q in range(1, LEVELS + 1):
             left = left[self.present(keys[left], where[left], q)]
             if not len(left):
                 break
             level[left] = q
-        return COUNT[level]
+        return level
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return COUNT[self.levels(h)]
 
     def present(self, keys: np.ndarray, where: np.ndarray, q: int) -> np.ndarray:
         ok = np.ones(len(keys), bool)
@@ -188,36 +197,147 @@ class Model:
             ok &= ((self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
         return ok
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log10 of each text's probability, end token included. All texts' n-grams are probed together, each kind once."""
-        words, two, last = map(np.concatenate, zip(*ngrams(texts)))
-        ends = np.flatnonzero(last)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        own, both = self.counts_of(words), self.counts_of(two)
-        context = np.concatenate([[0.0], own[:-1]])
-        context[starts] = self.counts(mixed(np.array([END])))[0]
-        both = np.minimum(both, np.maximum(own, 1))
-        alone = (own + 0.1) / (self.tokens + 0.1 * (self.kinds + 1))
-        return np.add.reduceat(np.log10((both + PRIOR * alone) / (np.maximum(context, both) + PRIOR)), starts)
-
     def counts_of(self, h: np.ndarray) -> np.ndarray:
         kinds, place = np.unique(h, return_inverse=True)
         return self.counts(kinds)[place]
 
+    def scored(self, batches) -> Iterator[tuple[list[tuple], np.ndarray]]:
+        """Groups of (doc_id, text) with their scores."""
+        for batch in batches:
+            for group in grouped(rows(batch, "doc_id", "text")):
+                yield group, likelihoods(*gathered(group), self.counts_of, self.tokens, self.kinds)
 
-def train(documents: DataFrame, tokens: int, kinds: int) -> Model:
-    """The model of the documents' n-grams; tokens and kinds are the counts of all and of distinct tokens."""
+
+class Slices:
+    """Scores from levels that were probed elsewhere; reads what probed() gives."""
+
+    def __init__(self, tokens: int, kinds: int):
+        self.tokens, self.kinds = tokens, kinds
+
+    def scored(self, batches) -> Iterator[tuple[list[tuple], np.ndarray]]:
+        at, levels, group = None, [], []
+        for batch in batches:
+            for part, place, doc, text, data in rows(batch, "part", "place", "doc_id", "text", "data"):
+                if part != at:
+                    if group:
+                        yield group, self.scores(group, levels)
+                    at, levels, group = part, [], []
+                if place < 0:
+                    levels.append(data)
+                else:
+                    group.append((doc, text))
+        if group:
+            yield group, self.scores(group, levels)
+
+    def scores(self, group: list[tuple], levels: list[bytes]) -> np.ndarray:
+        # Levels came by shard, that is by hash.
+        words, two, last = gathered(group)
+        kinds, counts = distinct(words, two), COUNT[np.frombuffer(b"".join(levels), np.uint8)]
+        return likelihoods(words, two, last, lambda h: counts[np.searchsorted(kinds, h)], self.tokens, self.kinds)
+
+
+def gathered(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of all texts of a group together."""
+    words, two, last = map(np.concatenate, zip(*ngrams(text for _, text in group)))
+    return words, two, last
+
+
+def distinct(words: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """What a group's scores need the counts of, in order of hash."""
+    return np.unique(np.concatenate([words, two, mixed(np.array([END]))]))
+
+
+def likelihoods(words: np.ndarray, two: np.ndarray, last: np.ndarray, counts, tokens: int, kinds: int) -> np.ndarray:
+    """log10 of each text's probability, end token included; counts gives the counts of hashes."""
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    own, both = counts(words), counts(two)
+    context = np.concatenate([[0.0], own[:-1]])
+    context[starts] = counts(mixed(np.array([END])))[0]
+    both = np.minimum(both, np.maximum(own, 1))
+    alone = (own + 0.1) / (tokens + 0.1 * (kinds + 1))
+    return np.add.reduceat(np.log10((both + PRIOR * alone) / (np.maximum(context, both) + PRIOR)), starts)
+
+
+def sized(documents: DataFrame) -> tuple[DataFrame, int, int]:
+    """The n-grams' levels by range, the bits of a range's number, and the bits of a range's block."""
     spark = documents.sparkSession
     # As many ranges as there are shuffle partitions four times over: a cluster sets these by its input.
     range_bits = max(6, min(16, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     counts = materialize(ngram_counts(documents, range_bits), "lm-ngrams")
     entries = counts.agg(F.sum("entries")).first()[0] or 0
-    bits = min(MOST_BITS, max(1 << 16, 1 << math.ceil(math.log2(BITS * entries + 1))))
-    block = max(8, bits >> range_bits)
-    joined = np.zeros(block << range_bits >> 3, np.uint8)
+    bits = max(1 << 16, 1 << math.ceil(math.log2(BITS * entries + 1)))
+    return counts, range_bits, max(8, bits >> range_bits)
+
+
+def joined(counts: DataFrame, range_bits: int, block: int, tokens: int, kinds: int) -> Model:
+    """The whole filter in one process."""
+    bits = np.zeros(block << range_bits >> 3, np.uint8)
     for r in filled(counts, block).toLocalIterator():
-        joined[r.range * block >> 3 : (r.range + 1) * block >> 3] = np.frombuffer(r.bits, np.uint8)
-    return Model(joined, range_bits, block, tokens, kinds)
+        bits[r.range * block >> 3 : (r.range + 1) * block >> 3] = np.frombuffer(r.bits, np.uint8)
+    return Model(bits, range_bits, block, tokens, kinds)
+
+
+def train(documents: DataFrame, tokens: int, kinds: int) -> Model:
+    """The model of the documents' n-grams; tokens and kinds are the counts of all and of distinct tokens."""
+    return joined(*sized(documents), tokens, kinds)
+
+
+def probed(documents: DataFrame, counts: DataFrame, range_bits: int, block: int) -> DataFrame:
+    """(part, place, doc_id, text, data): slices of the texts, each after the levels of its n-grams, by shard.
+
+    No process holds more of the filter than a shard.
+    """
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of a shard, as a power of two.
+    wide = min(range_bits, max(0, math.ceil(math.log2(SHARD_BITS / block))))
+    schema = "shard int, part bigint, place bigint, doc_id bigint, text string, data binary"
+
+    def cut_up(batches) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 33
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        for batch in batches:
+            for group in grouped(rows(batch, "doc_id", "text")):
+                h = distinct(*gathered(group)[:2])
+                where, keys = ranged(h, range_bits)
+                shards, starts = np.unique(where >> wide, return_index=True)
+                each = zip(shards.tolist(), np.split(where, starts[1:]), np.split(keys, starts[1:]))
+                # How many keys each range of the shard has, and the keys.
+                out = [(s, part, s - SHARDS, None, None, np.concatenate([np.bincount(w - (s << wide), minlength=1 << wide), k.astype(np.int64)]).astype("<u4").tobytes()) for s, w, k in each]
+                out += [(None, part, i, doc, text, None) for i, (doc, text) in enumerate(group)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [c.split()[0] for c in schema.split(", ")])
+                part += 1
+
+    def probe(batches) -> Iterator:
+        import pyarrow as pa
+
+        at, model = None, None
+        for batch in batches:
+            out = []
+            for shard, part, where, data in rows(batch, "shard", "part", "range", "data"):
+                if shard != at:
+                    at, model = shard, Model(np.zeros(block << wide >> 3, np.uint8), range_bits, block, 0, 0, shard << wide)
+                if part < 0:
+                    start = (where - model.first) * block >> 3
+                    model.bits[start : start + (block >> 3)] = np.frombuffer(data, np.uint8)
+                else:
+                    packed = np.frombuffer(data, "<u4")
+                    where = model.first + np.repeat(np.arange(1 << wide), packed[: 1 << wide])
+                    out.append((part, shard - SHARDS, model.levels_at(where, packed[1 << wide :].astype(np.uint64)).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "place", "data"])
+
+    slices = materialize(documents.select("doc_id", "text").mapInArrow(cut_up, schema), "lm-slices")
+    asked = slices.where("place < 0").select("shard", "part", F.lit(None).cast("int").alias("range"), "data")
+    blocks = filled(counts, block).select(F.shiftright("range", wide).alias("shard"), F.lit(-1).cast("bigint").alias("part"), "range", F.col("bits").alias("data"))
+    # Within a shard the blocks of the filter come first.
+    met = blocks.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "part")
+    levels = met.mapInArrow(probe, "part bigint, place bigint, data binary")
+    texts = slices.where("place >= 0").select("part", "place", "doc_id", "text")
+    return texts.unionByName(levels, allowMissingColumns=True).repartition(tasks, "part").sortWithinPartitions("part", "place")
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -229,7 +349,12 @@ def score(documents: DataFrame) -> DataFrame:
     n = n or 0
     under = n + 0.1 * (kinds + 1)
     head = {bytes(r.word): r.c for r in counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HEAD).collect()}
-    shared = spark.sparkContext.broadcast((train(learned, n, kinds), {w: math.log10((c + 0.1) / under) for w, c in head.items()}))
+    levels, range_bits, block = sized(learned)
+    if block << range_bits <= MOST_BITS:
+        model, texts = joined(levels, range_bits, block, n, kinds), documents.select("doc_id", "text")
+    else:
+        model, texts = Slices(n, kinds), probed(documents, levels, range_bits, block)
+    shared = spark.sparkContext.broadcast((model, {w: math.log10((c + 0.1) / under) for w, c in head.items()}))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -238,24 +363,23 @@ def score(documents: DataFrame) -> DataFrame:
         model, known = shared.value
         row = TaskContext.get().partitionId() << 33
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        for batch in batches:
-            for group in grouped(rows(batch, "doc_id", "text")):
-                out = []
-                for (doc, text), value in zip(group, model.scores([text for _, text in group])):
-                    seen = Counter({b"": 1})
-                    seen.update(lowered(text).split())
-                    rest, total, have = [], 0.0, 0
-                    for w, k in seen.items():
-                        if (v := known.get(w)) is None:
-                            rest.append(w)
-                        else:
-                            total += k * v
-                            have += k
-                    out.append((row, doc, seen.total(), have, total, float(value), rest, [seen[w] for w in rest]))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "doc_id", "n_tokens", "have", "total", "score", "words", "times"])
-
-    parts = materialize(documents.select("doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, have bigint, total double, score double, words array<binary>, times array<bigint>"), "lm-parts")
+        for group, values in model.scored(batches):
+            out = []
+            for (doc, text), value in zip(group, values):
+                seen = Counter({b"": 1})
+                seen.update(lowered(text).split())
+                rest, total, have = [], 0.0, 0
+                for w, k in seen.items():
+                    if (v := known.get(w)) is None:
+                        rest.append(w)
+                    else:
+                        total += k * v
+                        have += k
+                out.append((row, doc, seen.total(), have, total, float(value), rest, [seen[w] for w in rest]))
+                row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "doc_id", "n_tokens", "have", "total", "score", "words", "times"])
+
+    parts = materialize(texts.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, have bigint, total double, score double, words array<binary>, times array<bigint>"), "lm-parts")
     rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     found = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(under))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("also"))

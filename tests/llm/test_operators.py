@@ -160,6 +160,19 @@ def test_lm_counts_never_fall_short(spark):
     assert (got >= least).all() and (got > least).mean() < 0.1
 
 
+def test_lm_scores_alike_beyond_the_broadcast(spark, documents, monkeypatch):
+    random.seed(4)
+    more = [(1000 + i, " ".join(random.choices(["a", "b", "cc", "ddd", f"x{i}", f"y{i % 7}"], k=60))) for i in range(300)]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    got = []
+    for most, shard in ((lm.MOST_BITS, lm.SHARD_BITS), (1 << 10, 1 << 12), (1 << 10, 1 << 30)):
+        monkeypatch.setattr(lm, "MOST_BITS", most)
+        monkeypatch.setattr(lm, "SHARD_BITS", shard)
+        monkeypatch.setattr(lm, "TOGETHER", 5000)
+        got.append(Counter((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs).collect()))
+    assert got[0] == got[1] == got[2] and got[0].total() == 315
+
+
 def test_simhash(documents, rows):
     found = simhash.near_duplicates(documents).collect()
     prints = [(r[0], brute.fingerprint(r[1])) for r in rows]
