@@ -2,9 +2,11 @@
 
 Units are normalised (letters and digits in lower case, one space between words) and hashed; digests
 are grouped over all documents, and the occurrence that is earliest by doc_id, then by place, stays.
-A run of neighbouring units that all occur earlier is removed if it has at least LEAST words, so
-that short phrases that many texts share by chance aren't torn out. Offsets are those of the
-original text, in code points, ends exclusive.
+Whole lines, from line feed to line feed, that equal an earlier whole line are removed whatever their
+length. Within lines that differ, a run of neighbouring units that all occur earlier is removed if
+it has at least LEAST words, so that short phrases that many texts share by chance aren't torn out.
+Lines are compared with lines and units with units. Offsets are those of the original text, in code
+points, ends exclusive.
 
 Passages are copied into the middle of lines, which is why lines alone would not do.
 
@@ -16,23 +18,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, rows
 
-#: Words that a run must have to be removed.
+#: Words that a run within a line must have to be removed.
 LEAST = 20
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)")
 WORD = re.compile(r"[^\W_]+")
-PARTS = "row bigint, doc_id bigint, same bigint, digests array<bigint>, starts array<int>, ends array<int>, words array<int>"
+#: lines: of each unit, the place of its line's digest among digests. Those of the lines come after those of the units.
+PARTS = "row bigint, doc_id bigint, same bigint, digests array<bigint>, starts array<int>, ends array<int>, words array<int>, lines array<int>"
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(digest, start, end, words) of each unit that has words: up to a line feed, or to a stop before white space."""
+def digested(words: list[str], line: bool = False) -> int:
     from xxhash import xxh3_64_intdigest
 
+    digest = xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace"), int(line))
+    return digest - (digest >> 63 << 64)
+
+
+def worded(text: str) -> Iterator[tuple[list[str], int, int]]:
     start = 0
     for m in UNIT.finditer(text):
         end = m.end()
@@ -41,11 +49,31 @@ def units(text: str) -> Iterator[tuple[int, int, int, int]]:
             continue
         words = WORD.findall(text[start:end].lower())
         if words:
-            digest = xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace"))
-            yield digest - (digest >> 63 << 64), start, end, len(words)
+            yield words, start, end
         start = end
 
 
+def units(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(digest, start, end, words) of each unit that has words: up to a line feed, or to a stop before white space."""
+    for words, start, end in worded(text):
+        yield digested(words), start, end, len(words)
+
+
+def placed(text: str) -> tuple[list[int], ...]:
+    """digests, starts, ends, words and lines of a text, as in PARTS."""
+    found = list(worded(text))
+    lines, of, at = [], [], 0
+    for words, start, _ in found:
+        # A unit has no line feed but at its end.
+        if not lines or "\n" in text[at:start]:
+            lines.append([])
+        lines[-1] += words
+        of.append(len(found) + len(lines) - 1)
+        at = start
+    digests = [digested(w) for w, _, _ in found] + [digested(w, line=True) for w in lines]
+    return digests, [s for _, s, _ in found], [e for _, _, e in found], [len(w) for w, _, _ in found], of
+
+
 def split(documents: DataFrame) -> DataFrame:
     """A row a document with its units; row tells rows apart once this is written."""
 
@@ -54,12 +82,12 @@ def split(documents: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 3
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 4
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 out = []
                 for doc, text, same in rows(batch.slice(at, 512), "doc_id", "text", "same"):
-                    out.append((row, doc, same, *(zip(*found) if (found := list(units(text or ""))) else [()] * 4)))
+                    out.append((row, doc, same, *placed(text or "")))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in PARTS.split(", ")])
 
@@ -67,13 +95,25 @@ def split(documents: DataFrame) -> DataFrame:
 
 
 def later(parts: DataFrame) -> DataFrame:
-    """(row, at): the units whose digest occurs earlier."""
+    """(row, ats): the places of the digests that occur earlier."""
     each = parts.select("row", "doc_id", F.posexplode("digests").alias("at", "digest"))
     firsts = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("n > 1").select("digest", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
     met = parts.select("row", F.posexplode("digests").alias("at", "digest")).join(materialize(firsts, "lines-firsts"), "digest")
     return met.where((F.col("row") != F.col("first_row")) | (F.col("at") != F.col("first_at"))).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("ats"))
 
 
+def dropped(words: list[int], lines: list[int], again: set[int], least: int) -> Iterator[tuple[int, int]]:
+    """The first and the last of neighbouring units that go: those of repeated lines, and of repeated runs of at least so many words."""
+    for repeated, run in groupby(range(len(words)), lambda i: i in again or lines[i] in again):
+        if repeated:
+            run = list(run)
+            long = sum(words[i] for i in run) >= least
+            for gone, part in groupby(run, lambda i: long or lines[i] in again):
+                if gone:
+                    part = list(part)
+                    yield part[0], part[-1]
+
+
 def removed(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, same, spans): what to remove of each text that loses something, an array of (start, end) in order."""
 
@@ -83,13 +123,8 @@ def removed(documents: DataFrame, least: int = LEAST) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64()]
         for batch in batches:
             out = []
-            for row, doc, same, starts, ends, words, ats in rows(batch, "row", "doc_id", "same", "starts", "ends", "words", "ats"):
-                spans, first = [], 0
-                for i in range(len(ats)):
-                    if i + 1 == len(ats) or ats[i + 1] != ats[i] + 1:
-                        if sum(words[ats[first] : ats[i] + 1]) >= least:
-                            spans.append({"start": starts[ats[first]], "end": ends[ats[i]]})
-                        first = i + 1
+            for row, doc, same, starts, ends, words, lines, ats in rows(batch, "row", "doc_id", "same", "starts", "ends", "words", "lines", "ats"):
+                spans = [{"start": starts[i], "end": ends[j]} for i, j in dropped(words, lines, set(ats), least)]
                 if spans:
                     out.append((doc, same, spans, row))
             if out:
@@ -97,7 +132,7 @@ def removed(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
     parts = materialize(split(documents), "lines-parts")
     runs = parts.drop("digests").join(later(parts), "row").mapInArrow(run, "doc_id bigint, same bigint, spans array<struct<start:int,end:int>>, row bigint")
-    # Rows alike in id and text: each but the first loses all it has, so they are told apart by their number.
+    # Rows alike in id and text lose differently, the first perhaps nothing; they are told apart by their number.
     return runs.groupBy("doc_id", "same").agg(F.sort_array(F.collect_list(F.struct("row", "spans"))).alias("each"))
 
 
@@ -107,11 +142,11 @@ def dedup(documents: DataFrame, least: int = LEAST) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int>>")
     keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("same"))
     met = keyed.join(gone, keyed.doc_id.eqNullSafe(F.col("_doc")) & (keyed.same == F.col("_same")), "left")
-    # Rows alike in id and text get the removals of their copies in turn; a row alone needs no ordering.
-    alone = met.where(F.coalesce(F.size("each"), F.lit(0)) < 2).withColumn("n", F.lit(0))
+    # Rows alike in id and text get the removals of their copies in turn, and those beyond these stay whole.
+    whole = met.where("each is null").withColumn("n", F.lit(0))
     same = Window.partitionBy("doc_id", "same").orderBy("same")
-    copies = met.where(F.size("each") > 1).withColumn("n", F.row_number().over(same) - 1)
-    return finished(alone.unionByName(copies).withColumn("spans", F.coalesce(F.get("each", F.col("n"))["spans"], none)))
+    less = met.where("each is not null").withColumn("n", F.row_number().over(same) - 1)
+    return finished(whole.unionByName(less).withColumn("spans", F.coalesce(F.get("each", F.col("n"))["spans"], none)))
 
 
 def finished(df: DataFrame) -> DataFrame:

@@ -216,6 +216,13 @@ def test_lines(documents, rows):
             assert r.text == text
 
 
+def test_short_lines_and_copies(spark):
+    apart = "One sentence here that no other text has, with rather more than twenty words in it so that a run would go too, and more."
+    rows = [(1, "Licence two\nfirst text. Yes.\n"), (2, "second text\n  licence, TWO!\nYes. But third\nYes.\n"), (3, "Yes.\nlicence two"), (4, apart), (4, apart)]
+    found = sorted((r.doc_id, r.text, r.n_removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert found == [(1, rows[0][1], 0), (2, "second text\n\nYes. But third\nYes.\n", 1), (3, "", 1), (4, "", 1), (4, apart, 0)]
+
+
 def test_mixing(documents, rows):
     found = mixing.mix(documents).collect()
     assert len(found) == len(rows)
