@@ -4,7 +4,8 @@ Each source's documents are shuffled by hash and laid end to end on an axis of w
 into blocks of equal words.  Slot i of the schedule takes the point frac((i + 1) * golden ratio),
 and the source in whose share of [0, 1) it falls; the r-th slot of a source takes its block r, and
 starts again at its first block when all are used.  Any run of slots holds every source close to
-its share, whatever its length.
+its share, whatever its length.  A small source has smaller blocks and so more slots a word, that
+its target isn't lost between two blocks.
 
 Nulls: a null source is a source of its own, the last; a null text has no words; a null doc_id is
 an id.  Rows that are equal in id, source and text stand side by side on the axis and are told
@@ -20,8 +21,9 @@ from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = (5**0.5 - 1) / 2
-#: Slots of a schedule, about; a document is split among blocks, so this sets only how fine the mix is.
-SLOTS = 1 << 16
+#: Slots of a schedule, about, without those that small sources have besides: a source's target is
+#: at least FINE blocks, or as many as it has words. A document is split among blocks.
+SLOTS, FINE = 1 << 16, 1 << 10
 #: Documents of one part of a source's axis, about, and slots of one part of the schedule.
 PART = 1 << 11
 
@@ -68,19 +70,19 @@ def running(df: DataFrame, by: str, order: list, value: str, out: str) -> DataFr
     return inside.join(parts, [by, "part"]).withColumn(out, F.col("_inside") + F.col("_base")).drop("_inside", "_base", "part")
 
 
-def schedule(spark, goals: list[float], block: int) -> DataFrame:
+def schedule(spark, shares: list[float]) -> DataFrame:
     """(slot, src, rank): the slots, the number of the source of each, and its rank among that source's slots.
 
-    goals: the targets of the sources by number.
+    shares: about how many slots each source has, by number.
     """
-    total, edges, at = sum(goals), [], 0.0
-    for g in goals:
-        at += g / total
+    total, edges, at = sum(shares), [], 0.0
+    for n in shares:
+        at += n / total
         edges.append(at)
     edges[-1] = 2.0
     point = (F.col("id") + 1) * F.lit(GOLDEN)
     source = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= point - F.floor(point)))
-    slots = spark.range(max(1, round(total / block))).select(F.col("id").alias("slot"), source.alias("src"), F.floor(F.col("id") / PART).alias("part"), F.lit(1).alias("one"))
+    slots = spark.range(max(1, round(total))).select(F.col("id").alias("slot"), source.alias("src"), F.floor(F.col("id") / PART).alias("part"), F.lit(1).alias("one"))
     return running(slots, "src", ["slot"], "one", "rank").drop("one")
 
 
@@ -99,9 +101,10 @@ def mix(documents: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1
     of = {r.source: r for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
     goals = targets([(s, r.words) for s, r in of.items()], weights, share, most)
     total = sum(g[3] for g in goals)
-    block = max(1, round(total / slots))
-    plan = [(s, i, n, float(g), -(-of[s].n // PART), -(-n // block)) for i, (s, n, _, g) in enumerate(goals)]
-    plan = F.broadcast(spark.createDataFrame(plan, "_source string, src int, source_size bigint, target double, parts bigint, blocks bigint"))
+    # The words of a block of each source.
+    widths = [max(1, min(round(total / slots), round(g / FINE))) for *_, g in goals]
+    plan = [(s, i, n, float(g), -(-of[s].n // PART), w, -(-n // w)) for i, ((s, n, _, g), w) in enumerate(zip(goals, widths))]
+    plan = F.broadcast(spark.createDataFrame(plan, "_source string, src int, source_size bigint, target double, parts bigint, width bigint, blocks bigint"))
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     none = F.lit(0).cast("bigint")
     columns = ["doc_id", "size", "source_size", "target", "taken", "copies", "source", "key"]
@@ -111,10 +114,11 @@ def mix(documents: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1
     # A part is a range of keys, so that parts follow each other in the shuffled order.
     part = F.least(F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * F.col("parts")), F.col("parts") - 1)
     axis = running(placed.where("size > 0").withColumn("part", part), "src", ["key", "doc_id"], "size", "start")
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    width = F.col("width")
+    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width)
     pieces = axis.withColumn("first", first).withColumn("block", F.explode(F.sequence("first", last)))
-    takes = schedule(spark, [g[3] for g in goals], block).join(plan.select("src", "blocks"), "src").groupBy("src", F.pmod("rank", "blocks").alias("block")).agg(F.least(F.count("*"), F.lit(int(most))).alias("times"))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    takes = schedule(spark, [g[3] / w for g, w in zip(goals, widths)]).join(plan.select("src", "blocks"), "src").groupBy("src", F.pmod("rank", "blocks").alias("block")).agg(F.least(F.count("*"), F.lit(int(most))).alias("times"))
+    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * width) - F.greatest(F.col("start"), F.col("block") * width)
     times = F.coalesce("times", none)
     # A place on the axis is one document's.
     took = pieces.join(takes, ["src", "block"], "left").groupBy("src", "start", "doc_id", "size", "source", "key", "source_size", "target").agg(F.sum(inside * times).alias("taken"), F.max(F.when(F.col("block") == F.col("first"), times)).alias("copies"))

@@ -239,6 +239,15 @@ def test_mixing(documents, rows):
     assert out.columns == documents.columns and max(Counter((r.doc_id, r.source) for r in out.collect() if r.doc_id != 6).values()) <= 2
 
 
+def test_mixing_takes_small_sources(spark):
+    rows = [(i, "w " * 100, "big") for i in range(3000)] + [(5000 + i, "w " * n, s) for s, n in (("c", 3), ("d", 40), ("e", 700)) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for slots in (1 << 8, 1 << 6):
+        found = mixing.mix(docs, slots=slots).groupBy("source", "target").sum("taken").collect()
+        assert len(found) == 4 and all(abs(r["sum(taken)"] - r.target) <= 0.02 * r.target + 2 for r in found if r.source != "big")
+    assert {r.source for r in mixing.mixed(docs, slots=1 << 6).collect()} == {"big", "c", "d", "e"}
+
+
 def test_targets():
     got = mixing.targets([("b", 100), (None, 50), ("a", 10)])
     assert [g[0] for g in got] == ["a", "b", None] and got[0][3] == 20.0
