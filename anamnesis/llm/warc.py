@@ -26,7 +26,7 @@ from .files import opened
 
 MAGIC, BREAK = b"WARC/1.0\r\n", b"\r\n\r\n"
 LEAST = 1000
-#: Bytes of a task's range, and of the longest header that is taken for one.
+#: Bytes of a task's range, and those first read for a header; a longer header is read on to its end.
 RANGE, HEADER = 8 << 20, 64 << 10
 #: Revisits, at 60 bytes each, that are joined by broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
@@ -68,19 +68,29 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     df.withColumn("block", block).select(record.alias("record")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """The fields of the header at a place of data, in lower case, and where its block starts there; None if it's none."""
-    if not data.startswith(MAGIC, at):
-        return None
-    end = data.find(BREAK, at, at + HEADER)
-    if end < 0:
+def reach(f, data: bytes, at: int) -> tuple[bytes, int]:
+    """data, read on from f in growing steps until a header's end follows a place of it, and that end; -1 if the file has none."""
+    step = HEADER
+    while (end := data.find(BREAK, at)) < 0 and (more := f.read(step)):
+        at = max(at, len(data) - len(BREAK) + 1)
+        data += more
+        step *= 2
+    return data, end
+
+
+def header(data: bytes, at: int, end: int) -> tuple[dict[str, str], int] | None:
+    """The fields of the header between two places of data, in lower case, and where its block starts there; None if it's none."""
+    if end < 0 or not data.startswith(MAGIC, at):
         return None
-    fields = {}
-    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
-        key, colon, value = line.partition(b":")
+    fields, at = {}, at + len(MAGIC)
+    while at <= end:
+        stop = data.find(b"\r\n", at, end)
+        stop = end if stop < 0 else stop
+        key, colon, value = data[at:stop].partition(b":")
         if not colon:
             return None
         fields[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        at = stop + len(b"\r\n")
     return (fields, end + len(BREAK)) if fields.get("content-length", "").isdecimal() else None
 
 
@@ -103,11 +113,15 @@ def candidates(batches) -> Iterator:
             with opened(r["path"]) as f:
                 f.seek(r["start"])
                 data = f.read(r["end"] - r["start"] + HEADER)
-            follow, at = {}, data.find(MAGIC)
-            while 0 <= at < r["end"] - r["start"]:
-                if found := header(data, at):
-                    follow[at] = found[1] + int(found[0]["content-length"]) + len(BREAK)
-                at = data.find(MAGIC, at + 1)
+                follow, at = {}, data.find(MAGIC)
+                data, end = reach(f, data, at) if at >= 0 else (data, -1)
+                while 0 <= at < r["end"] - r["start"]:
+                    # All places before a header's end have the same.
+                    if 0 <= end < at:
+                        data, end = reach(f, data, at)
+                    if found := header(data, at, end):
+                        follow[at] = found[1] + int(found[0]["content-length"]) + len(BREAK)
+                    at = data.find(MAGIC, at + 1)
             leaves: dict[int, int] = {}
             for at in sorted(follow, reverse=True):
                 leaves[at] = leaves.get(follow[at], follow[at])
@@ -148,7 +162,8 @@ def records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                     at, out, held = r["at"], [], 0
                     while at < r["end"]:
                         f.seek(at)
-                        head = header(f.read(HEADER), 0)
+                        data, end = reach(f, f.read(HEADER), 0)
+                        head = header(data, 0, end)
                         n = int(head[0]["content-length"])
                         if at + head[1] + n > r["length"]:
                             break

@@ -47,5 +47,17 @@ def test_small_ranges_and_magic_in_payloads(spark):
         assert kept == sorted(x[2] for x in expected(rows) if x[3] == "response")
 
 
+def test_long_headers(spark):
+    long = "data:" + "x" * 150_000
+    rows = [(1, long, "first", None), (2, "http://a/2", "y" * 30_000, None), (3, long + "3", "WARC/1.0\r\n" * 20, None), (4, long + "4", "", None), (5, "http://a/5", "last", None)]
+    path = shared_dir(spark, "warc-long")
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    at = {r.at for r in warc.records(spark, path).collect()}
+    # Ranges that start at a record with a long header, and some within which it starts.
+    for size in (warc.RANGE, sorted(at)[2], 40_000):
+        found = warc.records(spark, path, size).collect()
+        assert sorted((r.uri, bytes(r.payload).decode()) for r in found) == sorted((r[1], r[2]) for r in rows)
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
