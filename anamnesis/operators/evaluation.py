@@ -11,9 +11,15 @@ from ..functions import text as T
 
 def evidence_recall(gold: Column, context: Column) -> Column:
     """(recall, n): the share of gold's content words, repeats included, that the context has; 1 where gold has none."""
-    words, there = T.content_words(gold), F.array_distinct(T.content_words(context))
-    hit = F.size(F.filter(words, lambda w: F.array_contains(there, w)))
-    return F.struct(F.when(F.size(words) > 0, hit / F.size(words)).otherwise(1.0).alias("recall"), F.size(words).alias("n"))
+    # Both word lists are bound as lambda variables: else they would be cut again for each word.
+    both = F.array(F.struct(T.content_words(gold).alias("words"), F.array_distinct(T.content_words(context)).alias("there")))
+
+    def of(x: Column) -> Column:
+        n = F.size(x["words"])
+        hit = F.size(F.filter(x["words"], lambda w: F.array_contains(x["there"], w)))
+        return F.struct(F.when(n > 0, hit / n).otherwise(1.0).alias("recall"), n.alias("n"))
+
+    return F.transform(both, of)[0]
 
 
 def recall_by(rows: DataFrame, *by: str) -> DataFrame:

@@ -18,7 +18,7 @@ FACTS = """f as (select 'u' || (o_custkey % 5) as user_id, 's' || o_custkey as s
         when 'HOUSEHOLD' then 'kitchen linen voucher' else 'turbine lathe warranty' end as noun from orders join customer on o_custkey = c_custkey))"""
 
 QUESTIONS = """q as (select item_id as query_id, 'u' || (item_id % 5) as user_id,
-    array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 12), ' ') as query from benchmark)"""
+    array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') as query from benchmark)"""
 
 VECTORS = """v as (select 'u' || (doc_id % 5) as user_id, (doc_id // 20)::varchar as session_id,
     row_number() over (partition by doc_id % 5 order by doc_id) - 1 as seq, text as content, embedding
@@ -104,7 +104,7 @@ PAIRS = """an as (select *, row_number() over (partition by user_id order by seq
         from f left join (select user_id, noun, arg_max(content, pos) as content, arg_max(ts, pos) as ts from ce group by 1, 2) l using (user_id, noun)
         left join best using (user_id, seq) where o_orderkey % 4 = 1)"""
 JUDGED = """j as (select doc_id as id, lang as category, quality = 1 as is_correct, case when quality = 1 then 1.0 when toxic = 0 then 0.5 else 0.0 end as llm_judge_score,
-    source as conversation, left(text, 200) as answer from labels join documents using (doc_id))"""
+    source as conversation, text as answer from labels join documents using (doc_id))"""
 STOP = ", ".join(f"'{w}'" for w in fixed.CONTENT_STOP)
 
 
@@ -112,7 +112,7 @@ def content(text: str) -> str:
     return f"list_filter(list_transform(list_filter({words(text, fixed.CONTENT_WORD)}, lambda w: length(w) > 3), lambda w: lower(w)), lambda w: not list_contains([{STOP}], w))"
 
 
-RECALL = f"""rr as (select d.lang as category, (quality = 1)::int::double as score, {content('b.text')} as g, {content('d.text')} as c from documents d join labels using (doc_id) join benchmark b on d.doc_id % 40 = item_id),
+RECALL = f"""rr as (select d.lang as category, (quality = 1)::int::double as score, {content('b.text')} as g, {content('d.text')} as c from documents d join labels using (doc_id) join benchmark b on d.doc_id % (select count(*) from benchmark) = item_id),
     re as (select category, score, len(list_filter(g, lambda w: list_contains(c, w))) / len(g) as recall from rr where len(g) > 0)"""
 
 RESOLVED = f"""case when content like '%today%' then ' [Resolved relative dates: today = ' || {day('ts')} || ']'
@@ -190,7 +190,7 @@ ORACLE_SQL = {
     "variant_delta": f"""with {JUDGED}, e as (select category as dataset, avg(llm_judge_score::double) filter (id % 2 = 0) as a, avg(llm_judge_score::double) filter (id % 2 = 1) as b from j group by 1)
         select dataset, round(a, 6) as baseline, round(b, 6) as variant, round(b - a, 6) as delta from e where a is not null and b is not null""",
     "event_ordering": """with s as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as a, row_number() over (partition by user_id order by value, event_id) as b, count(*) over (partition by user_id) as c from events),
-        u as (select user_id, least(c, 8) as k, case when a <= 8 then a end as a, case when b <= 8 then b end as b from s where a <= 8 or b <= 8),
+        u as (select user_id, c as k, a, b from s),
         z as (select user_id, k, count(*) over (partition by user_id) + 1 as tie, a, b from u), y as (select user_id, k, coalesce(a, tie) as a, coalesce(b, tie) as b from z),
         h as (select user_id, any_value(k)::double as k, count_if(a is not null and b is not null)::double as tp from z group by 1),
         pairs as (select l.user_id, sign(l.a - r.a) as x, sign(l.b - r.b) as w from y l join y r on l.user_id = r.user_id and (l.a, l.b) < (r.a, r.b)),

@@ -49,9 +49,9 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, user_id, query): the first twelve tokens of the benchmark texts."""
+    """(query_id, user_id, query): the tokens of the whole benchmark texts."""
     q = table(spark, sf, "benchmark")
-    return q.select(F.col("item_id").alias("query_id"), F.concat(F.lit("u"), F.col("item_id") % 5).alias("user_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 12), " ").alias("query"))
+    return q.select(F.col("item_id").alias("query_id"), F.concat(F.lit("u"), F.col("item_id") % 5).alias("user_id"), F.array_join(T.tokens(F.col("text")), " ").alias("query"))
 
 
 def vector_units(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,4 +76,4 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     """(id, category, is_correct, llm_judge_score, conversation) of the labelled documents."""
     d, l = table(spark, sf, "documents"), table(spark, sf, "labels")  # noqa: E741
     score = F.when(F.col("quality") == 1, 1.0).when(F.col("toxic") == 0, 0.5).otherwise(0.0)
-    return l.join(d, "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), (F.col("quality") == 1).alias("is_correct"), score.alias("llm_judge_score"), F.col("source").alias("conversation"), F.substring("text", 1, 200).alias("answer"))
+    return l.join(d, "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), (F.col("quality") == 1).alias("is_correct"), score.alias("llm_judge_score"), F.col("source").alias("conversation"), F.col("text").alias("answer"))
