@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,15 +17,22 @@ SLICE = 256
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the setting is absent (tests), one is chosen and set, so that later calls agree.
+    Where the setting is absent, a local session (tests) gets a temporary folder; a cluster fails, as
+    its machines share no folder that could be guessed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="anamnesis-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = local_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="anamnesis-")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
