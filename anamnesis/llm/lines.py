@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 from itertools import groupby
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, rows
@@ -30,7 +30,7 @@ LEAST = 20
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)")
 WORD = re.compile(r"[^\W_]+")
 #: lines: of each unit, the place of its line's digest among digests. Those of the lines come after those of the units.
-PARTS = "row bigint, doc_id bigint, same bigint, digests array<bigint>, starts array<int>, ends array<int>, words array<int>, lines array<int>"
+PARTS = "row bigint, doc_id bigint, text string, digests array<bigint>, starts array<int>, ends array<int>, words array<int>, lines array<int>"
 
 
 def digested(words: list[str], line: bool = False) -> int:
@@ -75,23 +75,23 @@ def placed(text: str) -> tuple[list[int], ...]:
 
 
 def split(documents: DataFrame) -> DataFrame:
-    """A row a document with its units; row tells rows apart once this is written."""
+    """A row a document with its text and units; row tells rows apart once this is written."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 4
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 4
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 out = []
-                for doc, text, same in rows(batch.slice(at, 512), "doc_id", "text", "same"):
-                    out.append((row, doc, same, *placed(text or "")))
+                for doc, text in rows(batch.slice(at, 512), "doc_id", "text"):
+                    out.append((row, doc, text, *placed(text or "")))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in PARTS.split(", ")])
 
-    return documents.select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(run, PARTS)
+    return documents.select("doc_id", "text").mapInArrow(run, PARTS)
 
 
 def later(parts: DataFrame) -> DataFrame:
@@ -114,39 +114,35 @@ def dropped(words: list[int], lines: list[int], again: set[int], least: int) ->
                     yield part[0], part[-1]
 
 
-def removed(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, same, spans): what to remove of each text that loses something, an array of (start, end) in order."""
+def removed(parts: DataFrame, least: int = LEAST) -> DataFrame:
+    """(row, spans): what to remove of each text that loses something, an array of (start, end) in order."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64()]
+        kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
         for batch in batches:
             out = []
-            for row, doc, same, starts, ends, words, lines, ats in rows(batch, "row", "doc_id", "same", "starts", "ends", "words", "lines", "ats"):
+            for row, starts, ends, words, lines, ats in rows(batch, "row", "starts", "ends", "words", "lines", "ats"):
                 spans = [{"start": starts[i], "end": ends[j]} for i, j in dropped(words, lines, set(ats), least)]
                 if spans:
-                    out.append((doc, same, spans, row))
+                    out.append((row, spans))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "same", "spans", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["row", "spans"])
 
-    parts = materialize(split(documents), "lines-parts")
-    runs = parts.drop("digests").join(later(parts), "row").mapInArrow(run, "doc_id bigint, same bigint, spans array<struct<start:int,end:int>>, row bigint")
-    # Rows alike in id and text lose differently, the first perhaps nothing; they are told apart by their number.
-    return runs.groupBy("doc_id", "same").agg(F.sort_array(F.collect_list(F.struct("row", "spans"))).alias("each"))
+    return parts.drop("digests", "text", "doc_id").join(later(parts), "row").mapInArrow(run, "row bigint, spans array<struct<start:int,end:int>>")
 
 
 def dedup(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per document: doc_id, n_removed, chars_removed, removed (array of (start, end)) and the text that stays."""
-    gone = materialize(removed(documents, least).select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), "each"), "lines-removed")
+    """Per document: doc_id, n_removed, chars_removed, removed (array of (start, end)) and the text that stays.
+
+    Rows are told apart by their number throughout, those alike in id and text too.
+    """
+    parts = materialize(split(documents), "lines-parts")
+    gone = materialize(removed(parts, least), "lines-removed")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("same"))
-    met = keyed.join(gone, keyed.doc_id.eqNullSafe(F.col("_doc")) & (keyed.same == F.col("_same")), "left")
-    # Rows alike in id and text get the removals of their copies in turn, and those beyond these stay whole.
-    whole = met.where("each is null").withColumn("n", F.lit(0))
-    same = Window.partitionBy("doc_id", "same").orderBy("same")
-    less = met.where("each is not null").withColumn("n", F.row_number().over(same) - 1)
-    return finished(whole.unionByName(less).withColumn("spans", F.coalesce(F.get("each", F.col("n"))["spans"], none)))
+    met = parts.select("row", "doc_id", "text").join(gone, "row", "left")
+    return finished(met.withColumn("spans", F.coalesce("spans", none)))
 
 
 def finished(df: DataFrame) -> DataFrame:
