@@ -7,7 +7,8 @@ bounded sample of labelled documents. As the output is linear in the mean, a fea
 the output weights is one number; scoring looks these up and averages them, which is the same.
 
 Nulls: a null text is empty. A text without features scores as the sample's share of the class. A null doc_id
-is in no fold and is scored. Rows without a label, or labelled null, teach nothing.
+is in no fold and is scored. Rows without a label, or labelled null, teach nothing. Of rows that repeat
+an id one teaches, and all are scored.
 Without any labelled rows every text scores one half. Empty input gives no rows.
 """
 
@@ -16,14 +17,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import materialize, rows
 from .tokens import mixed, pairs, word_hashes
 
-#: Bits of the feature hash; vector length; labelled documents of a class that may be learned from.
-BUCKET_BITS, DIMENSIONS, SAMPLE = 18, 8, 1500
+#: Bits of the feature hash; vector length; labelled documents of a class that may be learned from, and their
+#: characters in all, besides those of the last of them.
+BUCKET_BITS, DIMENSIONS, SAMPLE, CHARS = 18, 8, 1500, 64_000_000
 #: Character n-grams.
 GRAMS = (3, 4)
 EPOCHS, RATE, BATCH = 12, 0.5, 16
@@ -92,13 +94,22 @@ def usable(labels: DataFrame, label: str, teach) -> DataFrame:
     return ids.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias(label))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, teach, each: int) -> DataFrame:
-    """(text, label): at most each documents of either label, the first by a hash of their id."""
+def sample(documents: DataFrame, labels: DataFrame, label: str, teach, each: int, chars: int = CHARS) -> DataFrame:
+    """(text, label): at most each documents of either label, the first by a hash of their id, until they have so many characters.
+
+    Of rows that repeat an id that one teaches whose text has the least hash.
+    """
     known = usable(labels, label, teach)
-    first = [known.where(F.col(label) == c).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(each) for c in (0, 1)]
+    order = F.xxhash64(F.lit(11), "doc_id")
+    first = [known.where(F.col(label) == c).orderBy(order, "doc_id").limit(each) for c in (0, 1)]
     ids = first[0].unionByName(first[1])
     # At most 2 * each ids of 12 bytes.
-    return documents.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", label)
+    mine = documents.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    mine = materialize(mine.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text")), "quality-sample")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row of two numbers a document of the sample.
+    kept = mine.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).withColumn("before", before).where(F.col("before") < chars)
+    return mine.join(F.broadcast(kept.select("doc_id")), "doc_id").select("text", label)
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", teach=lambda doc_id: F.lit(True), each: int = SAMPLE, bits: int = BUCKET_BITS) -> tuple[np.ndarray, float]:

@@ -8,7 +8,7 @@ aggregates; the driver sees a row a feature and bin.
 
 Nulls: a null text has no words, which fails the base rule; a null doc_id is returned as it is, and
 teaches nothing. Without labelled rows of both kinds there are no learned rules. Repeated rows are
-returned as often as they come. Empty input gives no rows.
+returned as often as they come, and teach once. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SAMPLE, BINS, RULES, CONDITIONS = 20_000, 32, 8, 3
 #: What a rule must reach on the rows it wasn't grown on: bad rows covered, and their share.
 COVER, PRECISION = 5, 0.97
 
+#: What is counted of a text.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_bars", "n_digits", "n_stops", "n_distinct")
 #: Shares that rules test.
 FEATURES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
@@ -117,7 +119,9 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, size: int = SAMP
     # At most size ids of 12 bytes.
     known = documents.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
     texts = known.select(F.struct("doc_id", "_label").alias("doc_id"), "text")
-    found = materialize(counts(texts), "rules-counts").where(~base_failed())
+    # Of rows that repeat an id one teaches, so that there are at most size rows.
+    found = counts(texts).select("doc_id", F.struct(*COUNTS).alias("c")).groupBy("doc_id").agg(F.min("c").alias("c")).select("doc_id", "c.*")
+    found = materialize(found, "rules-counts").where(~base_failed())
     return found.select(*(F.expr(x).cast("double").alias(f) for f, x in FEATURES.items()), (1 - F.col("doc_id._label")).cast("int").alias("bad"), F.pmod(F.xxhash64(F.lit(6), "doc_id.doc_id"), F.lit(3)).alias("part"))
 
 
