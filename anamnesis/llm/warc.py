@@ -28,6 +28,8 @@ MAGIC, BREAK = b"WARC/1.0\r\n", b"\r\n\r\n"
 LEAST = 1000
 #: Bytes of a task's range, and those first read for a header; a longer header is read on to its end.
 RANGE, HEADER = 8 << 20, 64 << 10
+#: Most tasks over which ranges are spread; with more ranges a task reads several, one after the other.
+TASKS = 50_000
 #: Revisits, at 60 bytes each, that are joined by broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -101,7 +103,7 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
 
 
 def spread(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(max(1, n))
+    return df.repartition(max(1, min(n, TASKS)))
 
 
 def candidates(batches) -> Iterator:
@@ -184,7 +186,10 @@ def records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Writes the pages to the shared folder, reads the archives back, and returns a row a record, by page."""
+    """Writes the pages to the shared folder, reads the archives back, and returns a row a record, by page.
+
+    Fails unless as many records are read as pages were written.
+    """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write(pages, path, least)
@@ -193,4 +198,8 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     number = lambda c: F.when(page(c) != "", page(c).cast("bigint"))
     digest = F.when(F.col("record_type") == "revisit", F.regexp_replace("digest", "^sha1:", "")).otherwise(F.sha1("payload"))
     size = F.when(F.col("record_type") == "revisit", F.col("full_bytes")).otherwise(F.octet_length("payload")).cast("bigint")
-    return r.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    out = r.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    out = materialize(out, "warc-records")
+    if (read := out.count()) != (wrote := pages.count()):
+        raise ValueError(f"{read} records were read of {wrote} pages")
+    return out
