@@ -35,6 +35,8 @@ WIDTH = 64
 BLOCK = 512
 #: Bytes of a shard, of a range, and of a batch, about; tries of a member.
 SHARD, RANGE, BATCH, TRIES = 256 << 20, 16 << 20, 2 << 20, 3
+#: Ranges of an archive, about, beyond which they grow instead: members are read one by one, whatever the range.
+RANGES = 50_000
 MANIFEST, SIGNATURE = "_shards.jsonl", b"\x89PNG\r\n\x1a\n"
 MEMBER = "shard string, offset bigint, name string, content binary, error string"
 RESULT = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -178,7 +180,8 @@ class Reader(DataSourceReader):
         else:
             found = system.get_file_info(fs.FileSelector(path))
             shards = sorted((f.base_name, f.size) for f in found if f.is_file and f.base_name.endswith(".tar"))
-        return [Range(name, at, at + self.range) for name, size in shards for at in range(0, size, self.range)] or [Range("", 0, 0)]
+        step = max(self.range, -(-sum(size for _, size in shards) // RANGES))
+        return [Range(name, at, at + step) for name, size in shards for at in range(0, size, step)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.shard:
