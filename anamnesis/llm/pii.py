@@ -30,8 +30,8 @@ PATTERN = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Strings that could be an identifier: with an at sign, or mostly digits; at most so long.
-CANDIDATE = r"(?<![^\s])[^\s@]{1,64}@[^\s@]{1,64}(?![^\s])|(?<![0-9(+])[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){5,20}"
+#: Strings that could be an identifier: with an at sign, or of six digits at least. Possessive, as above.
+CANDIDATE = r"(?<![^\s])[^\s@]++@[^\s@]++(?![^\s])|(?<![0-9(+])[+(]?[0-9](?:[\x20().:/-]{0,2}+[0-9]){5,}+"
 #: Shape that a found string must have to be of a kind.
 SHAPE = {
     "email": r"^[^\s@]+@[^\s@]+$",
@@ -39,8 +39,9 @@ SHAPE = {
     "card": r"^(?:[^0-9]*[0-9]){13,19}[^0-9]*$",
     "phone": r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$",
 }
-#: Characters of a text beside a string that are looked at for its context.
-BESIDE = 48
+#: Characters of a text beside a string that are looked at for its context. A word that this cuts is left out,
+#: so that a pattern has whole words only, and of longer words none.
+BESIDE = 256
 #: Rounds; trust and distinct instances that a pattern needs.
 ROUNDS, TRUST, SUPPORT = 3, 0.9, 8
 #: Matches whose offsets are summed at a time.
@@ -146,7 +147,9 @@ def occurrences(found: DataFrame) -> DataFrame:
     free = F.transform(free, of_kind(F.lit(None).cast("string")))
     df = df.withColumn("x", F.explode(F.concat("seeds", free)))
     left = F.substring("text", F.greatest(F.lit(1), F.col("x.s") + 1 - BESIDE), F.least(F.lit(BESIDE), F.col("x.s")))
+    left = F.when(F.col("x.s") > BESIDE, F.regexp_replace(left, r"^\S++", "")).otherwise(left)
     right = F.substring("text", F.col("x.e") + 1, F.lit(BESIDE))
+    right = F.when(F.length(right) == BESIDE, F.regexp_replace(right, r"(?<!\S)\S++$", "")).otherwise(right)
     return df.select("doc_id", same_text().alias("same"), "x.*", F.explode(patterns(left, right)).alias("pattern"))
 
 
@@ -208,17 +211,16 @@ def find(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first.
 
-    A text without spans is left as it is.
+    A text without spans is left as it is, null too; all other columns stay, whatever their names.
     """
     found = base(documents)
     more = discovered(found)
-    plain = documents.select(*(F.col(c) for c in documents.columns))
     spans = found.select("doc_id", same_text().alias("same"), numbered().alias("base")).where(F.size("base") > 0)
     spans = spans.unionByName(more.select("doc_id", "same", F.col("more").alias("base")))
     spans = materialize(spans.select("doc_id", "same", F.explode("base").alias("x")).groupBy("doc_id", "same").agg(F.sort_array(F.collect_set(F.struct("x.s", "x.e", "x.k"))).alias("more")), "pii-spans")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    text = F.col("text")
+    text = F.col("d.text")
     cut = F.aggregate(
         "more",
         zero,
@@ -228,5 +230,7 @@ def redact(documents: DataFrame) -> DataFrame:
         ),
     )
     masked = F.transform(F.array(cut), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text))))[0]
-    marked = with_found(plain.withColumn("same", F.xxhash64(F.coalesce("text", F.lit("")))), spans)
-    return marked.withColumn("text", F.when(F.col("more").isNull(), text).otherwise(masked)).select(*documents.columns)
+    # The document is one column, so that no name of its own can clash.
+    plain = documents.select(F.struct(*documents.columns).alias("d"))
+    marked = with_found(plain.select("d", F.col("d.doc_id").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same")), spans.hint("merge"))
+    return marked.select(F.col("d").withField("text", F.when(F.col("more").isNull(), text).otherwise(masked)).alias("d")).select("d.*")
