@@ -9,7 +9,7 @@ its target isn't lost between two blocks.
 
 Nulls: a null source is a source of its own, the last; a null text has no words; a null doc_id is
 an id.  Rows that are equal in id, source and text stand side by side on the axis and are told
-apart only by their place there.  Documents without words take nothing.  Empty input gives no rows.
+apart only by their place there; they may be any number.  Documents without words take nothing.  Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -73,17 +73,19 @@ def running(df: DataFrame, by: str, order: list, value: str, out: str) -> DataFr
 def schedule(spark, shares: list[float]) -> DataFrame:
     """(slot, src, rank): the slots, the number of the source of each, and its rank among that source's slots.
 
-    shares: about how many slots each source has, by number.
+    shares: about how many slots each source has, by number. Points meet their source through the
+    equal bins that its share of [0, 1) touches, so that any number of sources is a join.
     """
     total, edges, at = sum(shares), [], 0.0
-    for n in shares:
-        at += n / total
-        edges.append(at)
-    edges[-1] = 2.0
+    for i, n in enumerate(shares):
+        edges.append((i, at, at := at + n / total if i + 1 < len(shares) else 2.0))
+    bins = len(shares)
+    last = F.least(F.floor(F.col("high") * bins), F.lit(bins - 1))
+    shared = spark.createDataFrame(edges, "src int, low double, high double").withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") * bins), F.greatest(last, F.floor(F.col("low") * bins)))))
     point = (F.col("id") + 1) * F.lit(GOLDEN)
-    source = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= point - F.floor(point)))
-    slots = spark.range(max(1, round(total))).select(F.col("id").alias("slot"), source.alias("src"), F.floor(F.col("id") / PART).alias("part"), F.lit(1).alias("one"))
-    return running(slots, "src", ["slot"], "one", "rank").drop("one")
+    slots = spark.range(max(1, round(total))).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point")).withColumn("bin", F.floor(F.col("point") * bins))
+    slots = slots.join(shared, "bin").where("point >= low and point < high")
+    return running(slots.select("slot", "src", F.floor(F.col("slot") / PART).alias("part"), F.lit(1).alias("one")), "src", ["slot"], "one", "rank").drop("one")
 
 
 def key(seed: int) -> Column:
@@ -104,7 +106,7 @@ def mix(documents: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1
     # The words of a block of each source.
     widths = [max(1, min(round(total / slots), round(g / FINE))) for *_, g in goals]
     plan = [(s, i, n, float(g), -(-of[s].n // PART), w, -(-n // w)) for i, ((s, n, _, g), w) in enumerate(zip(goals, widths))]
-    plan = F.broadcast(spark.createDataFrame(plan, "_source string, src int, source_size bigint, target double, parts bigint, width bigint, blocks bigint"))
+    plan = spark.createDataFrame(plan, "_source string, src int, source_size bigint, target double, parts bigint, width bigint, blocks bigint")
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     none = F.lit(0).cast("bigint")
     columns = ["doc_id", "size", "source_size", "target", "taken", "copies", "source", "key"]
@@ -113,7 +115,9 @@ def mix(documents: DataFrame, weights: tuple = (3.0, 1.0, 2.0), share: float = 1
         return without
     # A part is a range of keys, so that parts follow each other in the shuffled order.
     part = F.least(F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * F.col("parts")), F.col("parts") - 1)
-    axis = running(placed.where("size > 0").withColumn("part", part), "src", ["key", "doc_id"], "size", "start")
+    # Rows alike stand together as one, and are laid out when its place is known: any number of them is a row until then.
+    axis = placed.where("size > 0").groupBy(*placed.columns).agg(F.count("*").alias("rows")).withColumns({"all": F.col("size") * F.col("rows"), "part": part})
+    axis = running(axis, "src", ["key", "doc_id"], "all", "start").withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1))).withColumn("start", F.col("start") + F.col("n") * F.col("size"))
     width = F.col("width")
     first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width)
     pieces = axis.withColumn("first", first).withColumn("block", F.explode(F.sequence("first", last)))
@@ -129,14 +133,25 @@ def mixed(documents: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The documents as the mix takes them: each as often as its first word, so that none is cut.
 
     At most one document of a source differs by this from the word-exact mix. Rows alike in id,
-    source and text share their takes.
+    source and text share their takes, in the order of their other columns as JSON.
     """
-    same = ["doc_id", "source", "key"]
-    took = mix(documents, seed=seed, **how).where("copies > 0").groupBy(*same).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    keyed = documents.withColumn("_key", key(seed)).alias("d")
-    found = keyed.join(took.alias("t"), [F.col("d._key") == F.col("t.key"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("d.source").eqNullSafe(F.col("t.source"))])
-    found = found.select("d.*", "t._copies", "t._rows")
-    n = F.row_number().over(Window.partitionBy("_key", "doc_id", "source").orderBy("_key"))
-    # All rows alike: with a take for only some of them, the first have it.
-    each = F.floor(F.col("_copies") / F.greatest("_rows", F.lit(1))) + (n <= F.col("_copies") % F.col("_rows")).cast("int")
-    return found.withColumn("_n", each).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*documents.columns)
+    took = mix(documents, seed=seed, **how).where("copies > 0").groupBy("key", "doc_id", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    took = materialize(took.withColumnsRenamed({"key": "_t_key", "doc_id": "_t_doc", "source": "_t_source"}), "mix-takes")
+    keyed = documents.withColumn("_key", key(seed)).select("_key", F.struct(*documents.columns).alias("d")).select("_key", F.col("d.doc_id").alias("_doc"), F.col("d.source").alias("_source"), "d")
+    met = (F.col("_key") == F.col("_t_key")) & F.col("_doc").eqNullSafe(F.col("_t_doc")) & F.col("_source").eqNullSafe(F.col("_t_source"))
+    # Texts are joined in one way at every size.
+    taken = keyed.join(took.where("_rows = 1").hint("merge"), met).select("d", F.col("_copies").alias("_n"))
+    if took.where("_rows > 1").head(1):
+        taken = taken.unionByName(shared(keyed.join(took.where("_rows > 1"), met)))
+    return taken.where("_n > 0").select("d", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select("d.*")
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """(d, _n): how often each of the rows alike in _key, _doc and _source is taken, of _copies for _rows of them."""
+    same = ["_key", "_doc", "_source"]
+    # Rows alike in all columns are one row with a number; those alike in some are ordered by the others, part by part.
+    many = found.groupBy(*same, "_copies", "_rows", F.md5(F.to_json("d")).alias("_json")).agg(F.first("d").alias("d"), F.count("*").alias("_m"))
+    many = many.withColumns({"_of": F.md5(F.to_json(F.struct(*same))), "part": F.conv(F.substring("_json", 1, 4), 16, 10).cast("int")})
+    many = running(many, "_of", ["_json"], "_m", "_start")
+    extra = F.greatest(F.lit(0), F.least(F.col("_copies") % F.col("_rows") - F.col("_start"), F.col("_m")))
+    return many.select("d", (F.floor(F.col("_copies") / F.col("_rows")) * F.col("_m") + extra).alias("_n"))
