@@ -2,16 +2,23 @@
 
 Fingerprints of 64 bits are cut into blocks A, B and C of 13 bits and D of 25.  Of four differing
 bits, D has at most one, or A, B and C have at most two and then some pair of these three at most
-one.  So one of the segments AB, BC, AC and D differs by at most one bit, and of this segment's
-variants with a wildcard bit one is the same for both.  Variants are keys of an equality join, and
-what meets is verified on all 64 bits.  Four segments of 25 or 26 bits let far fewer strangers
-meet than three of 21, which would be the fewest.
+one.  So one of the segments AB, BC, AC and D is equal or differs by one bit.  A segment as it is,
+and its variants with a wildcard bit, are keys of an equality join, and what meets is verified on
+all 64 bits.  Four segments of 25 or 26 bits let far fewer strangers meet than three of 21, which
+would be the fewest.
 
-Only what a component needs is compared. Equal fingerprints count once. The members of a key are
-compared with its least and its greatest; keys whose members are then one component are done. In
-the others, the members outside the key's largest component are compared with the members of
-other components. So no pair inside a known component is made, and no link between components is
-lost.
+Only what a component needs is compared. Equal fingerprints count once. What has equal segments is
+compared with the least and the greatest of its key, and the components so found are labels from
+then on: a key matters only if it has several components, and a variant only if both values of its
+wildcard bit occur, as equal segments have met already. Of these keys' members each is compared
+with the key's ends; then the members outside the key's largest component with the others of the
+key. Where a key has more than FEW of them, its members are cut again, by the bits that their key
+hasn't used, so that strangers don't all meet. No pair inside a known component is made, and no
+link between components is lost.
+
+first_of_each is a stage for texts, not fingerprints: it links texts whose five-word shingles are
+alike by 0.8 or more. Such texts differ in up to a sixth of the bits, so that they are looked for
+with the same variants of many segments of a longer fingerprint (see similar).
 
 Nulls: a null text has no words, and its fingerprint is zero, linked like any other. A null doc_id
 takes part but is never a component's id; a component of null ids only has a null id. Repeated rows
@@ -24,36 +31,52 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, rows
 from .components import components
+from .tokens import MIX, cut, lowered, mixed, powers, word_hashes
 
 BITS, SEED, SHINGLE = 4, 42, 4
 #: The bits of A, B, C and D, and the segments.
 A, B, C, D = range(13), range(13, 26), range(26, 39), range(39, 64)
 SEGMENTS = ((*A, *B), (*B, *C), (*A, *C), (*D,))
+#: Members outside a key's largest component that are compared as they are; more are cut again.
+FEW = 32
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 15
+#: Of the stage: words of a shingle and similarity; words of a shingle of the long fingerprint, its
+#: 64-bit words with two segments each, rounds, bits of a segment, and bits of the word that is only
+#: compared which may differ.
+SIMILAR, LIKE, SHORT, WIDE, ROUNDS, WIDTH, MARK = 5, 0.8, 2, 3, 2, 26, 16
+#: What numbers are turned by for the order of each round.
+TURNS = (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
+#: Rows, at about 60 bytes each, that are sent to all tasks; more meet the texts by a shuffle.
+BROADCAST = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint as a signed 64-bit integer: a bit is set if over half the shingles' hashes have it."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().lower().split()
+    words = lowered(text).split()
     if not words:
         return 0
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
     starts = [e - len(w) for e, w in zip(ends, words)]
     hashes = [xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])]
+    return int(majority(np.array(hashes, "<u8")))
+
+
+def majority(hashes: np.ndarray) -> np.int64:
+    """The bits that over half the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
-        part = np.array(hashes[at : at + BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+        part = hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0]
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -69,50 +92,116 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+def masked(fp: Column, bits) -> Column:
+    """The value of these bits of fp, moved down where they are high."""
+    low = min(bits) if min(bits) > 32 else 0
+    return F.shiftrightunsigned(fp, low).bitwiseAND(sum(1 << (b - low) for b in bits))
+
+
+def plain(fp: Column) -> Column:
+    """The segments of a fingerprint, each with its number."""
+    return F.array(*(masked(fp, s).bitwiseOR(n << 40) for n, s in enumerate(SEGMENTS)))
+
+
 def variants(fp: Column) -> Column:
-    """The keys of a fingerprint: for each bit of each segment, the segment without that bit, and which it is."""
-    keys = []
-    for segment in SEGMENTS:
-        low = min(segment) if segment == SEGMENTS[-1] else 0
-        mask = sum(1 << (bit - low) for bit in segment)
-        keys += [F.shiftrightunsigned(fp, low).bitwiseAND(mask ^ (1 << (bit - low))).bitwiseOR((len(keys) + n) << 40) for n, bit in enumerate(segment)]
+    """The keys of a fingerprint, an array of (key, side): segments, with side 4; and for each bit of each, the segment without it, with side 1 or 2 as the bit is."""
+    keys = [F.struct(masked(fp, s).bitwiseOR(n << 40).alias("key"), F.lit(4).alias("side")) for n, s in enumerate(SEGMENTS)]
+    for n, segment in enumerate(SEGMENTS):
+        for bit in segment:
+            keys.append(F.struct(masked(fp, [b for b in segment if b != bit]).bitwiseOR((64 * (n + 1) + bit) << 40).alias("key"), (F.shiftrightunsigned(fp, bit).bitwiseAND(1).cast("int") + 1).alias("side")))
     return F.array(*keys)
 
 
+def again(fp: Column, key: Column) -> Column:
+    """Keys of the bits that a key's segment doesn't have, cut into blocks and segments as all 64 are; they differ in at most BITS too."""
+    segment = F.shiftrightunsigned(key, 40)
+    out = None
+    for n, used in enumerate(SEGMENTS):
+        rest = [b for b in range(64) if b not in used]
+        at = [len(rest) * k // 5 for k in (0, 1, 2, 3, 5)]
+        a, b, c, d = (rest[i:j] for i, j in zip(at, at[1:]))
+        keys = [F.xxhash64(F.lit(64 * k + bit), key, fp.bitwiseAND(signed(sum(1 << x for x in s if x != bit)))) for k, s in enumerate((a + b, b + c, a + c, d)) for bit in s]
+        mine = (segment == n) | (F.floor(segment / 64) == n + 1)
+        out = F.when(mine, F.array(*keys)) if out is None else out.when(mine, F.array(*keys))
+    return out
+
+
+def signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
 def apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Each row becomes many: dealt out first, as few tasks would read so small a table."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ends(keyed: DataFrame) -> DataFrame:
+    """keyed with the least and the greatest fp of each key that has several."""
+    found = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    return keyed.join(materialize(found, "simhash-ends"), "key")
+
+
+def stars(members: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) of members to the low and the high fingerprint of their keys."""
+    fp = F.col("fp")
+    near = F.filter(F.array("low", "high"), lambda e: (e != fp) & (apart(e, fp) <= bits))
+    return members.select(fp.alias("a"), F.explode(near).alias("b"))
+
+
+def bridges(members: DataFrame, bits: int, few: int = FEW) -> DataFrame:
+    """Links (a, b) between the roots of the members (key, side, fp, root) of a key."""
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), (F.sum("size") - F.max("size")).alias("others")).where("others > 0")
+    out = sizes.join(main, "key").where("root <> main").select("key", "root", "others")
+    outside = materialize(members.join(materialize(out, "simhash-outside"), ["key", "root"]), "simhash-outsiders")
+    met = linked(outside.where(F.col("others") <= few), members, "key", bits)
+    many = outside.where(F.col("others") > few)
+    if many.head(1):
+        # The key's members again, each by the bits that its key hasn't used.
+        sub = F.explode(again(F.col("fp"), F.col("key"))).alias("sub")
+        some = members.join(materialize(many.select("key").distinct(), "simhash-many"), "key", "left_semi")
+        met = met.unionByName(linked(dealt(many).select("*", sub), dealt(some).select("*", sub), "sub", bits))
+    return met
+
+
+def linked(some: DataFrame, members: DataFrame, key: str, bits: int) -> DataFrame:
+    """Links (a, b) of roots: some of a key's members with its members of other roots, and in a variant of the other side."""
+    a, b = some.alias("a"), members.alias("b")
+    other = (F.col("a.root") != F.col("b.root")) & ((F.col("a.side") == 4) | (F.col("a.side") != F.col("b.side")))
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.key") == F.col("b.key")) & other & (apart(F.col("a.fp"), F.col("b.fp")) <= bits))
+    return met.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
+
+
+def renamed(df: DataFrame, roots: DataFrame, of: str = "root") -> DataFrame:
+    """df with the root of a column of it, which is its own root where roots (node, root) don't have it."""
+    tops = roots.select(F.col("node").alias("_node"), F.col("root").alias("_top"))
+    return df.join(tops, F.col(of) == F.col("_node"), "left").withColumn("root", F.coalesce("_top", of)).drop("_node", "_top")
+
+
 def groups(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id) from (doc_id, fp)."""
     if bits > BITS:
         raise ValueError(f"these segments find at most {BITS} differing bits")
     kinds = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-kinds")
-    # Each row becomes many: dealt out first, as few tasks would read so small a table.
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = kinds.repartition(tasks).select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
-    members = materialize(keyed.join(materialize(keys, "simhash-keys"), "key"), "simhash-members")
-    fp, low, high = F.col("fp"), F.col("low"), F.col("high")
-    ends = F.filter(F.array(low, high), lambda e: (e != fp) & (apart(e, fp) <= bits))
-    stars = members.select(fp.alias("a"), F.explode(ends).alias("b"))
-    roots = components(stars)
-    # Two members have been compared; more need another look if they're of several components.
-    of = members.where("n > 2").join(roots, members.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    of = materialize(of, "simhash-open")
-    sizes = of.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    left = materialize(of.join(materialize(main.select("key", "main"), "simhash-main"), "key"), "simhash-left")
-    a, b = left.where("root <> main").alias("a"), left.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (apart(F.col("a.fp"), F.col("b.fp")) <= bits))
-    bridges = met.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
-    tops = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    known = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    # A root without stars may still have bridges.
-    known = known.unionByName(tops.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct()
-    rooted = materialize(kinds.join(known, kinds.fp == known.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    ids = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
-    named = materialize(rooted.join(ids, "root").select("fp", "component_id"), "simhash-named")
+    roots = components(stars(ends(kinds.select("fp", F.explode(plain(F.col("fp"))).alias("key"))), bits))
+    kinds = materialize(renamed(kinds, roots, "fp"), "simhash-rooted")
+    keyed = dealt(kinds.select("fp", "root")).select("fp", "root", F.explode(variants(F.col("fp"))).alias("x")).select("fp", "root", "x.*")
+    # Both sides of a variant, or a segment's.
+    known = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bit_or("side").alias("sides"))
+    known = known.where("low <> high and sides >= 3").select("key", "low", "high")
+    # A merge join at every size: a hot key's members can then be split among tasks.
+    members = materialize(keyed.join(materialize(known, "simhash-keys").hint("merge"), "key"), "simhash-members")
+    # Labels so far are links as well, of each member to its root.
+    tops = components(stars(members, bits).unionByName(members.select(F.col("fp").alias("a"), F.col("root").alias("b")).distinct()))
+    members = materialize(renamed(members, tops).select("key", "side", "fp", "root"), "simhash-open")
+    last = components(bridges(members, bits))
+    kinds = materialize(renamed(renamed(kinds, tops), last), "simhash-named")
+    ids = materialize(kinds.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
+    named = materialize(kinds.join(ids, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -122,11 +211,124 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(documents: DataFrame) -> DataFrame:
-    """The documents with the least id of their component; rows without an id are kept. Of rows that repeat an id one is kept."""
-    found = near_duplicates(documents)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = documents.join(materialize(drop, "simhash-drop"), "doc_id", "left_anti")
-    same = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = left.where("doc_id is not null").withColumn("_n", same).where("_n = 1")
-    return named.select(*documents.columns).unionByName(left.where("doc_id is null").select(*documents.columns))
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; of a text with fewer words, that of all its words."""
+    words = np.concatenate([word_hashes(piece) for piece in cut(lowered(text))] or [np.zeros(0, np.uint64)])
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    h = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        h = mixed(h * MIX + words[k : len(words) - size + 1 + k])
+    return np.unique(h)
+
+
+def long_fingerprint(text: str | None, words: int) -> list[int]:
+    """64-bit words of a long fingerprint; of short shingles, as edits leave most of these."""
+    h = shingles(text, SHORT)
+    return [int(majority(mixed(h + salt))) for salt in powers(words + 1)[1 : words + 1]]
+
+
+def wide(documents: DataFrame, words: int) -> DataFrame:
+    """Of every document the digest of its text, and p0, p1, ..., the words of its long fingerprint."""
+    names = [f"p{k}" for k in range(words)]
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            prints = [long_fingerprint(text, words) for (text,) in rows(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[k] for p in prints], pa.int64()) for k in range(words))], ["digest", *names])
+
+    return documents.select(digest(F.col("text")).alias("digest"), "text").mapInArrow(run, ", ".join(["digest string", *(f"{n} bigint" for n in names)]))
+
+
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def halves(words: list[Column], width: int) -> Column:
+    """Keys of some words of a long fingerprint: both halves of each are segments, without each of their bits in turn."""
+    keys = []
+    for word in words:
+        for low in (0, 32):
+            n = len(keys)
+            keys += [F.shiftrightunsigned(word, low).bitwiseAND(((1 << width) - 1) ^ (1 << b)).bitwiseOR((n + b) << 40) for b in range(width)]
+    return F.array(*keys)
+
+
+def sent(found: DataFrame) -> DataFrame:
+    """A written table of short rows, broadcast if its size allows; else joined by a merge, whose hot keys can be split."""
+    return F.broadcast(found) if found.limit(BROADCAST + 1).count() <= BROADCAST else found.hint("merge")
+
+
+def similarity(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) of nodes with the Jaccard similarity of the shingles of their texts (node, text)."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, text in rows(batch, "node", "text"):
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([shingles(text, size).view(np.int64)], pa.list_(pa.int64()))], ["node", "set"])
+
+    sets = materialize(texts.mapInArrow(run, "node bigint, set array<bigint>"), "similar-sets")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (both / F.greatest(F.lit(1), F.size("set_a") + F.size("set_b") - both)).alias("similarity"))
+
+
+def similar(documents: DataFrame, like: float = LIKE, size: int = SIMILAR, width: int = WIDTH) -> DataFrame:
+    """(digest, root): the distinct texts by digest, and which are linked by shingles alike by `like` or more.
+
+    The long fingerprint is of two-word shingles: texts whose five-word shingles are alike by 0.8
+    differ in about a tenth of its bits, and one segment in four then differs by one bit at most.
+    Each round indexes other segments, and pairs of each key the two ends of an order of its own:
+    so the two of a pair always meet, and a large group is joined by its many keys' ends, not
+    compared with itself. What meets is checked on a word of its own, and then by its shingles.
+    Links are exact, but a link is found with a probability: see README for how many are. Strangers
+    that share a key are about texts / 2 ** (width - 1); a wider segment suits a larger corpus.
+    """
+    prints = materialize(wide(documents, WIDE * ROUNDS + 1), "similar-prints")
+    words = [c for c in prints.columns if c != "digest"]
+    kinds = materialize(prints.groupBy("digest").agg(*(F.first(c).alias(c) for c in words)).select(F.monotonically_increasing_id().alias("node"), "*"), "similar-kinds")
+    met = None
+    for n in range(ROUNDS):
+        mine = [F.col(c) for c in words[n * WIDE : (n + 1) * WIDE]]
+        # An order of its own, from which the node comes back.
+        turn = lambda c: c.bitwiseXOR(TURNS[n % len(TURNS)])  # noqa: B023, E731
+        keyed = dealt(kinds.select(turn(F.col("node")).alias("order"), *mine)).select("order", F.explode(halves(mine, width)).alias("key"))
+        ends = keyed.groupBy("key").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low <> high")
+        ends = ends.select(turn(F.col("low")).alias("a"), turn(F.col("high")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = ends if met is None else met.unionByName(ends)
+    met = materialize(met.distinct(), "similar-met")
+    mark = lambda c: kinds.select(F.col("node").alias(c), F.col(words[-1]).alias(f"mark_{c}"))
+    near = materialize(met.join(mark("a"), "a").join(mark("b"), "b").where(apart(F.col("mark_a"), F.col("mark_b")) <= MARK).select("a", "b"), "similar-pairs")
+    wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(kinds.select("node", "digest"), "node"), "similar-wanted")
+    # Of a text's copies one is enough.
+    texts = documents.select(digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")).join(sent(wanted), "digest").groupBy("node").agg(F.first("text").alias("text"))
+    links = similarity(near, texts, size).where(F.col("similarity") >= like).select("a", "b")
+    return renamed(kinds.select("digest", "node"), components(links), "node").select("digest", "root")
+
+
+def first_of_each(documents: DataFrame, **how) -> DataFrame:
+    """One document of each group of similar texts (see similar): that with the least doc_id, nulls last, then the least digest.
+
+    Rows are told apart by id and text, so that a row goes only for what its own text is like. Of
+    rows alike in both that one stays which is least as JSON. Null texts count as empty; texts
+    without words are alike only if they are equal.
+    """
+    found = materialize(similar(documents, **how), "simhash-similar")
+    rows_ = documents.select(F.struct(*documents.columns).alias("d")).select("d", F.col("d.doc_id").alias("id"), digest(F.col("d.text")).alias("digest"))
+    each = rows_.groupBy("id", "digest").agg(F.count("*").alias("n")).join(found, "digest")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    each = materialize(each.select("id", "digest", "n", "root", rank.alias("rank")), "simhash-rows")
+    firsts = each.groupBy("root").agg(F.min("rank").alias("least"))
+    goes = each.join(firsts, "root").select("id", "digest", (F.col("rank") == F.col("least")).alias("stays"), "n").where("not stays or n > 1")
+    goes = materialize(goes.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "stays"), "simhash-goes")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    kept = rows_.join(sent(goes), same, "left_anti").select("d")
+    twins = goes.where("stays")
+    if twins.head(1):
+        kept = kept.unionByName(rows_.join(twins, same).groupBy("id", "digest").agg(F.min_by("d", F.to_json("d")).alias("d")).select("d"))
+    return kept.select("d.*")

@@ -47,9 +47,12 @@ def test_pii_learns_contexts(spark, tmp_path):
     assert all("<EMAIL>" in r.text and "@" not in r.text for r in pii.redact(docs).collect())
 
 
-def test_redact_keeps_the_rest(documents, rows):
+def test_redact_keeps_the_rest(documents, rows, spark):
     out = pii.redact(documents)
     assert out.columns == documents.columns and out.count() == len(rows)
+    assert Counter((r.doc_id, *tuple(r)[2:]) for r in out.collect()) == Counter((r[0], *r[2:]) for r in rows)
+    clash = spark.createDataFrame([(1, "mail me@example.com", "a", 5, "b")], "doc_id bigint, text string, same string, more int, d string")
+    assert [tuple(r) for r in pii.redact(clash).collect()] == [(1, "mail <EMAIL>", "a", 5, "b")]
     got = by_id(out.collect())
     assert got[9].text == "mail <EMAIL> or <PHONE>, <IP>" and got[1].text is None and got[4].text == "x" * 200_000
 
@@ -178,8 +181,65 @@ def test_simhash(documents, rows):
     prints = [(r[0], brute.fingerprint(r[1])) for r in rows]
     want = sorted((d or -1, f"{f:016x}", c) for (d, f), c in zip(prints, brute.least_reachable(prints)))
     assert sorted((r.doc_id or -1, r.fingerprint, r.component_id) for r in found) == want
-    kept = [r.doc_id for r in simhash.first_of_each(documents).collect()]
-    assert kept.count(6) == 1 and 7 not in kept and kept.count(None) == 2
+
+
+def jaccard(a, b, size=5):
+    def cut(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+    a, b = cut(a), cut(b)
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_first_of_each(documents, rows):
+    out = simhash.first_of_each(documents)
+    assert out.columns == documents.columns
+    kept = out.collect()
+    # Null and empty texts are one group, whose least id is 1; 8 is like 6 and 7.
+    assert Counter(r.doc_id for r in kept) == Counter([1, 3, 4, 5, 6, 9, 10, 11, 12, None])
+    for r in kept:
+        assert tuple(r) in {tuple(x) for x in rows}
+
+
+def test_first_of_each_tells_rows_apart(spark, monkeypatch):
+    prose = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, prose, 1), (2, prose, 2), (2, "quite another text", 3), (3, "one of two", 4), (3, "and two", 5), (3, "and two", 7), (3, "and two", 6), (None, prose, 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, same int")
+    for most in (simhash.BROADCAST, 1):
+        monkeypatch.setattr(simhash, "BROADCAST", most)
+        assert sorted(r.same for r in simhash.first_of_each(docs).collect()) == [1, 3, 4, 5]
+
+
+def test_near_copies_are_found(spark):
+    random.seed(8)
+    words = [f"v{i}" for i in range(5000)]
+    rows, near = [], 0
+    for i in range(150):
+        base = random.choices(words, k=200)
+        copy = list(base)
+        for at in random.sample(range(200), 3):
+            copy[at] = random.choice(words)
+        near += jaccard(" ".join(base), " ".join(copy)) >= 0.8
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    kept = [r.doc_id for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert all(2 * i in kept for i in range(150)) and near > 140 and 300 - len(kept) >= 0.9 * near
+
+
+def test_simhash_hot_segment_and_large_group(spark):
+    random.seed(5)
+    low = random.getrandbits(26)
+    strangers = [low | random.getrandbits(38) << 26 for _ in range(1000)]
+    base, near = random.getrandbits(64), []
+    for _ in range(2000):
+        f = base
+        for bit in random.sample(range(20), random.randint(0, 6)):
+            f ^= 1 << 3 * bit
+        near.append(f)
+    table = [(i, f) for i, f in enumerate(strangers + near)]
+    random.shuffle(table)
+    got = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame([(d, f - (f >> 63 << 64)) for d, f in table], "doc_id bigint, fp bigint")).collect()}
+    assert [got[d] for d, _ in table] == brute.least_reachable(table)
 
 
 def test_simhash_links_none_lost(spark):
@@ -248,6 +308,24 @@ def test_mixing_takes_small_sources(spark):
     assert {r.source for r in mixing.mixed(docs, slots=1 << 6).collect()} == {"big", "c", "d", "e"}
 
 
+def test_mixing_rows_alike(spark):
+    rows = [(1, "a b c", "s", k % 7) for k in range(500)] + [(i, "d e", "s", 0) for i in range(2, 50)] + [(i, "f", None, 0) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, key int")
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in found)
+    for source in ("s", None):
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target + 2
+    once, twice = (Counter(map(tuple, mixing.mixed(docs).collect())) for _ in range(2))
+    assert once == twice and max(n for x, n in once.items() if x[0] != 1) <= 2
+
+
+def test_lines_many_equal_rows(spark):
+    text = "one line\nand another\n"
+    found = lines.dedup(spark.createDataFrame([(1, text)] * 3000, "doc_id bigint, text string")).collect()
+    assert Counter(r.text for r in found) == {text: 1, "": 2999}
+
+
 def test_targets():
     got = mixing.targets([("b", 100), (None, 50), ("a", 10)])
     assert [g[0] for g in got] == ["a", "b", None] and got[0][3] == 20.0
