@@ -14,6 +14,7 @@ Without any labelled rows every text scores one half. Empty input gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +62,20 @@ def _features(text: str, bits: int) -> np.ndarray:
     return (np.concatenate(found) >> shift).astype(np.int64)
 
 
+def packed(buckets: np.ndarray) -> tuple[bytes, bytes, str]:
+    """The distinct buckets, as steps, and how often each occurs, in the narrowest type that holds it; both compressed."""
+    found, counts = np.unique(buckets, return_counts=True)
+    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    return zlib.compress(np.diff(found, prepend=0).astype("<i4").tobytes(), 1), zlib.compress(counts.tobytes(), 1), counts.dtype.str
+
+
+def unpacked(buckets: bytes, counts: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of what packed gives."""
+    return np.cumsum(np.frombuffer(zlib.decompress(buckets), "<i4"), dtype=np.int32), np.frombuffer(zlib.decompress(counts), kind)
+
+
 def learn(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int, dimensions: int, epochs: int, rate: float, seed: int = 1) -> tuple[np.ndarray, float]:
-    """A number a bucket and a constant: what class 1 gains on class 0. texts: the buckets of each, and their shares of its features."""
+    """A number a bucket and a constant: what class 1 gains on class 0. texts: the buckets of each, and how often each occurs."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32)
     out, bias = np.zeros((dimensions, 2), np.float32), np.zeros(2, np.float32)
@@ -73,7 +86,8 @@ def learn(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bucket
             pick = order[at : at + BATCH]
             now = rate * (1 - done / steps)
             done += 1
-            hidden = np.stack([texts[i][1] @ vectors[texts[i][0]] for i in pick])
+            shares = [(texts[i][1] / texts[i][1].sum()).astype(np.float32) for i in pick]
+            hidden = np.stack([share @ vectors[texts[i][0]] for i, share in zip(pick, shares)])
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -81,9 +95,9 @@ def learn(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bucket
             back = p @ out.T
             out -= now * hidden.T @ p
             bias -= now * p.mean(axis=0)
-            for i, g in zip(pick, back):
+            for i, share, g in zip(pick, shares, back):
                 # A text's buckets are distinct, so plain indexing adds each once.
-                vectors[texts[i][0]] -= (now * texts[i][1] * len(texts[i][0]) ** 0.5)[:, None] * g
+                vectors[texts[i][0]] -= (now * share * len(share) ** 0.5)[:, None] * g
     gain = out[:, 1] - out[:, 0]
     return vectors @ gain, float(bias[1] - bias[0])
 
@@ -119,16 +133,18 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", teach
         import pyarrow as pa
 
         for batch in batches:
-            found = [np.unique(features(text or "", bits), return_counts=True) for (text,) in rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([b.astype("<i4").tobytes() for b, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["label", "buckets", "counts"])
-
-    chosen = sample(documents, labels, label, teach, each).mapInArrow(hashed, "label int, buckets binary, counts binary").collect()
-    chosen = [(r.label, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4")) for r in chosen if len(r.buckets)]
-    chosen.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    if not chosen:
+            found = [packed(features(text or "", bits)) for (text,) in rows(batch, "text")]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *columns], ["label", "buckets", "counts", "kind"])
+
+    # About 3 bytes a distinct bucket of a text.
+    chosen = sample(documents, labels, label, teach, each).mapInArrow(hashed, "label int, buckets binary, counts binary, kind string").collect()
+    chosen.sort(key=lambda r: (r.label, len(r.buckets), r.buckets, r.counts))
+    texts = [(r.label, *unpacked(r.buckets, r.counts, r.kind)) for r in chosen]
+    known = np.array([c for c, b, _ in texts if len(b)], np.int64)
+    texts = [(b, n) for _, b, n in texts if len(b)]
+    if not texts:
         return np.zeros(1 << bits, np.float32), 0.0
-    known = np.array([x[0] for x in chosen])
-    texts = [(b, (n / n.sum()).astype(np.float32)) for _, b, n in chosen]
     gains, constant = learn(texts, known, 1 << bits, DIMENSIONS, EPOCHS, RATE)
     # The sample has the classes in other shares than the labels have.
     share = dict(usable(labels, label, teach).groupBy(label).count().collect())

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 from . import brute
+import numpy as np
 import pytest
 
 from anamnesis.llm import lines, lm, mixing, pieces, pii, quality, rules, simhash
@@ -63,6 +64,12 @@ def test_quality(documents, labels, rows):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found if r.doc_id is not None)
 
 
+def test_quality_packs_counts():
+    for buckets in ([], [0], [5, 5, 9, 262143], [7] * 300 + [8] * 70000):
+        found, counts = quality.unpacked(*quality.packed(np.array(buckets, np.int64)))
+        assert dict(zip(found.tolist(), counts.tolist())) == Counter(buckets) and found.tolist() == sorted(set(buckets))
+
+
 def test_quality_without_labels(documents, labels):
     assert {r.score for r in quality.classify(documents, labels.where("false")).collect()} == {0.5}
 
