@@ -54,6 +54,24 @@ def test_chains_are_the_sequential_fold(spark):
     m = facts(spark, [f"Actually the {' '.join(t)} changed to 5." for t in topics])
     got = updates.chains(updates.events(m)).orderBy("seq").collect()
     assert [r.chain_id for r in got] == fold([[w for w in t] for t in topics])
+    ids = [r.chain_id for r in got]
+    assert [r.pos for r in got] == [ids[:i].count(c) for i, c in enumerate(ids)]
+
+
+def test_chains_of_many_users(spark):
+    random.seed(5)
+    names = ["walnut", "table", "crane", "permit", "engine", "quota", "lathe", "linen", "voucher", "turbine"]
+    said = [(random.choice(["u", "v", None]), i, random.sample(names, random.randint(2, 6))) for i in range(300)]
+    m = spark.createDataFrame([(u, "s", i * 50_000, "user", i, f"Actually the {' '.join(t)} changed to 5.") for u, i, t in said], "user_id string, session_id string, seq bigint, role string, ts bigint, content string")
+    got = updates.chains(updates.events(m)).collect()
+    assert len(got) == len(said)
+    for user in ("u", "v", None):
+        rows = sorted((r for r in got if r.user_id == user), key=lambda r: r.seq)
+        mine = [(i * 50_000, t) for u, i, t in said if u == user]
+        ids = [r.chain_id for r in rows]
+        assert [r.seq for r in rows] == [i for i, _ in mine] and ids == fold([t for _, t in mine])
+        assert [r.pos for r in rows] == [ids[:k].count(c) for k, c in enumerate(ids)]
+    assert updates.chains(updates.events(m.limit(0))).count() == 0
 
 
 def test_cards(spark):
