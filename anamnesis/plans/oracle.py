@@ -222,3 +222,14 @@ ORACLE_SQL |= {
         select query_id, length(context)::int as chars, md5(context) as digest from g""",
 }
 ORACLE_SQL["stream_ingest"] = ORACLE_SQL["ingest_dedup"]
+JOINED = """i as (select page_id as id, 0 as late, 'page' as category, html as gold from pages union all select item_id, 1, 'benchmark', text from benchmark),
+    l as (select id, arg_max(category, late) as category, arg_max(gold, late) as gold from i group by 1),
+    ji as (select b.doc_id as id, coalesce(category, '?') as category, coalesce(gold, '') as gold, coalesce(d.text, '') as answer, quality, toxic from labels b left join l on l.id = b.doc_id left join documents d on d.doc_id = b.doc_id)"""
+ORACLE_SQL |= {
+    "judged_with_inputs": f"with {JOINED} select id, category, md5(gold) as gold, md5(answer) as answer from ji",
+    "score_report": f"""with {JOINED}, k as (select category, quality, case when regexp_matches(gold, '{fixed.TIME_ANSWER}', 'i') then 'time' else 'plain' end as timed,
+            case when regexp_matches(answer, '{fixed.RELATIVE_ANSWER}', 'i') and not regexp_matches(gold, '{fixed.RELATIVE_ANSWER}', 'i') then 'relative' else 'fixed' end as relative from ji)
+        select case grouping(category, timed, relative) when 3 then 'category' when 5 then 'timed' when 6 then 'relative' else 'total' end as kind, coalesce(category, timed, relative, 'TOTAL') as name,
+            count_if(quality = 1)::bigint as right, count(*) as n from k group by grouping sets ((category), (timed), (relative), ())""",
+    "group_totals": f"with {JOINED} select category, count(*) as n, count_if(toxic = 1)::bigint as errors, round(100 * avg(case when toxic = 0 then quality::double else 0 end), 6) as total from ji group by 1",
+}

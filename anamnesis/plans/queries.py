@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cards, evaluation, ingest, prep, retrieval, updates
+from ..operators import cards, evaluation, ingest, prep, reports, retrieval, updates
 from ..session import table
 from ..sources import bindings
 from ..streaming import ingest as stream
@@ -389,3 +389,27 @@ def contexts(spark, sf):
     picked = retrieval.bm25_top(bindings.questions(spark, sf), index, 10).withColumnRenamed("rank", "pos")
     shown = retrieval.rendered(picked, bindings.messages(spark, sf))
     return prep.context_text(shown).select("query_id", F.length("context").alias("chars"), F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+def judged_inputs(spark, sf):
+    text = lambda t, key, at, name, body: table(spark, sf, t).select(F.col(key).alias("id"), F.lit(at).alias("at"), F.lit(name).alias("category"), F.col(body).alias("gold"))
+    inputs = text("pages", "page_id", 0, "page", "html").unionByName(text("benchmark", "item_id", 1, "benchmark", "text"))
+    answers = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("at"), F.col("text").alias("answer"))
+    score = F.when(F.col("toxic") == 0, F.col("quality").cast("double"))
+    judged = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("is_correct"), score.alias("score"), F.when(F.col("toxic") == 1, "failed").alias("error"))
+    return reports.with_inputs(judged, inputs, answers)
+
+
+@query
+def judged_with_inputs(spark, sf):
+    return judged_inputs(spark, sf).select("id", "category", F.md5(F.col("gold").cast("binary")).alias("gold"), F.md5(F.col("answer").cast("binary")).alias("answer"))
+
+
+@query
+def score_report(spark, sf):
+    return reports.score_sets(judged_inputs(spark, sf))
+
+
+@query
+def group_totals(spark, sf):
+    return reports.group_totals(judged_inputs(spark, sf), "category")

@@ -128,3 +128,18 @@ def test_timeline_and_traits(spark):
     traits = spark.createDataFrame([("u", 1, "[X] "), ("u", 2, "[LIKES] tea"), ("u", 3, "[likes] TEA"), ("u", 4, "[HABIT] runs")], "user_id string, pos int, line string")
     asked = spark.createDataFrame([(1, "u", "Plan a day"), (2, "u", "Which doctor?")], "query_id int, user_id string, query string")
     assert {r.query_id: r.content.split("\n")[1:] for r in cards.persona(asked, traits).collect()} == {1: ["- [LIKES] tea", "- [HABIT] runs"]}
+
+
+def test_reports(spark):
+    from anamnesis.operators import reports
+
+    judged = spark.createDataFrame([("a", True, 1.0, None), ("b", False, None, "failed"), ("c", False, 0.5, "")], "id string, is_correct boolean, score double, error string")
+    inputs = spark.createDataFrame([("a", 0, "old", "x"), ("a", 1, "new", "in May")], "id string, at int, category string, gold string")
+    answers = spark.createDataFrame([("b", 0, "two days ago")], "id string, at int, answer string")
+    rows = reports.with_inputs(judged, inputs, answers)
+    assert sorted((r.id, r.category, r.gold, r.answer) for r in rows.collect()) == [("a", "new", "in May", ""), ("b", "?", "", "two days ago"), ("c", "?", "", "")]
+    got = {(r.kind, r.name): (r.right, r.n) for r in reports.score_sets(rows).collect()}
+    assert got == {("category", "new"): (1, 1), ("category", "?"): (0, 2), ("timed", "time"): (1, 1), ("timed", "plain"): (0, 2), ("relative", "relative"): (0, 1), ("relative", "fixed"): (1, 2), ("total", "TOTAL"): (1, 3)}
+    assert sorted((r.category, r.n, r.errors, r.total) for r in reports.group_totals(rows, "category").collect()) == [("?", 2, 1, 25.0), ("new", 1, 0, 100.0)]
+    means = spark.createDataFrame([([1.0, 0.5],), ([],)], "s array<double>").select(reports.rubric_mean(F.col("s")).alias("m"))
+    assert [r.m for r in means.collect()] == [0.75, None]
