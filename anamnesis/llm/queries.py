@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lines, lm, media, mixing, pieces, pii, quality, rules, simhash, warc
+from . import lines, lm, media, mixing, phrases, pieces, pii, quality, rules, simhash, warc
 
 
 def piece_model() -> str:
@@ -54,7 +54,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op5_rules, op6_media, op7_lm, op8_simhash, op9_lines, op10_mixing)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op5_rules, op6_media, op7_lm, op8_simhash, op9_lines, op10_mixing, op13_phrases)}
 
 ORACLE_SQL = {
     "op2_warc": """
@@ -66,4 +70,20 @@ ORACLE_SQL = {
             case when top is not null and page_id is distinct from top then top end as refers_to
         from q left join g on q.d = g.d and n >= 1000
     """,
+    "op13_phrases": """
+        with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        p as (select lang, list_filter(string_split_regex(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') as w from d),
+        f1 as (select lang, x as p, count(*) as f from (select lang, unnest(w) as x from p) group by all),
+        n as (select lang, sum(f)::hugeint as n from f1 group by 1),
+        f2 as (select lang, x as p, y as q, count(*) as f from (select lang, unnest(w[1:len(w) - 1]) as x, unnest(w[2:len(w)]) as y from p where len(w) >= 2) group by all having count(*) >= 10),
+        f3 as (select lang, x as p, y as q, z as s, count(*) as f from (select lang, unnest(w[1:len(w) - 2]) as x, unnest(w[2:len(w) - 1]) as y, unnest(w[3:len(w)]) as z from p where len(w) >= 3) group by all having count(*) >= 10),
+        c as (select f2.lang, f2.p || ' ' || f2.q as phrase, f2.f as a, l.f as l, r.f as r, 1 as k from f2 join f1 l on l.lang = f2.lang and l.p = f2.p join f1 r on r.lang = f2.lang and r.p = f2.q
+            where not exists (select 1 from f3 where f3.lang = f2.lang and ((f3.p = f2.p and f3.q = f2.q) or (f3.q = f2.p and f3.s = f2.q)) and 100 * f3.f >= 50 * f2.f)
+            union all select f3.lang, f3.p || ' ' || f3.q || ' ' || f3.s, f3.f, l.f, r.f, 1 from f3 join f1 l on l.lang = f3.lang and l.p = f3.p join f2 r on r.lang = f3.lang and r.p = f3.q and r.q = f3.s
+            union all select f3.lang, f3.p || ' ' || f3.q || ' ' || f3.s, f3.f, l.f, r.f, 2 from f3 join f2 l on l.lang = f3.lang and l.p = f3.p and l.q = f3.q join f1 r on r.lang = f3.lang and r.p = f3.s),
+        v as (select *, (1000000::hugeint * a * a) // (l::hugeint * r) as score from c),
+        b as (select * from v qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+        select o.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o join n on n.lang = o.lang where rank <= 2000
+    """,
 }
