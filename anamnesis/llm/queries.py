@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lines, lm, media, mixing, phrases, pieces, pii, quality, repair, rules, simhash, warc
+from . import jaccard, lines, lm, media, mixing, phrases, pieces, pii, quality, repair, rules, simhash, warc
 
 
 def piece_model() -> str:
@@ -54,6 +54,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
 
@@ -62,7 +66,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op5_rules, op6_media, op7_lm, op8_simhash, op9_lines, op10_mixing, op12_repair, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_quality, op4_sentencepiece, op5_rules, op6_media, op7_lm, op8_simhash, op9_lines, op10_mixing, op11_jaccard, op12_repair, op13_phrases)}
 
 ORACLE_SQL = {
     "op2_warc": """
