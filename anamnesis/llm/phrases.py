@@ -5,9 +5,9 @@ into words.  Words are counted first.  A phrase of k words is then counted only
 k - 1 words in it are frequent, and every frequent phrase is cut in two in each way; the levels' tables
 hold the counts of both parts, as no part is rarer than its whole.
 
-The frequent phrases of a level go to all tasks while they are small (BROADCAST bytes, measured); more
-of them meet phrases that were counted first, by a join whose hot keys can be split.  Both ways give
-the same rows.
+The frequent phrases of a level go to all tasks while they are small (BROADCAST bytes); more of them
+meet phrases that were counted first, by a join whose hot keys can be split.  Both ways give the same
+rows.
 
 A null text has no words, a null lang is `und`. Repeated rows count as often as they come. Pieces
 never join words across a stop, and very long texts are read as pieces. No rows give no rows, nor does
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CUT, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+CUT, BLANK = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: Words of a phrase, least count, per cent of a phrase's count that lets a longer one stand for it, rows of a language.
 LONGEST, LEAST, COVER, MOST = 3, 10, 50, 2000
-#: Bytes of a level's table that are sent to all tasks; ROW is what a row takes besides its words.
-BROADCAST, ROW = 64 << 20, 64
+#: Bytes of a level's table that are sent to all tasks; what a row takes besides its words, and as a hash.
+BROADCAST, ROW, HASHED = 64 << 20, 64, 32
 #: Parts that a language's candidates are ranked in before their best are ranked together.
 PARTS = 16
 
@@ -37,7 +37,8 @@ def pieces(documents: DataFrame) -> DataFrame:
     """(lang, w): the words of each piece that has one."""
     text = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
     cut = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, CUT, -1)).alias("piece"))
-    return cut.select("lang", F.regexp_extract_all("piece", F.lit(WORD), 0).alias("w")).where(F.size("w") > 0)
+    cut = cut.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
+    return cut.select("lang", F.split("piece", BLANK, -1).alias("w"))
 
 
 def names(k: int, first: int = 0) -> list[str]:
@@ -66,13 +67,21 @@ def counted(level: DataFrame, first: int, name: str) -> DataFrame:
 
 
 def next_level(cut: DataFrame, k: int, below: DataFrame, least: int) -> DataFrame:
-    """(lang, w0, ..., f): the phrases of k words that come at least so often; below has those of k - 1."""
-    small = sent(below)[1]
+    """(lang, w0, ..., f): the phrases of k words that come at least so often; below has those of k - 1.
+
+    Tasks that get the level below get a 64-bit hash for each of its phrases. What passes by chance is
+    counted by its words like the rest, and isn't frequent, as no phrase is without frequent parts.
+    """
+    hashed = below.select(F.xxhash64("lang", *names(k - 1)).alias("_h"))
+    small = below.count() * HASHED <= BROADCAST
 
     def both(df: DataFrame) -> DataFrame:
         for first in (0, 1):
-            part = counted(below, first, "_f").drop("_f")
-            df = df.join(F.broadcast(part) if small else part.hint("merge"), ["lang", *names(k - 1, first)], "left_semi")
+            part = names(k - 1, first)
+            if small:
+                df = df.join(F.broadcast(hashed), F.xxhash64("lang", *part) == hashed["_h"], "left_semi")
+            else:
+                df = df.join(counted(below, first, "_f").drop("_f").hint("merge"), ["lang", *part], "left_semi")
         return df
 
     count = lambda df: df.groupBy("lang", *names(k)).agg(F.count("*").alias("f"))
