@@ -57,9 +57,13 @@ def most_apart(sizes: int, p: int, q: int) -> int:
     return sizes * (q - p) // (q + p)
 
 
-def segment_keys(hashes: np.ndarray, band: int, end: int, p: int, q: int) -> np.ndarray:
-    """The keys of a set's segments in a band whose sizes end before `end`; none where only equal sets are alike."""
-    count = most_apart(2 * (end - 1), p, q) + 1
+def segment_keys(hashes: np.ndarray, band: int, p: int, q: int) -> np.ndarray:
+    """The keys of a set's segments in a band; none where only equal sets are alike.
+
+    There are enough segments for the band's largest sets. Of these the first are taken that the set needs for
+    its own partners: any D + 1 segments will do for what differs in D shingles.
+    """
+    count = most_apart(2 * (STARTS[band + 1] - 1), p, q) + 1
     if count == 1:
         return np.zeros(0, np.int64)
     turned = mixed(hashes ^ mixed(np.full(1, band, np.uint64) * STEP))
@@ -68,17 +72,18 @@ def segment_keys(hashes: np.ndarray, band: int, end: int, p: int, q: int) -> np.
     keys = mixed(np.arange(count, dtype=np.uint64) + np.uint64(band << 40))
     # A bit that is flipped twice cancels out.
     np.bitwise_xor.at(keys, segment.astype(np.int64), mixed(bit * MIX + STEP))
-    return keys.view(np.int64)
+    n = len(hashes)
+    return keys.view(np.int64)[: most_apart(n + n * q // p, p, q) + 1]
 
 
 def keys_of(hashes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     """A set's keys in the band of its size, and those as a guest of the next ones that larger partners may be in."""
     band = bisect_right(STARTS, len(hashes)) - 1
-    home = segment_keys(hashes, band, STARTS[band + 1], p, q)
+    home = segment_keys(hashes, band, p, q)
     guest = [np.zeros(0, np.int64)]
     while len(hashes) * q >= p * STARTS[band + 1]:
         band += 1
-        guest.append(segment_keys(hashes, band, STARTS[band + 1], p, q))
+        guest.append(segment_keys(hashes, band, p, q))
     return home, np.concatenate(guest)
 
 
@@ -121,28 +126,16 @@ def stars(kinds: DataFrame, p: int, q: int) -> DataFrame:
     return materialize(met.where(F.col("many") | (F.least("n", "pn") * q >= F.greatest("n", "pn") * p)).select("pivot", "node", "many"), "jaccard-stars")
 
 
-def sets_of(nodes: DataFrame, kinds: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """(node, set): the sorted hashes of these nodes' shingles; of a node's texts one is read."""
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for node, text in rows(batch, "node", "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([shingles(text, size).view(np.int64)], pa.list_(pa.int64()))], ["node", "set"])
-
-    wanted = materialize(nodes.distinct().join(kinds.select("node", "digest"), "node"), "jaccard-wanted")
-    texts = documents.select(digest(F.col("text")).alias("digest"), "text").join(sent(wanted), "digest").groupBy("node").agg(F.first("text").alias("text"))
-    return materialize(texts.mapInArrow(run, "node bigint, set array<bigint>"), "jaccard-sets")
-
+def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: int, p: int, q: int) -> DataFrame:
+    """(pivot, pn, node, n, d, linked, many, apart): the shingles that each member and its pivot differ in; these themselves where many.
 
-def differences(star: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """(pivot, pn, node, n, d, linked, many, apart): the shingles that each member and its pivot differ in; these themselves where many."""
+    Of a node's texts one is read. Members come after their pivot, and a pivot with many is in many tasks.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        pivot, size, held, out = None, 0, None, []
+        pivot, held, out = None, None, []
         names = ["pivot", "pn", "node", "n", "d", "linked", "many", "apart"]
 
         def batch_of(found):
@@ -150,16 +143,14 @@ def differences(star: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
 
         for batch in batches:
-            told = {c: batch.column(batch.schema.get_field_index(c)) for c in ("pivot", "node", "many", "set")}
-            for i in range(batch.num_rows):
-                node, mine = told["node"][i].as_py(), told["set"][i].values.to_numpy(zero_copy_only=False)
-                if node is None:
-                    pivot, size, held = told["pivot"][i].as_py(), len(mine), mine.copy()
+            for at, node, many, text in rows(batch, "pivot", "node", "many", "text"):
+                mine = shingles(text, size).view(np.int64)
+                if many is None:
+                    pivot, held = at, mine
                     continue
                 apart = np.setxor1d(held, mine, assume_unique=True)
-                n, many = len(mine), told["many"][i].as_py()
-                linked = q * (size + n - len(apart)) >= p * (size + n + len(apart))
-                out.append((pivot, size, node, n, len(apart), linked, many, apart if many else None))
+                linked = q * (len(held) + len(mine) - len(apart)) >= p * (len(held) + len(mine) + len(apart))
+                out.append((pivot, len(held), node, len(mine), len(apart), linked, many, apart if many else None))
                 if len(out) == 256:
                     yield batch_of(out)
                     out = []
@@ -168,12 +159,14 @@ def differences(star: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
     parts = F.ceil(F.col("c") / PART).cast("int")
     loads = materialize(star.groupBy("pivot").agg(F.count("*").alias("c")).select("pivot", parts.alias("parts")), "jaccard-loads")
-    dealt = star.join(loads, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "many")
-    heads = loads.join(sets, F.col("pivot") == F.col("node")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("boolean").alias("many"), "set")
-    both = heads.unionByName(dealt.join(sets, "node").select("pivot", "part", "node", "many", "set"))
-    held = both.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "node")
+    heads = loads.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("boolean").alias("many"))
+    dealt = star.join(loads, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "many")
+    places = materialize(heads.unionByName(dealt), "jaccard-places")
+    wanted = materialize(places.select("node").distinct().join(kinds.select("node", "digest"), "node"), "jaccard-wanted")
+    texts = documents.select(digest(F.col("text")).alias("digest"), "text").join(sent(wanted), "digest").groupBy("node").agg(F.first("text").alias("text"))
+    held = texts.join(places.hint("merge"), "node").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("many").isNotNull(), "node")
     schema = "pivot bigint, pn bigint, node bigint, n bigint, d bigint, linked boolean, many boolean, apart array<bigint>"
-    return materialize(held.mapInArrow(run, schema), "jaccard-differences")
+    return materialize(held.select("pivot", "node", "many", "text").mapInArrow(run, schema), "jaccard-differences")
 
 
 def from_the_centre(found: DataFrame) -> DataFrame:
@@ -242,8 +235,7 @@ def joined(documents: DataFrame, size: int = SHINGLE, like: tuple[int, int] = LI
     kinds = told.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.first("home").alias("home"), F.first("guest").alias("guest"))
     kinds = materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "jaccard-kinds")
     star = stars(kinds, p, q)
-    sets = sets_of(star.select("node").unionByName(star.select(F.col("pivot").alias("node"))), kinds, documents, size)
-    found = differences(star, sets, p, q)
+    found = differences(star, kinds, documents, size, p, q)
     links = found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return told, kinds, materialize(links.unionByName(meet(from_the_centre(found), p, q)), "jaccard-links")
 
