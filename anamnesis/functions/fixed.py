@@ -69,3 +69,5 @@ LINE_BREAKERS = "  \u0085\u000b\u000c\u001c\u001d\u001e"
 # Rank fusion and BM25 parameters.
 RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT = 60, 1.0, 0.5
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
+# Weights of units that came after an index was built.
+DELTA_K1, DELTA_B = 1.2, 0.75

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import models
 
 
 def first_requests(batches: DataFrame) -> DataFrame:
@@ -105,4 +108,23 @@ def word_slices(texts: DataFrame, key: str, size: int = 2000) -> DataFrame:
     return df.select(key, "part", F.array_join(F.slice("w", F.col("part") * size + 1, F.lit(size)), " ").alias("content"))
 
 
-STRATEGIES = {"session": session_units, "message": line_units, "window": window_units}
+#: Ends of a line of a model's answer.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def card_units(messages: DataFrame, log: str, make: Callable[[], Callable[[str], str]], prompt: str = "", **how) -> DataFrame:
+    """(user_id, session_id, place, content, ts, is_card): a unit a session, and after it the fact cards that a model made of it.
+
+    Lines of an answer that start with a bracket are cards, without spaces and dashes around. A session is
+    asked for once (models.remembered); a failing call gives no cards, and its session stays.
+    """
+    told = session_units(messages).withColumn("id", F.struct("user_id", "session_id"))
+    said = models.remembered(told.select("id", F.concat(F.lit(prompt), "content").alias("prompt")), log, make, **how)
+    lines = F.filter(F.split(F.coalesce("answer", F.lit("")), LINE_END, -1), lambda x: F.regexp_replace(x, r"(?U)^\s+", "").startswith("["))
+    cards = told.select("id", "ts").join(said, "id").select("id", "ts", F.posexplode(F.transform(lines, lambda x: F.btrim(x, F.lit(" -")))).alias("n", "content"))
+    columns = ["id.user_id", "id.session_id", "place", "content", "ts", "is_card"]
+    units = told.withColumn("place", F.lit(0)).withColumn("is_card", F.lit(False)).select(*columns)
+    return units.unionByName(cards.withColumn("place", F.col("n") + 1).withColumn("is_card", F.lit(True)).select(*columns))
+
+
+STRATEGIES = {"session": session_units, "message": line_units, "window": window_units, "llm_cards": card_units}

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import memo
+
 #: Put before a query, not before documents, by encoders that were trained so.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
@@ -66,12 +68,19 @@ def answered(prompts: DataFrame, make: Callable[[], Callable[[str], str]], tries
     return prompts.select("id", "prompt").mapInPandas(run, f"id {dict(prompts.dtypes)['id']}, answer string, error string")
 
 
-def remembered(prompts: DataFrame, cache: DataFrame, make, **how) -> tuple[DataFrame, DataFrame]:
-    """(answers, new cache rows): prompts known by their md5 aren't asked again. cache: (k, answer)."""
-    keyed = prompts.withColumn("k", F.md5(F.col("prompt").cast("binary")))
-    asked = keyed.join(cache, "k", "left_anti").dropDuplicates(["k"]).select(F.col("k").alias("id"), "prompt")
-    new = answered(asked, make, **how).where("error is null").select(F.col("id").alias("k"), "answer")
-    return keyed.join(cache.select("k", "answer").unionByName(new), "k", "left").select("id", "answer"), new
+def remembered(prompts: DataFrame, log: str, make: Callable[[], Callable[[str], str]], **how) -> DataFrame:
+    """(id, answer) of prompts (id, prompt): one call for each prompt that a memo log doesn't know by its md5.
+
+    New answers are written to the log (k, answer) first, and all are read from it, so that a call is made
+    once, whatever reads the result; a second run makes none. A failing call leaves no row, and a null answer.
+    """
+    keyed = prompts.select("id", "prompt", F.md5(F.coalesce("prompt", F.lit("")).cast("binary")).alias("k"))
+
+    def ask(keys: DataFrame) -> DataFrame:
+        said = answered(keys.select(F.col("k").alias("id"), "prompt"), make, **how)
+        return said.where("error is null").select(F.col("id").alias("k"), "answer")
+
+    return memo(keyed, log, "k string, answer string", ask).select("id", "answer")
 
 
 def aligned(rows: DataFrame, make: Callable[[], Callable[[str, str], bool]]) -> DataFrame:

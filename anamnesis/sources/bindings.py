@@ -10,10 +10,10 @@ from ..operators.ingest import assign_seq
 from ..session import table
 
 
-def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """(user_id, session_id, seq, role, ts, content) of the conversations."""
+def told_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, session_id, arrival, conv_id, turn, role, ts, content) of the conversations."""
     c = table(spark, sf, "conversations")
-    m = c.select(
+    return c.select(
         F.concat(F.lit("u"), F.col("conv_id") % 5).alias("user_id"),
         F.col("conv_id").cast("string").alias("session_id"),
         "conv_id",
@@ -21,12 +21,17 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         "role",
         (F.lit(1704067200000) + F.col("conv_id") * 86400000 + F.col("turn") * 60000).alias("ts"),
         F.col("text").alias("content"),
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("arrival"),
     )
-    return assign_seq(m, ["conv_id", "turn"], F.floor(F.col("conv_id") / 1000)).select("user_id", "session_id", "seq", "role", "ts", "content")
 
 
-def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """(user_id, session_id, seq, role, ts, content) of a narrative made of the orders, which sets off every rule."""
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, session_id, seq, role, ts, content) of the conversations."""
+    return assign_seq(told_messages(spark, sf), ["conv_id", "turn"], F.floor(F.col("conv_id") / 1000)).select("user_id", "session_id", "seq", "role", "ts", "content")
+
+
+def told_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, session_id, arrival, role, ts, content) of a narrative made of the orders, which sets off every rule."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     noun = F.create_map(*map(F.lit, ["AUTOMOBILE", "engine freight quota", "BUILDING", "cement crane permit", "FURNITURE", "walnut table catalog", "HOUSEHOLD", "kitchen linen voucher", "MACHINERY", "turbine lathe warranty"]))
     key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 4
@@ -37,7 +42,7 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 3, F.concat(F.lit("We met Acme Logistics and discussed the "), noun, F.lit(" "), (key % 9 + 2).cast("string"), F.lit(" days ago.")))
         .otherwise(F.concat(F.lit("The "), noun, F.lit(" invoice arrived with "), (key % 90 + 10).cast("string"), F.lit(" boxes yesterday.")))
     )
-    m = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.concat(F.lit("u"), F.col("o_custkey") % 5).alias("user_id"),
         F.concat(F.lit("s"), F.col("o_custkey")).alias("session_id"),
         key.alias("arrival"),
@@ -45,7 +50,11 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
         F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"),
         text.alias("content"),
     )
-    return assign_seq(m, ["arrival"], F.floor(F.col("arrival") / 100000)).select("user_id", "session_id", "seq", "role", "ts", "content")
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    """told_facts with seq in place of arrival."""
+    return assign_seq(told_facts(spark, sf), ["arrival"], F.floor(F.col("arrival") / 100000)).select("user_id", "session_id", "seq", "role", "ts", "content")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,44 @@ def load_source(spark: SparkSession, rows: int, users: int = 64, seed: int = 7)
     return spark.range(rows).select(F.concat(F.lit("u"), F.col("id") % users).alias("user_id"), F.concat(F.lit("r"), "id").alias("request_id"), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("message "), i.cast("string"))).alias("messages"))
 
 
-def cached(keys: DataFrame, cache: DataFrame, compute) -> tuple[DataFrame, DataFrame]:
-    """(all, new): rows of a memo table for keys, and those that had to be computed and should be appended. Both have column k."""
-    new = compute(keys.join(cache, "k", "left_anti"))
-    return keys.join(cache.unionByName(new), "k"), new
+def memo(keys: DataFrame, log: str, schema: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """keys with what a memo log of a schema (k, ...) knows of each; what it doesn't know is computed, a row a key, and written to it first.
+
+    keys have column k; a key that compute leaves out has nulls. Of a key that two runs wrote at one time one row counts.
+    """
+    spark = keys.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").parquet(log)
+    known = lambda: spark.read.schema(schema).parquet(log).dropDuplicates(["k"])
+    compute(keys.join(known().select("k"), "k", "left_anti").dropDuplicates(["k"])).write.mode("append").parquet(log)
+    return keys.join(known(), "k", "left")
+
+
+def append_resumable(todo: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], slices: int = 16, most: int | None = None) -> int:
+    """Does the rows of todo that aren't done, a slice of ids at a time, and returns how many slices it committed.
+
+    work gives (id, ..., error). A slice's rows are written first, and then its ids to the log of done ones:
+    a run that breaks leaves no half of a slice behind, and the next one does what is missing. Rows that
+    ended in an error are tried again. most: slices that a run does at most.
+    """
+    spark, count = todo.sparkSession, 0
+    kind = dict(todo.dtypes)["id"]
+    log = f"id {kind}, failed boolean, slice int, commit bigint"
+    spark.createDataFrame([], f"id {kind}, failed boolean, slice int").write.mode("ignore").parquet(f"{path}/done/commit=0")
+    sliced = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
+    done = spark.read.schema(log).parquet(f"{path}/done")
+    left = todo.join(done.where("not failed").select("id"), "id", "left_anti").select(sliced.alias("s")).distinct()
+    for (n,) in sorted(left.collect())[:most]:
+        done = spark.read.schema(log).parquet(f"{path}/done")
+        commit = (done.agg(F.max("commit")).head()[0] or 0) + 1
+        rest = todo.where(sliced == n).join(done.where((F.col("slice") == n) & ~F.col("failed")).select("id"), "id", "left_anti")
+        work(rest).write.mode("overwrite").parquet(f"{path}/rows/commit={commit}")
+        rows = spark.read.parquet(f"{path}/rows/commit={commit}")
+        rows.select("id", F.col("error").isNotNull().alias("failed"), F.lit(n).alias("slice")).write.mode("overwrite").parquet(f"{path}/done/commit={commit}")
+        count += 1
+    return count
+
+
+def resumed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What append_resumable has committed: each id once, by its last try."""
+    done = spark.read.parquet(f"{path}/done").groupBy("id").agg(F.max("commit").alias("commit"))
+    return spark.read.parquet(f"{path}/rows").join(done, ["id", "commit"]).drop("commit")

@@ -1,35 +1,80 @@
-"""Incremental ingest: each request once, sequence numbers without gaps."""
+"""Incremental ingest: each request once, sequence numbers without gaps, and no batch reads the messages before it.
+
+Requests that were seen are keyed streaming state, a key a user's request, so that a user of any size is
+spread over all tasks. A user's next number is a row of a table of latest values. A micro-batch that comes
+again finds the numbers of the batches before it, and replaces itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ingest import assign_seq, first_requests
+from ..sources.batches import Batches
 
+#: Columns of an incoming message.
+INCOMING = "user_id string, session_id string, request_id string, arrival bigint, role string, ts bigint, content string"
+#: Arrivals that are numbered together; a user's messages in one batch are numbered by as many tasks as they span parts.
+SPAN = 100_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def append_batch(spark: SparkSession, batch: DataFrame, path: str, batch_id: int) -> None:
-    """Adds a micro-batch to the table at path; a batch that comes again replaces itself.
 
-    Requests seen in an earlier batch are dropped; numbering goes on from each user's last.
+def only_new(source: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Messages of a stream whose request wasn't seen since its user cleared; of a request in one batch the first by arrival.
+
+    Requests without an id all pass. cleared: (user_id, upto), a row a user.
     """
-    new = first_requests(batch)
-    try:
-        old = spark.read.parquet(path).where(F.col("batch") < batch_id)
-        new = new.join(old.select("user_id", "request_id").distinct(), ["user_id", "request_id"], "left_anti")
-        last = old.groupBy("user_id").agg((F.max("seq") + 1).alias("_next"))
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = None
-    numbered = assign_seq(new, ["arrival"], F.lit(0))
-    if last is not None:
-        numbered = numbered.join(last, "user_id", "left").withColumn("seq", F.col("seq") + F.coalesce("_next", F.lit(0))).drop("_next")
-    numbered.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
-def run(source: DataFrame, path: str, checkpoint: str) -> None:
-    """Takes all of a streaming source into the table at path."""
+
+    def first(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        best = None
+        for f in frames:
+            at = f.loc[[f["arrival"].idxmin()]]
+            if best is None or at["arrival"].iloc[0] < best["arrival"].iloc[0]:
+                best = at
+        state.update((True,))
+        yield best
+
+    named = F.coalesce("request_id", F.lit("")) != ""
+    since = source.join(cleared.select(F.col("user_id").alias("_u"), F.col("upto").alias("_since")), F.col("user_id") == F.col("_u"), "left")
+    since = since.drop("_u").withColumn("_since", F.coalesce("_since", F.lit(-1)))
+    schema = f"{INCOMING}, _since bigint"
+    columns = [f.split()[0] for f in schema.split(", ")]
+    new = since.where(named).select(*columns).groupBy("user_id", "request_id", "_since").applyInPandasWithState(first, schema, "seen boolean", "append", "NoTimeout")
+    return new.unionByName(since.where(~named).select(*columns)).drop("_since")
+
+
+def numbered(store: Batches, new: DataFrame, batch: int, part: Column | None = None) -> DataFrame:
+    """Writes a batch's messages, numbered on from each user's last, and the users' next numbers."""
+    span = F.floor(F.col("arrival") / SPAN) if part is None else part
+    held = store.held(assign_seq(new, ["arrival"], span))
+    last = store.latest("counters", ["user_id"], batch - 1).select(F.col("user_id").alias("_u"), "next")
+    at = held.join(last, F.col("user_id") == F.col("_u"), "left").withColumn("seq", F.col("seq") + F.coalesce("next", F.lit(0)))
+    written = store.write("messages", batch, at)
+    store.put_latest("counters", ["user_id"], batch, written.groupBy("user_id").agg((F.max("seq") + 1).alias("next")))
+    return written
+
+
+def append_batch(store: Batches, batch: DataFrame, number: int) -> DataFrame:
+    """Adds a batch whose requests are known to be new; of equal ones within it the first counts."""
+    return numbered(store, first_requests(batch), number)
+
+
+def run(source: DataFrame, store: Batches, checkpoint: str) -> None:
+    """Takes all of a streaming source of INCOMING into a store. The requests seen are kept by RocksDB, beyond the workers' memory."""
     spark = source.sparkSession
-    query = source.writeStream.foreachBatch(lambda df, n: append_batch(spark, df, path, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    cleared = store.stored("cleared").groupBy("user_id").agg(F.max("upto").alias("upto"))
+    try:
+        out = only_new(source, cleared).writeStream.foreachBatch(lambda df, n: numbered(store, store.held(df), n))
+        out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from anamnesis.operators import evaluation, ingest, retrieval, updates
 from anamnesis.plans.search import Options, search
-from anamnesis.streaming import ingest as stream
 
 
 def facts(spark, rows):
@@ -101,19 +100,6 @@ def test_recall(spark):
     assert [(round(r.r.recall, 4), r.r.n) for r in df.collect()] == [(0.6667, 3), (1.0, 0)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    schema = "user_id string, request_id string, arrival bigint, content string"
-    rows = [(f"u{i % 3}", f"r{i // 2 % 40}", i, "x") for i in range(200)]
-    for k in range(4):
-        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    stream.run(source, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
-    got = spark.read.parquet(f"{tmp_path}/out")
-    want = ingest.assign_seq(ingest.first_requests(spark.createDataFrame(rows, schema)), ["arrival"], F.lit(0))
-    assert got.select("user_id", "request_id").distinct().count() == got.count() == want.count()
-    assert sorted((r.user_id, r.seq) for r in got.collect()) == sorted((r.user_id, r.seq) for r in want.collect())
-
-
 def test_timeline_and_traits(spark):
     from anamnesis.operators import cards
 

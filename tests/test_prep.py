@@ -61,9 +61,6 @@ def test_models_fail_softly(spark):
     ask = lambda: lambda p: p.upper() if p.strip() else 1 / 0
     out = {r.id: (r.answer, r.error is None) for r in models.answered(prompts, ask, tries=2, wait=0).collect()}
     assert out == {1: ("AB", True), 2: (None, False), 3: ("ABC", True)}
-    cache = spark.createDataFrame([("187ef4436122d1cc2f40dc2b92f0eba0", "known")], "k string, answer string")
-    answers, new = models.remembered(prompts, cache, ask, tries=1, wait=0)
-    assert {r.id: r.answer for r in answers.collect()} == {1: "known", 2: None, 3: "ABC"} and new.count() == 1
     rows = spark.createDataFrame([(["a", "b"], ["B!", "c", "B"])], "reference array<string>, system array<string>")
     assert models.aligned(rows, lambda: lambda r, s: s.lower().startswith(r)).first().system_aligned == ["b", "c", "B"]
 
