@@ -84,15 +84,24 @@ def next_level(cut: DataFrame, k: int, below: DataFrame, least: int) -> DataFram
                 df = df.join(counted(below, first, "_f").drop("_f").hint("merge"), ["lang", *part], "left_semi")
         return df
 
-    count = lambda df: df.groupBy("lang", *names(k)).agg(F.count("*").alias("f"))
-    found = count(both(grams(cut, k))) if small else both(count(grams(cut, k)))
-    return materialize(found.where(F.col("f") >= least), f"phrases-{k}")
+    found = packed_counts(both(grams(cut, k)), k, least) if small else both(packed_counts(grams(cut, k), k, least))
+    return materialize(found, f"phrases-{k}")
+
+
+def packed_counts(df: DataFrame, k: int, least: int) -> DataFrame:
+    """(lang, w0, ..., f) of what comes at least so often; phrases are shuffled as one string, which takes half the bytes of several."""
+    packed = df.select(F.concat_ws("\t", "lang", F.concat_ws(" ", *names(k))).alias("p")).groupBy("p").agg(F.count("*").alias("f"))
+    # Words have neither blanks nor tabs, a language may.
+    phrase = F.substring_index("p", "\t", -1)
+    lang = F.substring("p", F.lit(1), F.length("p") - F.length(phrase) - 1)
+    words = F.split(phrase, " ", -1)
+    return packed.where(F.col("f") >= least).select(lang.alias("lang"), *(words[i].alias(f"w{i}") for i in range(k)), "f")
 
 
 def levels(documents: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and a table (lang, w0, ..., f) of the frequent phrases of 1, 2, ... words."""
     cut = pieces(documents)
-    words = materialize(grams(cut, 1).groupBy("lang", "w0").agg(F.count("*").alias("f")), "phrases-words")
+    words = materialize(packed_counts(grams(cut, 1), 1, 1), "phrases-words")
     tables = [materialize(words.where(F.col("f") >= least), "phrases-1")]
     for k in range(2, longest + 1):
         tables.append(next_level(cut, k, tables[-1], least))

@@ -45,7 +45,7 @@ def rows():
     words = ["a", "B", "the", "é", "of", "x|y", " ", "THE", "q", "z"]
     ends = [" ", "  ", "\t", " ", " ", ". ", ",", "\n", "!", " "]
     out = [(i, "".join(random.choice(words[: 3 + i % 8]) + random.choice(ends) for _ in range(random.randint(0, 60))), random.choice(["en", "de", None, "und"])) for i in range(300)]
-    return out + [(1000, None, "en"), (None, "", "en"), (1001, " \t.,", None), (1002, "only here once", "xx"), (1003, "new york city " * 20_000, "en")] + [(7, "same old row again", "fr")] * 12
+    return out + [(1000, None, "en"), (None, "", "en"), (1001, " \t.,", None), (1002, "only here once", "xx"), (1004, "a b a b a b", "e\tn "), (1005, "a b", ""), (1003, "new york city " * 20_000, "en")] + [(7, "same old row again", "fr")] * 12
 
 
 @pytest.mark.parametrize("bound", [1 << 26, 0])
