@@ -37,8 +37,8 @@ from .tokens import MIX, STEP, mixed
 
 #: Words of a shingle; p and q of the similarity; bits of a segment.
 SHINGLE, LIKE, WIDTH = 3, (90, 100), 256
-#: Members of a pivot that are compared in one task.
-PART = 256
+#: Members of a pivot that are compared in one task; shingles of its first ones that its centre is found by.
+PART, CENTRE = 256, 1 << 21
 
 
 def band_starts(largest: int = 1 << 40) -> list[int]:
@@ -109,10 +109,11 @@ def prints(documents: DataFrame, size: int, p: int, q: int) -> DataFrame:
     return documents.select("doc_id", digest(F.col("text")).alias("digest"), "text").mapInArrow(run, schema)
 
 
-def stars(kinds: DataFrame, p: int, q: int) -> DataFrame:
+def stars(told: DataFrame, kinds: DataFrame, p: int, q: int) -> DataFrame:
     """(pivot, node, many) of nodes that share a key with its pivot; many, if the key has a third member."""
     flagged = lambda c, home: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(home).alias("home")))
-    keyed = kinds.select("node", F.explode(F.concat(flagged("home", True), flagged("guest", False))).alias("x")).select("node", "x.*")
+    one = told.select("row", "home", "guest").join(sent(kinds.select(F.col("node").alias("row"))), "row", "left_semi")
+    keyed = one.select(F.col("row").alias("node"), F.explode(F.concat(flagged("home", True), flagged("guest", False))).alias("x")).select("node", "x.*")
     known = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("home")).where("c > 1 and home").select("key", "c")
     # Merge joins: a hot key's members can be split among tasks.
     members = materialize(keyed.select("key", "node").join(materialize(known, "jaccard-keys").hint("merge"), "key"), "jaccard-members")
@@ -126,34 +127,58 @@ def stars(kinds: DataFrame, p: int, q: int) -> DataFrame:
     return materialize(met.where(F.col("many") | (F.least("n", "pn") * q >= F.greatest("n", "pn") * p)).select("pivot", "node", "many"), "jaccard-stars")
 
 
+def central(members: list[tuple]) -> tuple:
+    """Of members (node, n, more, less) of a pivot the one that differs least from what most of them have."""
+    words, counts = np.unique(np.concatenate([w for _, _, more, less in members for w in (more, less)]), return_counts=True)
+    odd = words[2 * counts > len(members)]
+    off = lambda m: len(np.setxor1d(np.concatenate(m[2:]), odd, assume_unique=True))
+    return min(members, key=lambda m: (off(m), m[0]))
+
+
 def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: int, p: int, q: int) -> DataFrame:
-    """(pivot, pn, node, n, d, linked, many, apart): the shingles that each member and its pivot differ in; these themselves where many.
+    """(pivot, pn, node, n, linked, centre, more, less): what each member has that its pivot hasn't, and what it lacks; null unless many.
 
     Of a node's texts one is read. Members come after their pivot, and a pivot with many is in many tasks.
+    A row more, with centre, is the most central of the pivot and some of its members (see central).
     """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        pivot, held, out = None, None, []
-        names = ["pivot", "pn", "node", "n", "d", "linked", "many", "apart"]
+        pivot, held, out, some, room = None, None, [], [], 0
+        names = ["pivot", "pn", "node", "n", "linked", "centre", "more", "less"]
 
         def batch_of(found):
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
 
+        def centre() -> list[tuple]:
+            if len(some) < 2:
+                return []
+            node, n, more, less = central(some)
+            return [(pivot, len(held), node, n, None, True, more, less)]
+
         for batch in batches:
-            for at, node, many, text in rows(batch, "pivot", "node", "many", "text"):
+            for at, part, node, many, text in rows(batch, "pivot", "part", "node", "many", "text"):
                 mine = shingles(text, size).view(np.int64)
                 if many is None:
+                    out += centre()
                     pivot, held = at, mine
+                    none = held[:0]
+                    # The first part of a pivot looks for its centre, among as many as it has room for.
+                    some, room = [(node, len(held), none, none)] if part == 0 else [], CENTRE
                     continue
-                apart = np.setxor1d(held, mine, assume_unique=True)
-                linked = q * (len(held) + len(mine) - len(apart)) >= p * (len(held) + len(mine) + len(apart))
-                out.append((pivot, len(held), node, len(mine), len(apart), linked, many, apart if many else None))
-                if len(out) == 256:
+                more, less = np.setdiff1d(mine, held, assume_unique=True), np.setdiff1d(held, mine, assume_unique=True)
+                apart = len(more) + len(less)
+                linked = q * (len(held) + len(mine) - apart) >= p * (len(held) + len(mine) + apart)
+                if many and some and apart <= room:
+                    some.append((node, len(mine), more, less))
+                    room -= apart
+                out.append((pivot, len(held), node, len(mine), linked, False, *((more, less) if many else (None, None))))
+                if len(out) >= 256:
                     yield batch_of(out)
                     out = []
+        out += centre()
         if out:
             yield batch_of(out)
 
@@ -165,29 +190,25 @@ def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: i
     wanted = materialize(places.select("node").distinct().join(kinds.select("node", "digest"), "node"), "jaccard-wanted")
     texts = documents.select(digest(F.col("text")).alias("digest"), "text").join(sent(wanted), "digest").groupBy("node").agg(F.first("text").alias("text"))
     held = texts.join(places.hint("merge"), "node").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("many").isNotNull(), "node")
-    schema = "pivot bigint, pn bigint, node bigint, n bigint, d bigint, linked boolean, many boolean, apart array<bigint>"
-    return materialize(held.select("pivot", "node", "many", "text").mapInArrow(run, schema), "jaccard-differences")
+    schema = "pivot bigint, pn bigint, node bigint, n bigint, linked boolean, centre boolean, more array<bigint>, less array<bigint>"
+    return materialize(held.select("pivot", "part", "node", "many", "text").mapInArrow(run, schema), "jaccard-differences")
 
 
 def from_the_centre(found: DataFrame) -> DataFrame:
-    """(pivot, pn, node, n, apart): the members of pivots that have unlinked ones, and the pivots themselves, told from a central member.
-
-    The member that differs least from what most of them have. pn is its size from here on.
-    """
-    some = found.where("many")
-    open_ = some.where("not linked").select("pivot").distinct()
-    told = some.join(open_, "pivot", "left_semi").select("pivot", "node", "n", "apart")
-    itself = some.join(open_, "pivot", "left_semi").select("pivot", F.col("pivot").alias("node"), F.col("pn").alias("n"), F.array().cast("array<bigint>").alias("apart")).dropDuplicates(["pivot"])
-    told = materialize(told.unionByName(itself), "jaccard-told")
-    sizes = told.groupBy("pivot").agg(F.count("*").alias("members"))
-    often = told.select("pivot", F.explode("apart").alias("w")).groupBy("pivot", "w").agg(F.count("*").alias("c"))
-    odd = often.join(sizes, "pivot").where("2 * c > members").groupBy("pivot").agg(F.collect_list("w").alias("odd"))
-    off = F.size("apart") + F.size("odd") - 2 * F.size(F.array_intersect("apart", "odd"))
-    centres = told.join(odd, "pivot", "left").withColumn("odd", F.coalesce("odd", F.array().cast("array<bigint>")))
-    centres = centres.groupBy("pivot").agg(F.min_by(F.struct("n", "apart"), F.struct(off, "node")).alias("x"), F.min(F.struct(off, "node")).alias("y"))
-    centres = materialize(centres.select("pivot", F.col("x.n").alias("pn"), F.col("x.apart").alias("centre"), F.col("y.node").alias("at")), "jaccard-centres")
-    turned = F.concat(F.array_except("apart", "centre"), F.array_except("centre", "apart"))
-    return materialize(told.join(centres, "pivot").select("pivot", "at", "pn", "node", "n", turned.alias("apart")), "jaccard-turned")
+    """(pivot, at, pn, node, n, more, less): the members of pivots that have unlinked ones, and the pivots themselves, told from their centre at, whose size is pn."""
+    none = F.array().cast("array<bigint>")
+    some = found.where("not centre and more is not null")
+    open_ = materialize(some.where("not linked").select("pivot").distinct(), "jaccard-open")
+    told = some.join(open_, "pivot", "left_semi").select("pivot", "node", "n", "more", "less")
+    centres = found.where("centre").join(open_, "pivot", "left_semi")
+    # A pivot has a centre if it has a member with many, that its first part had room for; else it is its own.
+    own = some.join(open_, "pivot", "left_semi").groupBy("pivot").agg(F.first("pn").alias("n")).select("pivot", F.col("pivot").alias("node"), "n", none.alias("more"), none.alias("less"))
+    found_at = centres.select("pivot", F.col("node").alias("at"), F.col("n").alias("pn"), F.col("more").alias("cm"), F.col("less").alias("cl"))
+    at = own.join(found_at, "pivot", "left").select("pivot", F.coalesce("at", "node").alias("at"), F.coalesce("pn", "n").alias("pn"), F.coalesce("cm", none).alias("cm"), F.coalesce("cl", none).alias("cl"))
+    met = told.unionByName(own).join(materialize(at, "jaccard-centres"), "pivot")
+    more = F.concat(F.array_except("more", "cm"), F.array_except("cl", "less")).alias("more")
+    less = F.concat(F.array_except("cm", "more"), F.array_except("less", "cl")).alias("less")
+    return met.select("pivot", "at", "pn", "node", "n", more, less)
 
 
 def alike(a: Column, b: Column, d: Column, p: int, q: int) -> Column:
@@ -199,26 +220,24 @@ def meet(told: DataFrame, p: int, q: int) -> DataFrame:
 
     Where x and z differ from the centre by dx and dz shingles, of which they share s, they differ by
     dx + dz - 2s, and D is the most that links them. If dx + dz is at most D both are linked to the
-    centre. Else they share at least t = (dx + dz - D) / 2, so that with one order of all shingles, rare
-    ones first, they meet in the first d - t + 1 of each. One of them, z, isn't linked to the centre: dz is
-    over its D with the centre, and D of x and z is over that by dx (q - p) / (q + p) at most. So t is at
-    least half of dx, about, and x is indexed by its rarer half; z by what is left with dx of 1.
+    centre. Else they share at least t = (dx + dz - D) / 2, so that with one order of all shingles they
+    meet in the first d - t + 1 of each: first what the centre lacks, as edits put in what is rare. One
+    of them, z, isn't linked to the centre: dz is over its D with the centre, and D of x and z is over
+    that by dx (q - p) / (q + p) at most. So t is at least half of dx, about, and x is indexed by the
+    first half of its differences; z by what is left with dx of 1.
     """
     n, d = F.col("n"), F.size("apart")
-    star = told.where("node <> at").where(alike(n, F.col("pn"), d, p, q)).select(F.col("at").alias("a"), F.col("node").alias("b"))
-    words = told.select("pivot", "node", F.explode("apart").alias("w"))
-    often = words.groupBy("pivot", "w").agg(F.count("*").alias("c"))
-    rare = words.join(often.where("c > 1").hint("merge"), ["pivot", "w"], "left").groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "w"))).alias("order"))
     slack = F.ceil(d * (q - p) / (q + p))
     half = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2))
     widest = F.floor((n + F.floor(n * q / p)) * (q - p) / (q + p))
     least = F.greatest(F.lit(1), F.ceil((d + 1 - widest) / 2))
-    items = told.select("pivot", "node", n, d.alias("d"), "apart", (~alike(n, F.col("pn"), d, p, q)).alias("out"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
-    items = materialize(items.where("d > 0").join(rare, ["pivot", "node"]), "jaccard-items")
-    # A shingle that no other member has leads nowhere.
-    prefix = lambda length: F.explode(F.filter(F.slice("order", F.lit(1), F.col(length)), lambda x: x["c"] > 1)).alias("x")
-    x = items.select("pivot", "node", prefix("short")).select("pivot", F.col("x.w").alias("w"), F.col("node").alias("a"))
-    z = items.where("out").select("pivot", "node", prefix("long")).select("pivot", F.col("x.w").alias("w"), F.col("node").alias("b"))
+    items = told.select("pivot", "at", "pn", "node", "n", F.concat(F.array_sort("more"), F.array_sort("less")).alias("apart"))
+    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", alike(n, F.col("pn"), d, p, q).alias("near"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
+    items = materialize(items, "jaccard-items")
+    star = items.where("near and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
+    prefix = lambda length: F.explode(F.slice("apart", F.lit(1), F.col(length))).alias("w")
+    x = items.where("d > 0").select("pivot", F.col("node").alias("a"), prefix("short"))
+    z = items.where("d > 0 and not near").select("pivot", F.col("node").alias("b"), prefix("long"))
     met = x.join(z.hint("merge"), ["pivot", "w"]).where("a <> b").select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: items.select("pivot", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("d").alias(f"d_{c}"), F.col("apart").alias(f"apart_{c}"))
     both = materialize(met, "jaccard-met").join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
@@ -231,10 +250,10 @@ def joined(documents: DataFrame, size: int = SHINGLE, like: tuple[int, int] = LI
     p, q = like
     if not 0 < p <= q:
         raise ValueError("a similarity is over 0 and at most 1")
-    told = materialize(prints(documents, size, p, q), "jaccard-prints")
-    kinds = told.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.first("home").alias("home"), F.first("guest").alias("guest"))
-    kinds = materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "jaccard-kinds")
-    star = stars(kinds, p, q)
+    told = materialize(prints(documents, size, p, q).withColumn("row", F.monotonically_increasing_id()), "jaccard-prints")
+    kinds = told.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.min("row").alias("node"))
+    kinds = materialize(kinds, "jaccard-kinds")
+    star = stars(told, kinds, p, q)
     found = differences(star, kinds, documents, size, p, q)
     links = found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return told, kinds, materialize(links.unionByName(meet(from_the_centre(found), p, q)), "jaccard-links")

@@ -110,10 +110,12 @@ def test_no_link_is_made_of_all_pairs(spark):
     met = []
     for n in (300, 600):
         docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id bigint, text string")
-        told = jaccard.prints(docs, 3, 90, 100).groupBy("h1", "h2", "n").agg(*(jaccard.F.first(c).alias(c) for c in ("digest", "home", "guest")))
-        kinds = jaccard.materialize(told.withColumn("node", jaccard.F.monotonically_increasing_id()), "test-kinds")
-        met.append(jaccard.stars(kinds, 90, 100).count())
-    assert met[1] < 3 * met[0] and met[1] < 600 * 20
+        told = jaccard.materialize(jaccard.prints(docs, 3, 90, 100).withColumn("row", jaccard.F.monotonically_increasing_id()), "test-prints")
+        kinds = jaccard.materialize(told.groupBy("h1", "h2", "n").agg(jaccard.F.min("row").alias("node"), jaccard.F.min("digest").alias("digest")), "test-kinds")
+        found = jaccard.differences(jaccard.stars(told, kinds, 90, 100), kinds, docs, 3, 90, 100)
+        met.append((found.count(), jaccard.from_the_centre(found).count()))
+    (a, b), (c, d) = met
+    assert c < 3 * a and d < 3 * b and c < 600 * 20
 
 
 def test_keys_keep_the_bound():
