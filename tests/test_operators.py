@@ -129,3 +129,19 @@ def test_reports(spark):
     assert sorted((r.category, r.n, r.errors, r.total) for r in reports.group_totals(rows, "category").collect()) == [("?", 2, 1, 25.0), ("new", 1, 0, 100.0)]
     means = spark.createDataFrame([([1.0, 0.5],), ([],)], "s array<double>").select(reports.rubric_mean(F.col("s")).alias("m"))
     assert [r.m for r in means.collect()] == [0.75, None]
+
+
+def test_a_conflict_is_picked_first_and_tested_then(spark):
+    words = ["walnut", "crane", "permit", "engine", "quota", "lathe", "linen", "voucher", "turbine", "cement"]
+    lines = [f"The {' '.join(words[:3])} kayak tulip pond river stone heron meadow 7.", f"The {words[9]} daisy rose 4.", f"We never approved {' '.join(words)}."]
+    found = updates.events(facts(spark, lines))
+    topics = {r.seq: set(r.topic) for r in found.collect()}
+    neg = topics[2]
+    shares = {i: len(topics[i] & neg) / min(len(topics[i]), len(neg)) for i in (0, 1)}
+    assert shares[1] > shares[0] and len(topics[1] & neg) < 2 <= len(topics[0] & neg)
+    assert updates.conflicts(found, updates.chains(found)).count() == 0
+    # In its own unit the best doesn't count, and the next is picked.
+    m = facts(spark, [lines[0], lines[1] + " " + lines[2]])
+    found = updates.events(m)
+    got = updates.conflicts(found, updates.chains(found)).collect()
+    assert len(got) == (1 if shares[0] >= 0.3 else 0)
