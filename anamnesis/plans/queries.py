@@ -11,10 +11,10 @@ from ..session import table
 from ..sources import bindings
 from ..sources.batches import Batches, shared_folder
 from ..streaming import ingest as stream
-from . import growing
+from . import growing, written
 from .search import Options, search
 
-QUERIES: dict = dict(growing.QUERIES)
+QUERIES: dict = growing.QUERIES | written.QUERIES
 
 
 def query(f):
@@ -244,21 +244,14 @@ def memory_search(spark, sf):
     return search(q, bindings.facts(spark, sf), Options(top_k=30, timeline=True)).select("query_id", "pos", "id", six("score"))
 
 
-def recall_rows(spark, sf):
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    l = table(spark, sf, "labels")  # noqa: E741
-    rows = d.join(l, "doc_id").join(b, F.col("doc_id") % b.count() == F.col("item_id"))
-    return rows.select("doc_id", F.col("lang").alias("category"), b.text.alias("gold"), d.text.alias("context"), (F.col("quality") == 1).cast("double").alias("score"))
-
-
 @query
 def evidence_recall(spark, sf):
-    return evaluation.recall_by(recall_rows(spark, sf), "category")
+    return evaluation.recall_by(bindings.recall_rows(spark, sf), "category")
 
 
 @query
 def attribution_quadrants(spark, sf):
-    return evaluation.quadrants(recall_rows(spark, sf), present=0.2)
+    return evaluation.quadrants(bindings.recall_rows(spark, sf), present=0.2)
 
 
 @query

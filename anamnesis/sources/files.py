@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,31 @@ def with_file_key(df: DataFrame, pattern: str, name: str = "key") -> DataFrame:
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
+def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, key, size) of the files below a folder, whose contents aren't read; key is what the pattern's first group finds in a path."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
+    return found.select("path", F.regexp_extract("path", pattern, 1).alias("key"), "size").where("key <> ''")
+
+
+def chosen(listed: DataFrame, wanted: Column, limit: int = 0) -> DataFrame:
+    """Of a listing the wanted files of the first keys in order (all, if limit is 0); keys without such a file are skipped, but count."""
+    keys = listed.select("key").distinct()
+    return listed.where(wanted).join(keys.orderBy("key").limit(limit) if limit else keys, "key", "left_semi")
+
+
+def read_chosen(spark: SparkSession, files: DataFrame, schema: str, most: int = 10_000) -> DataFrame:
+    """JSON lines of chosen files, with key; only these are read. More than `most` are an error: read the folder then, with with_file_key."""
+    named = files.select("path", "key").limit(most + 1).collect()
+    if len(named) > most:
+        raise ValueError(f"more than {most} files")
+    if not named:
+        return spark.createDataFrame([], f"{schema}, key string")
+    rows = spark.read.schema(schema).json([r.path for r in named]).withColumn("_at", F.col("_metadata.file_path"))
+    tail = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    keys = spark.createDataFrame([(r.path, r.key) for r in named], "_path string, key string")
+    return rows.join(keys, tail(F.col("_at")) == tail(F.col("_path"))).drop("_at", "_path")
+
+
 def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("lineSep", "\n").json(path)
 
