@@ -39,6 +39,8 @@ from .tokens import MIX, STEP, mixed
 SHINGLE, LIKE, WIDTH = 3, (90, 100), 256
 #: Members of a pivot that are compared in one task; shingles of its first ones that its centre is found by.
 PART, CENTRE = 256, 1 << 21
+#: Ids, at 8 bytes each, that are sent to all tasks.
+IDS = 1_000_000
 
 
 def band_starts(largest: int = 1 << 40) -> list[int]:
@@ -112,7 +114,7 @@ def prints(documents: DataFrame, size: int, p: int, q: int) -> DataFrame:
 def stars(told: DataFrame, kinds: DataFrame, p: int, q: int) -> DataFrame:
     """(pivot, node, many) of nodes that share a key with its pivot; many, if the key has a third member."""
     flagged = lambda c, home: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(home).alias("home")))
-    one = told.select("row", "home", "guest").join(sent(kinds.select(F.col("node").alias("row"))), "row", "left_semi")
+    one = told.select("row", "home", "guest").join(sent(kinds.select(F.col("node").alias("row")), IDS), "row", "left_semi")
     keyed = one.select(F.col("row").alias("node"), F.explode(F.concat(flagged("home", True), flagged("guest", False))).alias("x")).select("node", "x.*")
     known = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("home")).where("c > 1 and home").select("key", "c")
     # Merge joins: a hot key's members can be split among tasks.
@@ -218,27 +220,27 @@ def alike(a: Column, b: Column, d: Column, p: int, q: int) -> Column:
 def meet(told: DataFrame, p: int, q: int) -> DataFrame:
     """Links (a, b) among the members of a pivot, told from a centre: to the centre, and through shared differences.
 
-    Where x and z differ from the centre by dx and dz shingles, of which they share s, they differ by
-    dx + dz - 2s, and D is the most that links them. If dx + dz is at most D both are linked to the
-    centre. Else they share at least t = (dx + dz - D) / 2, so that with one order of all shingles they
-    meet in the first d - t + 1 of each: first what the centre lacks, as edits put in what is rare. One
-    of them, z, isn't linked to the centre: dz is over its D with the centre, and D of x and z is over
-    that by dx (q - p) / (q + p) at most. So t is at least half of dx, about, and x is indexed by the
-    first half of its differences; z by what is left with dx of 1.
+    Let x and z differ from the centre by dx <= dz shingles, of which they share s. They differ by dx + dz - 2s,
+    and D is the most that links them. If dx + dz is at most D both are linked to the centre. Else they
+    share at least t = (dx + dz - D) / 2, so that with one order of all shingles they meet in the first
+    d - t + 1 of each: first what the centre lacks, as edits put in what is rare. For x, t is at least dx - D / 2;
+    and about half of dx, since one of the two isn't linked to the centre, so that it differs from that by more
+    than their D, and D of x and z is over that by dx (q - p) / (q + p) at most. For z, dx is at least 1 and dz - D.
     """
     n, d = F.col("n"), F.size("apart")
     slack = F.ceil(d * (q - p) / (q + p))
-    half = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2))
     widest = F.floor((n + F.floor(n * q / p)) * (q - p) / (q + p))
-    least = F.greatest(F.lit(1), F.ceil((d + 1 - widest) / 2))
+    lowest = F.floor((F.col("pn") + F.floor(n * p / q)) * (q - p) / (q + p))
+    half = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2), d - F.floor(widest / 2))
+    least = F.greatest(F.lit(1), F.ceil((d + 1 - widest) / 2), d - widest)
     items = told.select("pivot", "at", "pn", "node", "n", F.concat(F.array_sort("more"), F.array_sort("less")).alias("apart"))
-    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", alike(n, F.col("pn"), d, p, q).alias("near"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
+    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", alike(n, F.col("pn"), d, p, q).alias("near"), (d > lowest).alias("far"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
     items = materialize(items, "jaccard-items")
     star = items.where("near and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
     prefix = lambda length: F.explode(F.slice("apart", F.lit(1), F.col(length))).alias("w")
-    x = items.where("d > 0").select("pivot", F.col("node").alias("a"), prefix("short"))
-    z = items.where("d > 0 and not near").select("pivot", F.col("node").alias("b"), prefix("long"))
-    met = x.join(z.hint("merge"), ["pivot", "w"]).where("a <> b").select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = items.where("d > 0").select("pivot", F.col("node").alias("a"), F.col("d").alias("da"), prefix("short"))
+    z = items.where("d > 0 and far").select("pivot", F.col("node").alias("b"), F.col("d").alias("db"), prefix("long"))
+    met = x.join(z.hint("merge"), ["pivot", "w"]).where("a <> b and da <= db").select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: items.select("pivot", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("d").alias(f"d_{c}"), F.col("apart").alias(f"apart_{c}"))
     both = materialize(met, "jaccard-met").join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     far = F.col("d_a") + F.col("d_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))

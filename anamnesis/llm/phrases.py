@@ -49,8 +49,8 @@ def grams(cut: DataFrame, k: int) -> DataFrame:
     """(lang, w0, ...): each run of k words of a piece."""
     if k == 1:
         return cut.select("lang", F.explode("w").alias("w0"))
-    runs = F.arrays_zip(*(F.slice("w", i + 1, F.size("w") - (k - 1)).alias(f"w{i}") for i in range(k)))
-    return cut.where(F.size("w") >= k).select("lang", F.explode(runs).alias("x")).select("lang", "x.*")
+    each = cut.where(F.size("w") >= k).select("lang", "w", F.posexplode("w").alias("i", "w0")).where(F.col("i") <= F.size("w") - k)
+    return each.select("lang", "w0", *(F.get("w", F.col("i") + at).alias(f"w{at}") for at in range(1, k)))
 
 
 def sent(level: DataFrame) -> tuple[DataFrame, bool]:
@@ -90,7 +90,8 @@ def next_level(cut: DataFrame, k: int, below: DataFrame, least: int) -> DataFram
 
 def packed_counts(df: DataFrame, k: int, least: int) -> DataFrame:
     """(lang, w0, ..., f) of what comes at least so often; phrases are shuffled as one string, which takes half the bytes of several."""
-    packed = df.select(F.concat_ws("\t", "lang", F.concat_ws(" ", *names(k))).alias("p")).groupBy("p").agg(F.count("*").alias("f"))
+    words = [x for c in names(k, 1)[: k - 1] for x in (F.lit(" "), F.col(c))]
+    packed = df.select(F.concat("lang", F.lit("\t"), "w0", *words).alias("p")).groupBy("p").agg(F.count("*").alias("f"))
     # Words have neither blanks nor tabs, a language may.
     phrase = F.substring_index("p", "\t", -1)
     lang = F.substring("p", F.lit(1), F.length("p") - F.length(phrase) - 1)

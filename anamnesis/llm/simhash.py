@@ -257,9 +257,10 @@ def halves(words: list[Column], width: int) -> Column:
     return F.array(*keys)
 
 
-def sent(found: DataFrame) -> DataFrame:
-    """A written table of short rows, broadcast if its size allows; else joined by a merge, whose hot keys can be split."""
-    return F.broadcast(found) if found.limit(BROADCAST + 1).count() <= BROADCAST else found.hint("merge")
+def sent(found: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table of short rows, broadcast if it has no more than `most` (BROADCAST); else joined by a merge, whose hot keys can be split."""
+    most = BROADCAST if most is None else most
+    return F.broadcast(found) if found.limit(most + 1).count() <= most else found.hint("merge")
 
 
 def similarity(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
