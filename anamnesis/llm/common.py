@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time, so that one Arrow batch is never wholly duplicated.
 SLICE = 256
@@ -40,6 +41,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole(df: DataFrame) -> Column:
+    """A row as one column, so that none of its names can clash with others."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or as many underscores before it as it takes for df not to have it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def rows(batch, *columns: str) -> Iterator[tuple]:
     """The named columns of an Arrow batch as Python tuples, a slice at a time."""
     for at in range(0, batch.num_rows, SLICE):

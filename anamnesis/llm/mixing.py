@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = (5**0.5 - 1) / 2
@@ -137,7 +137,7 @@ def mixed(documents: DataFrame, seed: int = 7, **how) -> DataFrame:
     """
     took = mix(documents, seed=seed, **how).where("copies > 0").groupBy("key", "doc_id", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     took = materialize(took.withColumnsRenamed({"key": "_t_key", "doc_id": "_t_doc", "source": "_t_source"}), "mix-takes")
-    keyed = documents.withColumn("_key", key(seed)).select("_key", F.struct(*documents.columns).alias("d")).select("_key", F.col("d.doc_id").alias("_doc"), F.col("d.source").alias("_source"), "d")
+    keyed = documents.select(key(seed).alias("_key"), whole(documents).alias("d")).select("_key", F.col("d.doc_id").alias("_doc"), F.col("d.source").alias("_source"), "d")
     met = (F.col("_key") == F.col("_t_key")) & F.col("_doc").eqNullSafe(F.col("_t_doc")) & F.col("_source").eqNullSafe(F.col("_t_source"))
     # Texts are joined in one way at every size.
     taken = keyed.join(took.where("_rows = 1").hint("merge"), met).select("d", F.col("_copies").alias("_n"))

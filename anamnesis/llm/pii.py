@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns as the contract has them, with possessive repeats and run starts where these can't
@@ -231,6 +231,6 @@ def redact(documents: DataFrame) -> DataFrame:
     )
     masked = F.transform(F.array(cut), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text))))[0]
     # The document is one column, so that no name of its own can clash.
-    plain = documents.select(F.struct(*documents.columns).alias("d"))
+    plain = documents.select(whole(documents).alias("d"))
     marked = with_found(plain.select("d", F.col("d.doc_id").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same")), spans.hint("merge"))
     return marked.select(F.col("d").withField("text", F.when(F.col("more").isNull(), text).otherwise(masked)).alias("d")).select("d.*")

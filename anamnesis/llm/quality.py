@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, rows
+from .common import materialize, rows, whole
 from .tokens import mixed, pairs, word_hashes
 
 #: Bits of the feature hash; vector length; labelled documents of a class that may be learned from, and their
@@ -173,12 +174,13 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, float], keep: bool = F
                     f = _features(part, bits)
                     total, n = total + float(gain[f].sum(dtype=np.float64)), n + len(f)
                 out.append(1 / (1 + np.exp(-np.clip(constant + (total / n if n else 0.0), -500, 500))))
-            kept = batch if keep else batch.select(["doc_id"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.float64())], [*kept.schema.names, name])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(own)), pa.array(out, pa.float64())], [own, name])
 
-    kept = documents if keep else documents.select("doc_id", "text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if keep or c == "doc_id") + f", {name} double"
-    return kept.mapInArrow(run, schema)
+    # All columns are one, whose names may be any.
+    own = "d" if keep else "doc_id"
+    kept = documents.select(*(["text"] if keep else ["doc_id", "text"]), *([whole(documents).alias("d")] if keep else []))
+    found = kept.mapInArrow(run, StructType([kept.schema[own], StructField(name, DoubleType())]))
+    return found.select("d.*", name) if keep else found
 
 
 def remainder(doc_id, modulus: int):

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows
+from .common import materialize, rows, whole
 from .components import components
 from .tokens import MIX, cut, lowered, mixed, powers, word_hashes
 
@@ -320,7 +320,7 @@ def first_of_each(documents: DataFrame, **how) -> DataFrame:
     without words are alike only if they are equal.
     """
     found = materialize(similar(documents, **how), "simhash-similar")
-    rows_ = documents.select(F.struct(*documents.columns).alias("d")).select("d", F.col("d.doc_id").alias("id"), digest(F.col("d.text")).alias("digest"))
+    rows_ = documents.select(whole(documents).alias("d")).select("d", F.col("d.doc_id").alias("id"), digest(F.col("d.text")).alias("digest"))
     each = rows_.groupBy("id", "digest").agg(F.count("*").alias("n")).join(found, "digest")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     each = materialize(each.select("id", "digest", "n", "root", rank.alias("rank")), "simhash-rows")

@@ -63,3 +63,27 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 50 and len(corpus_pipeline.STAGES) == 5
+
+
+ODD = ["_quality", "a.b", "q`t", "_key", "_digest", "d", "_copies", "more", "same", "Score"]
+
+
+def test_columns_of_any_name(spark, sf_dir, tmp_path):
+    """Each stage keeps columns whose names need quotes or are its own, with their values."""
+    from pyspark.sql import functions as F
+
+    from anamnesis.llm.common import materialize, quoted
+    from anamnesis.session import table
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in ODD))
+    docs = materialize(docs, "test-odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, sf_dir), "test-odd")
+        assert out.columns == docs.columns, name
+        found = out.select("doc_id", *(F.col(quoted(c)) for c in ODD)).collect()
+        assert found, name
+        for r in found:
+            assert list(r)[1:] == [f"{c}={'?' if r.doc_id is None else r.doc_id}" for c in ODD], name
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
