@@ -62,20 +62,26 @@ def most_apart(sizes: int, p: int, q: int) -> int:
 def segment_keys(hashes: np.ndarray, band: int, p: int, q: int) -> np.ndarray:
     """The keys of a set's segments in a band; none where only equal sets are alike.
 
-    There are enough segments for the band's largest sets. Of these the first are taken that the set needs for
-    its own partners: any D + 1 segments will do for what differs in D shingles.
+    There are enough segments for the band's largest sets, and some to spare. Of these the first are taken
+    that the set needs for its own partners: of any D + 1 + spare segments, spare + 1 are equal if D
+    shingles differ. So each set leaves out its first `spare` segments without a bit, which many
+    strangers share: if all that two sets have in common are such, neither leaves out the last of them.
     """
-    count = most_apart(2 * (STARTS[band + 1] - 1), p, q) + 1
-    if count == 1:
+    most = most_apart(2 * (STARTS[band + 1] - 1), p, q)
+    if not most:
         return np.zeros(0, np.int64)
+    spare = 1 + most // 64
+    count = most + 1 + spare
     turned = mixed(hashes ^ mixed(np.full(1, band, np.uint64) * STEP))
     segment = (turned >> np.uint64(32)) % np.uint64(count)
     bit = segment * np.uint64(WIDTH) + turned % np.uint64(WIDTH)
-    keys = mixed(np.arange(count, dtype=np.uint64) + np.uint64(band << 40))
+    bits = np.zeros(count, np.uint64)
     # A bit that is flipped twice cancels out.
-    np.bitwise_xor.at(keys, segment.astype(np.int64), mixed(bit * MIX + STEP))
+    np.bitwise_xor.at(bits, segment.astype(np.int64), mixed(bit * MIX + STEP))
     n = len(hashes)
-    return keys.view(np.int64)[: most_apart(n + n * q // p, p, q) + 1]
+    bits = bits[: most_apart(n + n * q // p, p, q) + 1 + spare]
+    keys = mixed(np.arange(len(bits), dtype=np.uint64) + np.uint64(band << 40)) ^ bits
+    return np.delete(keys, np.flatnonzero(bits == 0)[:spare]).view(np.int64)
 
 
 def keys_of(hashes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,13 +240,13 @@ def meet(told: DataFrame, p: int, q: int) -> DataFrame:
     half = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2), d - F.floor(widest / 2))
     least = F.greatest(F.lit(1), F.ceil((d + 1 - widest) / 2), d - widest)
     items = told.select("pivot", "at", "pn", "node", "n", F.concat(F.array_sort("more"), F.array_sort("less")).alias("apart"))
-    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", alike(n, F.col("pn"), d, p, q).alias("near"), (d > lowest).alias("far"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
+    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", alike(n, F.col("pn"), d, p, q).alias("near"), (d > lowest).alias("far"), widest.cast("int").alias("widest"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
     items = materialize(items, "jaccard-items")
     star = items.where("near and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
     prefix = lambda length: F.explode(F.slice("apart", F.lit(1), F.col(length))).alias("w")
     x = items.where("d > 0").select("pivot", F.col("node").alias("a"), F.col("d").alias("da"), prefix("short"))
-    z = items.where("d > 0 and far").select("pivot", F.col("node").alias("b"), F.col("d").alias("db"), prefix("long"))
-    met = x.join(z.hint("merge"), ["pivot", "w"]).where("a <> b and da <= db").select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    z = items.where("d > 0 and far").select("pivot", F.col("node").alias("b"), F.col("d").alias("db"), "widest", prefix("long"))
+    met = x.join(z.hint("merge"), ["pivot", "w"]).where("a <> b and da <= db and db - da <= widest").select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: items.select("pivot", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("d").alias(f"d_{c}"), F.col("apart").alias(f"apart_{c}"))
     both = materialize(met, "jaccard-met").join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     far = F.col("d_a") + F.col("d_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))

@@ -41,6 +41,8 @@ HEAD, LONGEST = 100_000, 64
 BITS, MOST_BITS, PROBES = 8, 1 << 29, 3
 #: Bits of a shard, about, of a filter that isn't broadcast, and a number above that of all shards.
 SHARD_BITS, SHARDS = 1 << 24, 1 << 20
+#: Tokens of a hash range, about.
+RANGE = 1 << 15
 #: N-grams or words that a task adds up before it hands them on.
 FLUSH = 3_000_000
 #: Characters of the texts that are scored together.
@@ -259,11 +261,12 @@ def likelihoods(words: np.ndarray, two: np.ndarray, last: np.ndarray, counts, to
     return np.add.reduceat(np.log10((both + PRIOR * alone) / (np.maximum(context, both) + PRIOR)), starts)
 
 
-def sized(documents: DataFrame) -> tuple[DataFrame, int, int]:
-    """The n-grams' levels by range, the bits of a range's number, and the bits of a range's block."""
-    spark = documents.sparkSession
-    # As many ranges as there are shuffle partitions four times over: a cluster sets these by its input.
-    range_bits = max(6, min(16, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+def sized(documents: DataFrame, tokens: int) -> tuple[DataFrame, int, int]:
+    """The n-grams' levels by range, the bits of a range's number, and the bits of a range's block.
+
+    Ranges follow from the count of tokens alone, so that scores don't depend on how a cluster is set.
+    """
+    range_bits = max(6, min(16, math.ceil(math.log2(tokens / RANGE + 1))))
     counts = materialize(ngram_counts(documents, range_bits), "lm-ngrams")
     entries = counts.agg(F.sum("entries")).first()[0] or 0
     bits = max(1 << 16, 1 << math.ceil(math.log2(BITS * entries + 1)))
@@ -280,7 +283,7 @@ def joined(counts: DataFrame, range_bits: int, block: int, tokens: int, kinds: i
 
 def train(documents: DataFrame, tokens: int, kinds: int) -> Model:
     """The model of the documents' n-grams; tokens and kinds are the counts of all and of distinct tokens."""
-    return joined(*sized(documents), tokens, kinds)
+    return joined(*sized(documents, tokens), tokens, kinds)
 
 
 def probed(documents: DataFrame, counts: DataFrame, range_bits: int, block: int) -> DataFrame:
@@ -349,7 +352,7 @@ def score(documents: DataFrame) -> DataFrame:
     n = n or 0
     under = n + 0.1 * (kinds + 1)
     head = {bytes(r.word): r.c for r in counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HEAD).collect()}
-    levels, range_bits, block = sized(learned)
+    levels, range_bits, block = sized(learned, n)
     if block << range_bits <= MOST_BITS:
         model, texts = joined(levels, range_bits, block, n, kinds), documents.select("doc_id", "text")
     else:

@@ -78,6 +78,56 @@ ORACLE_SQL = {
             case when top is not null and page_id is distinct from top then top end as refers_to
         from q left join g on q.d = g.d and n >= 1000
     """,
+    "op11_jaccard": """
+        with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from d),
+        n as (select doc_id, count(*) as n from s group by 1),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+        e as (select a, b from l union all select b, a from l),
+        r as (select doc_id, doc_id as node from n union select r.doc_id, e.b from r join e on r.node = e.a),
+        m as (select doc_id, min(node) as least from r group by 1)
+        select documents.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least, documents.doc_id) as component_id from documents left join n using (doc_id) left join m using (doc_id)
+    """,
+    "op12_repair": """
+        with recursive o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+        -- CRC-32 of the key, bit by bit.
+        h as (select *, xor(list_reduce(flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(k[i]), -1, -1, -1, -1, -1, -1, -1, -1]))::bigint[],
+            lambda c, b: case when b >= 0 then xor(c, b) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295::bigint), 4294967295) % 20 as kind from o),
+        d as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+            unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from h),
+        u as (select *, row_number() over () as one from d),
+        r as (select conv_id, turn, role, text, row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first, one) > 1 as seen,
+            regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') as t from u window w as (partition by conv_id order by turn nulls first, role, md5(text), one)),
+        f as (select conv_id, turn, role, text, i, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else '?' end as c,
+            case when t = '' then 'blank' when seen then 'duplicate' when right(t, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+            left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) as two from r),
+        s as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank, count_if(fault = 'duplicate') as duplicate,
+            count_if(fault = 'truncated') as truncated, count_if(two not in ('su', 'ua', 'au')) as illegal from f group by 1),
+        -- Inserts from a state, and the grammar's arcs.
+        ins as (select * from (values (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')) v(g, mid, pre)),
+        gr as (select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(mid, c, g2)),
+        arcs as (select g, '' as c, mid as g2, pre || 'D' as label, 2 * length(pre) + 3 as cost, true as any_row from ins
+            union all select g, c, g2, pre || 'K', 2 * length(pre), false from ins join gr using (mid)
+            union all select g, '', g2, pre || 'R', 2 * length(pre) + 2, false from ins join gr using (mid) where c <> 's'),
+        p as (select conv_id, n, 0 as i, 0 as g, 0 as cost, '' as audit from s
+            union all
+            select conv_id, any_value(n), any_value(i), g, min(x).c, min(x).a from (
+                select p.conv_id, p.n, f.i, a.g2 as g, {'c': p.cost + a.cost + (fault = 'truncated' and not any_row)::int, 'a': p.audit || label} as x
+                from p join f on f.conv_id is not distinct from p.conv_id and f.i = p.i + 1 join arcs a on a.g = p.g and (a.c = '' or a.c = f.c) and (any_row or fault not in ('blank', 'duplicate'))) group by conv_id, g),
+        e as (select conv_id, min({'c': cost + 2 * length(pre), 'a': audit || pre}) as x from p join ins using (g) where p.i = n and mid in (0, 3) group by 1),
+        -- The audit again, edit by edit.
+        y as (select conv_id, x.a as audit, 0 as j, 0 as i, 0 as g, null::varchar as line from e
+            union all
+            select y.conv_id, audit, j + 1, y.i + (ed <> 'I')::int, case when ed = 'D' then y.g else (select g2 from gr where gr.mid = y.g and gr.c = case when ed = 'K' then f.c when y.g = 2 then 'a' else 'u' end) end,
+                case ed when 'D' then null when 'K' then f.role || ':' || f.text else case when y.g = 2 then 'assistant' else 'user' end || ':' || case ed when 'I' then '' else f.text end end
+            from (select *, audit[j + 1] as ed from y where j < length(audit)) y left join f on f.conv_id is not distinct from y.conv_id and f.i = y.i + 1),
+        z as (select conv_id, sha256(coalesce(string_agg(line, chr(10) order by j), '')) as digest from y group by 1),
+        k as (select distinct conv_id from conversations)
+        select k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+            coalesce(e.x.c, 0)::bigint as cost, coalesce(e.x.a, '') as audit, coalesce(digest, sha256('')) as repaired_sha256
+        from k left join s on s.conv_id is not distinct from k.conv_id left join e on e.conv_id is not distinct from k.conv_id left join z on z.conv_id is not distinct from k.conv_id
+    """,
     "op13_phrases": """
         with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
         p as (select lang, list_filter(string_split_regex(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') as w from d),

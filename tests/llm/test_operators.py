@@ -343,3 +343,16 @@ def test_targets():
 def test_empty_tables(nothing, labels):
     for found in (pii.find(nothing), pii.redact(nothing), quality.classify(nothing, labels), pieces.encoded(nothing, piece_model()), rules.judge(nothing, labels), lm.score(nothing), simhash.near_duplicates(nothing), lines.dedup(nothing), mixing.mix(nothing), mixing.mixed(nothing)):
         assert found.count() == 0
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    random.seed(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(random.paretovariate(1)) % 500}" for _ in range(80))) for i in range(300)], "doc_id bigint, text string")
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({r.doc_id: r.score for r in lm.score(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(abs(got[0][d] - got[1][d]) < 1e-9 for d in got[0]) and len(got[0]) == 300
