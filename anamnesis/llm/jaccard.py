@@ -231,22 +231,27 @@ def meet(told: DataFrame, p: int, q: int) -> DataFrame:
     share at least t = (dx + dz - D) / 2, so that with one order of all shingles they meet in the first
     d - t + 1 of each: first what the centre lacks, as edits put in what is rare. For x, t is at least dx - D / 2;
     and about half of dx, since one of the two isn't linked to the centre, so that it differs from that by more
-    than their D, and D of x and z is over that by dx (q - p) / (q + p) at most. For z, dx is at least 1 and dz - D.
+    than their D, and D of x and z is over that by (q - p) / (q + p) of what x is larger than the centre (of dx, if
+    x itself isn't linked) at most. For z, dx is at least 1 and dz - D. The first that they share leaves no more
+    to share than what follows it in both; where that is under t, they don't meet.
     """
     n, d = F.col("n"), F.size("apart")
-    slack = F.ceil(d * (q - p) / (q + p))
+    near = alike(n, F.col("pn"), d, p, q)
+    slack = F.ceil(F.when(near, F.greatest(F.lit(0), n - F.col("pn"))).otherwise(d) * (q - p) / (q + p))
     widest = F.floor((n + F.floor(n * q / p)) * (q - p) / (q + p))
     lowest = F.floor((F.col("pn") + F.floor(n * p / q)) * (q - p) / (q + p))
     half = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2), d - F.floor(widest / 2))
     least = F.greatest(F.lit(1), F.ceil((d + 1 - widest) / 2), d - widest)
     items = told.select("pivot", "at", "pn", "node", "n", F.concat(F.array_sort("more"), F.array_sort("less")).alias("apart"))
-    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", alike(n, F.col("pn"), d, p, q).alias("near"), (d > lowest).alias("far"), widest.cast("int").alias("widest"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
+    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", near.alias("near"), (d > lowest).alias("far"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
     items = materialize(items, "jaccard-items")
     star = items.where("near and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
-    prefix = lambda length: F.explode(F.slice("apart", F.lit(1), F.col(length))).alias("w")
-    x = items.where("d > 0").select("pivot", F.col("node").alias("a"), F.col("d").alias("da"), prefix("short"))
-    z = items.where("d > 0 and far").select("pivot", F.col("node").alias("b"), F.col("d").alias("db"), "widest", prefix("long"))
-    met = x.join(z.hint("merge"), ["pivot", "w"]).where("a <> b and da <= db and db - da <= widest").select("pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    prefix = lambda length, at: F.posexplode(F.slice("apart", F.lit(1), F.col(length))).alias(at, "w")
+    x = items.where("d > 0").select("pivot", F.col("node").alias("a"), F.col("d").alias("da"), F.col("n").alias("na"), prefix("short", "i"))
+    z = items.where("d > 0 and far").select("pivot", F.col("node").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), prefix("long", "j"))
+    room = f"(da + db - 2 * least(da - i, db - j)) * {q + p} <= (na + nb) * {q - p}"
+    met = x.alias("x").join(z.alias("z").hint("merge"), F.expr(f"x.pivot = z.pivot and x.w = z.w and a <> b and da <= db and {room}"))
+    met = met.select("x.pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: items.select("pivot", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("d").alias(f"d_{c}"), F.col("apart").alias(f"apart_{c}"))
     both = materialize(met, "jaccard-met").join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     far = F.col("d_a") + F.col("d_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
