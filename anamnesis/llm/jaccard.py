@@ -10,10 +10,10 @@ each, and are joined by the XOR of the hashes of their odd bits.
 Equal sets are one node.  Of a segment's members only the pairs with one of them, the pivot, are
 compared: the member that shares most segments.  Its differences to the others are kept, as they are
 all that is needed of the rest: the sets x and z, given by what they differ in from any one set, differ
-in what these differences differ in.  So the members of a pivot are described from their most
-central member, and linked to it where they differ little; two others can be linked only if their
-differences share so many shingles that they meet in the rarest of them (prefixes, see meet).  No pairs
-of a group are made but these, and no link is lost.
+in what these differences differ in.  So the members of a pivot are described by what they differ in
+from what most of them have, and the one nearest to that is compared with all: what differs little is
+linked to it.  The others are linked only through differences that they share (see meet).  No pairs
+of a group are made but these, and no link between two that aren't joined otherwise is lost.
 
 Nulls and texts without words have an empty set, linked with nothing; a text of fewer words than a
 shingle has one shingle, all its words. A null doc_id takes part but is never a component's id; a
@@ -135,19 +135,17 @@ def stars(told: DataFrame, kinds: DataFrame, p: int, q: int) -> DataFrame:
     return materialize(met.where(F.col("many") | (F.least("n", "pn") * q >= F.greatest("n", "pn") * p)).select("pivot", "node", "many"), "jaccard-stars")
 
 
-def central(members: list[tuple]) -> tuple:
-    """Of members (node, n, more, less) of a pivot the one that differs least from what most of them have."""
-    words, counts = np.unique(np.concatenate([w for _, _, more, less in members for w in (more, less)]), return_counts=True)
-    odd = words[2 * counts > len(members)]
-    off = lambda m: len(np.setxor1d(np.concatenate(m[2:]), odd, assume_unique=True))
-    return min(members, key=lambda m: (off(m), m[0]))
+def usual(found: list[np.ndarray]) -> np.ndarray:
+    """The hashes that over half of some sets have."""
+    words, counts = np.unique(np.concatenate(found), return_counts=True)
+    return words[2 * counts > len(found)]
 
 
 def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: int, p: int, q: int) -> DataFrame:
     """(pivot, pn, node, n, linked, centre, more, less): what each member has that its pivot hasn't, and what it lacks; null unless many.
 
     Of a node's texts one is read. Members come after their pivot, and a pivot with many is in many tasks.
-    A row more, with centre, is the most central of the pivot and some of its members (see central).
+    A row more, with centre, tells what most of some members have: a set of no text, only to tell the others by.
     """
 
     def run(batches) -> Iterator:
@@ -161,10 +159,10 @@ def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
 
         def centre() -> list[tuple]:
-            if len(some) < 2:
+            if not some:
                 return []
-            node, n, more, less = central(some)
-            return [(pivot, len(held), node, n, None, True, more, less)]
+            more, less = (usual([m[k] for m in some]) for k in (0, 1))
+            return [(pivot, len(held), pivot, len(held), None, True, more, less)]
 
         for batch in batches:
             for at, part, node, many, text in rows(batch, "pivot", "part", "node", "many", "text"):
@@ -172,15 +170,14 @@ def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: i
                 if many is None:
                     out += centre()
                     pivot, held = at, mine
-                    none = held[:0]
                     # The first part of a pivot looks for its centre, among as many as it has room for.
-                    some, room = [(node, len(held), none, none)] if part == 0 else [], CENTRE
+                    some, room = [(held[:0], held[:0])] if part == 0 else [], CENTRE
                     continue
                 more, less = np.setdiff1d(mine, held, assume_unique=True), np.setdiff1d(held, mine, assume_unique=True)
                 apart = len(more) + len(less)
                 linked = q * (len(held) + len(mine) - apart) >= p * (len(held) + len(mine) + apart)
                 if many and some and apart <= room:
-                    some.append((node, len(mine), more, less))
+                    some.append((more, less))
                     room -= apart
                 out.append((pivot, len(held), node, len(mine), linked, False, *((more, less) if many else (None, None))))
                 if len(out) >= 256:
@@ -203,59 +200,71 @@ def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: i
 
 
 def from_the_centre(found: DataFrame) -> DataFrame:
-    """(pivot, at, pn, node, n, more, less): the members of pivots that have unlinked ones, and the pivots themselves, told from their centre at, whose size is pn."""
+    """(pivot, node, n, more, less): the members of pivots that have unlinked ones, and the pivots themselves, told from what most have."""
     none = F.array().cast("array<bigint>")
     some = found.where("not centre and more is not null")
     open_ = materialize(some.where("not linked").select("pivot").distinct(), "jaccard-open")
     told = some.join(open_, "pivot", "left_semi").select("pivot", "node", "n", "more", "less")
-    centres = found.where("centre").join(open_, "pivot", "left_semi")
-    # A pivot has a centre if it has a member with many, that its first part had room for; else it is its own.
     own = some.join(open_, "pivot", "left_semi").groupBy("pivot").agg(F.first("pn").alias("n")).select("pivot", F.col("pivot").alias("node"), "n", none.alias("more"), none.alias("less"))
-    found_at = centres.select("pivot", F.col("node").alias("at"), F.col("n").alias("pn"), F.col("more").alias("cm"), F.col("less").alias("cl"))
-    at = own.join(found_at, "pivot", "left").select("pivot", F.coalesce("at", "node").alias("at"), F.coalesce("pn", "n").alias("pn"), F.coalesce("cm", none).alias("cm"), F.coalesce("cl", none).alias("cl"))
-    met = told.unionByName(own).join(materialize(at, "jaccard-centres"), "pivot")
+    centres = found.where("centre").join(open_, "pivot", "left_semi").select("pivot", F.col("more").alias("cm"), F.col("less").alias("cl"))
+    met = told.unionByName(own).join(materialize(centres, "jaccard-centres"), "pivot")
     more = F.concat(F.array_except("more", "cm"), F.array_except("cl", "less")).alias("more")
     less = F.concat(F.array_except("cm", "more"), F.array_except("less", "cl")).alias("less")
-    return met.select("pivot", "at", "pn", "node", "n", more, less)
+    return met.select("pivot", "node", "n", more, less)
 
 
 def alike(a: Column, b: Column, d: Column, p: int, q: int) -> Column:
     return q * (a + b - d) >= p * (a + b + d)
 
 
+def verified(met: DataFrame, items: DataFrame, p: int, q: int) -> DataFrame:
+    """Of pairs (pivot, a, b) those that are linked."""
+    side = lambda c: items.select("pivot", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("d").alias(f"d_{c}"), F.col("apart").alias(f"apart_{c}"))
+    both = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
+    far = F.col("d_a") + F.col("d_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
+    return both.where(alike(F.col("n_a"), F.col("n_b"), far, p, q)).select("pivot", "a", "b")
+
+
 def meet(told: DataFrame, p: int, q: int) -> DataFrame:
-    """Links (a, b) among the members of a pivot, told from a centre: to the centre, and through shared differences.
-
-    Let x and z differ from the centre by dx <= dz shingles, of which they share s. They differ by dx + dz - 2s,
-    and D is the most that links them. If dx + dz is at most D both are linked to the centre. Else they
-    share at least t = (dx + dz - D) / 2, so that with one order of all shingles they meet in the first
-    d - t + 1 of each: first what the centre lacks, as edits put in what is rare. For x, t is at least dx - D / 2;
-    and about half of dx, since one of the two isn't linked to the centre, so that it differs from that by more
-    than their D, and D of x and z is over that by (q - p) / (q + p) of what x is larger than the centre (of dx, if
-    x itself isn't linked) at most. For z, dx is at least 1 and dz - D. The first that they share leaves no more
-    to share than what follows it in both; where that is under t, they don't meet.
+    """Links (a, b) among the members of a pivot, told from a centre; enough of them to join all that are linked.
+
+    Let x and z, of n shingles each, differ from the centre by dx and dz, of which they share s. They differ by
+    dx + dz - 2s, and D = (nx + nz) (q - p) / (q + p) is the most that links them. With v = n (q - p) - d (q + p),
+    they are linked whatever they share if vx + vz >= 0; and then both are linked to the top, the member
+    whose v is greatest. So all are compared with the top, and what isn't linked to it, with one for each of its
+    differences: of those linked to the top that have it, the one with the greatest v.
+
+    What is left over is linked only to what it shares t = (dx + dz - D) / 2 >= 1 differences with. With one
+    order of all shingles, first what the centre lacks, as edits put in what is rare, x and z meet in the first
+    d - t + 1 of each: for the smaller d, t is at least d - D / 2, for the larger d - D. The first that they
+    share leaves no more to share than what follows it in both; where that is under t, they don't meet.
     """
-    n, d = F.col("n"), F.size("apart")
-    near = alike(n, F.col("pn"), d, p, q)
-    slack = F.ceil(F.when(near, F.greatest(F.lit(0), n - F.col("pn"))).otherwise(d) * (q - p) / (q + p))
-    widest = F.floor((n + F.floor(n * q / p)) * (q - p) / (q + p))
-    lowest = F.floor((F.col("pn") + F.floor(n * p / q)) * (q - p) / (q + p))
-    half = F.greatest(F.lit(1), F.ceil((d + 1 - slack) / 2), d - F.floor(widest / 2))
-    least = F.greatest(F.lit(1), F.ceil((d + 1 - widest) / 2), d - widest)
-    items = told.select("pivot", "at", "pn", "node", "n", F.concat(F.array_sort("more"), F.array_sort("less")).alias("apart"))
-    items = items.select("pivot", "at", "node", n, d.alias("d"), "apart", near.alias("near"), (d > lowest).alias("far"), (d - half + 1).cast("int").alias("short"), (d - least + 1).cast("int").alias("long"))
-    items = materialize(items, "jaccard-items")
-    star = items.where("near and node <> at").select(F.col("at").alias("a"), F.col("node").alias("b"))
-    prefix = lambda length, at: F.posexplode(F.slice("apart", F.lit(1), F.col(length))).alias(at, "w")
-    x = items.where("d > 0").select("pivot", F.col("node").alias("a"), F.col("d").alias("da"), F.col("n").alias("na"), prefix("short", "i"))
-    z = items.where("d > 0 and far").select("pivot", F.col("node").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), prefix("long", "j"))
+    d = F.size("apart")
+    items = told.select("pivot", "node", "n", F.concat(F.array_sort("more"), F.array_sort("less")).alias("apart"))
+    items = items.withColumns({"d": d, "v": F.col("n") * (q - p) - d * (q + p)})
+    widest = F.floor((F.col("n") + F.floor(F.col("n") * q / p)) * (q - p) / (q + p))
+    length = lambda least: (F.col("d") - F.greatest(F.lit(1), F.col("d") - least) + 1).cast("int")
+    items = materialize(items.withColumns({"short": length(F.floor(widest / 2)), "long": length(widest)}), "jaccard-items")
+    tops = materialize(items.groupBy("pivot").agg(F.max_by(F.struct("node", "n", "d", "apart"), F.struct("v", "node")).alias("top")), "jaccard-tops")
+    far = F.col("d") + F.col("top.d") - 2 * F.size(F.array_intersect("apart", "top.apart"))
+    known = items.join(tops, "pivot").select("pivot", "node", F.col("top.node").alias("top"), alike(F.col("n"), F.col("top.n"), far, p, q).alias("near"))
+    known = materialize(known, "jaccard-known")
+    links = known.where("near and node <> top").select("pivot", F.col("top").alias("a"), F.col("node").alias("b"))
+
+    marked = items.join(known.select("pivot", "node", "near"), ["pivot", "node"])
+    words = marked.where("d > 0").select("pivot", "node", "near", "v", F.explode(F.slice("apart", F.lit(1), F.col("long"))).alias("w"))
+    ones = marked.where("near and d > 0").select("pivot", "node", "v", F.explode("apart").alias("w")).groupBy("pivot", "w").agg(F.max_by("node", F.struct("v", "node")).alias("a"))
+    first = words.where("not near").select("pivot", F.col("node").alias("b"), "w").join(ones, ["pivot", "w"]).select("pivot", "a", "b").distinct()
+    first = materialize(verified(materialize(first, "jaccard-first"), items, p, q), "jaccard-firsts")
+    left = known.where("not near").join(first.select("pivot", F.col("b").alias("node")).distinct(), ["pivot", "node"], "left_anti").select("pivot", "node", F.lit(True).alias("left"))
+    left = materialize(left, "jaccard-left")
+
+    marked = items.where("d > 0").join(left.select("pivot").distinct(), "pivot", "left_semi").join(left, ["pivot", "node"], "left").withColumn("left", F.coalesce("left", F.lit(False)))
+    side = lambda c, most, at: marked.select("pivot", F.col("node").alias(c), F.col("d").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("left").alias(f"l{c}"), F.posexplode(F.slice("apart", F.lit(1), F.col(most))).alias(at, "w")).alias(f"_{c}")
     room = f"(da + db - 2 * least(da - i, db - j)) * {q + p} <= (na + nb) * {q - p}"
-    met = x.alias("x").join(z.alias("z").hint("merge"), F.expr(f"x.pivot = z.pivot and x.w = z.w and a <> b and da <= db and {room}"))
-    met = met.select("x.pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: items.select("pivot", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("d").alias(f"d_{c}"), F.col("apart").alias(f"apart_{c}"))
-    both = materialize(met, "jaccard-met").join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
-    far = F.col("d_a") + F.col("d_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
-    return star.unionByName(both.where(alike(F.col("n_a"), F.col("n_b"), far, p, q)).select("a", "b"))
+    rest = side("a", "short", "i").join(side("b", "long", "j").hint("merge"), F.expr(f"_a.pivot = _b.pivot and _a.w = _b.w and a <> b and da <= db and (la or lb) and {room}"))
+    rest = materialize(rest.select("_a.pivot", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-rest")
+    return links.unionByName(first).unionByName(verified(rest, items, p, q)).select("a", "b")
 
 
 def joined(documents: DataFrame, size: int = SHINGLE, like: tuple[int, int] = LIKE) -> tuple[DataFrame, DataFrame, DataFrame]:
