@@ -233,3 +233,12 @@ ORACLE_SQL |= {
             count_if(quality = 1)::bigint as right, count(*) as n from k group by grouping sets ((category), (timed), (relative), ())""",
     "group_totals": f"with {JOINED} select category, count(*) as n, count_if(toxic = 1)::bigint as errors, round(100 * avg(case when toxic = 0 then quality::double else 0 end), 6) as total from ji group by 1",
 }
+AGO_TEXT = "case when ago >= 60 then ago || 'd (~' || (ago // 30) || 'mo)' when ago >= 14 then ago || 'd (~' || (ago // 7) || 'w)' else ago || 'd' end"
+ORACLE_SQL["timeline_card"] = f"""with {FACTS}, a as (select * from (values (0, 'How many days between the walnut table catalog updates?', false), (1, 'How long ago was the cement crane permit invoice?', true)) v(k, query, back)),
+    t as (select user_id, seq, ts, content, k, back, max(ts) over (partition by user_id, k) as anchor, {topic('content')} as w, {topic('query')} as asked from f, a where ts <> 0),
+    b as (select * from t where list_has_any(w, asked) qualify row_number() over (partition by user_id, k order by seq) <= 30),
+    g as (select *, row_number() over o as n, (ts - lag(ts) over o) // 86400000 as gap, (anchor - ts) // 86400000 as ago from b window o as (partition by user_id, k order by ts, seq)),
+    c as (select user_id, k, any_value(back) as back, any_value(anchor) as anchor, count(*) as n, string_agg('(' || n || ') [' || {day('ts', '%d %b %Y')} || ']' || case when gap is not null then ' (+' || gap || 'd)' else '' end
+        || case when back and ago > 0 then ' [' || {AGO_TEXT} || ' before latest]' else '' end || ' ' || content, chr(10) order by n) as body from g group by 1, 2)
+    select (100 * substr(user_id, 2)::int + k)::int as query_id, '[TIMELINE | retrieved memories re-ordered earliest to latest; (1) = first event]' || chr(10) || body
+        || case when back then chr(10) || '[ANCHOR | latest activity date in memory: ' || {day('anchor', '%d %b %Y')} || ']' else '' end as content from c where n >= 2"""
