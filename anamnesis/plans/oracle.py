@@ -242,3 +242,12 @@ ORACLE_SQL["timeline_card"] = f"""with {FACTS}, a as (select * from (values (0,
         || case when back and ago > 0 then ' [' || {AGO_TEXT} || ' before latest]' else '' end || ' ' || content, chr(10) order by n) as body from g group by 1, 2)
     select (100 * substr(user_id, 2)::int + k)::int as query_id, '[TIMELINE | retrieved memories re-ordered earliest to latest; (1) = first event]' || chr(10) || body
         || case when back then chr(10) || '[ANCHOR | latest activity date in memory: ' || {day('anchor', '%d %b %Y')} || ']' else '' end as content from c where n >= 2"""
+WALNUT = "noun = 'walnut table catalog'"
+ORACLE_SQL["memory_search"] = f"""with {FACTS}, {CHAIN}, {PAIRS}, a as (select * from (values (0, 'What is the current walnut table catalog?'), (1, 'What is the current walnut table catalog proposal?'), (2, 'When did the walnut table catalog change?')) v(k, query)),
+    q as (select (100 * u + k)::int as query_id, 'u' || u as user_id, query from a, range(5) g(u)),
+    mi as (select user_id, session_id, seq, 'Speaker: ' || role || chr(10) || 'Event date: ' || {day('ts')} || chr(10) || content as index_text from f), {index('mi')}, {scores()}, {RANKED}, {picks('mi')}, {fill('pk', 30)},
+    told as (select 100 * substr(user_id, 2)::int as base, max(seq) as seq, user_id in (select user_id from pr where {WALNUT}) as denied from ce where {WALNUT} group by user_id),
+    tl as (select query_id from ps join f using (user_id, seq) join q using (query_id) where query_id % 100 = 2 and list_has_any({topic('content')}, {topic('query')}) group by 1 having count(*) >= 2),
+    o as (select query_id, 3 as place, pos, 'mem-' || seq as id, round(score, 6) as score from ps union all select query_id, 2, 0, 'timeline-0', 9.3 from tl
+        union all select base, 1, 0, 'upd-' || seq, 9.5 from told union all select base + 1, 1, 0, case when denied then 'conflict-0' else 'upd-' || seq end, case when denied then 9.0 else 9.5 end from told)
+    select query_id::int as query_id, nth::int as pos, id, score::double as score from (select *, row_number() over (partition by query_id order by place, pos) as nth from o) where nth <= 30"""
