@@ -42,7 +42,7 @@ BITS, MOST_BITS, PROBES = 8, 1 << 29, 3
 #: Bits of a shard, about, of a filter that isn't broadcast, and a number above that of all shards.
 SHARD_BITS, SHARDS = 1 << 24, 1 << 20
 #: Tokens of a hash range, about.
-RANGE = 1 << 15
+RANGE = 1 << 21
 #: N-grams or words that a task adds up before it hands them on.
 FLUSH = 3_000_000
 #: Characters of the texts that are scored together.
