@@ -7,9 +7,6 @@ again finds the numbers of the batches before it, and replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,30 +20,30 @@ SPAN = 100_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def only_new(source: DataFrame, cleared: DataFrame) -> DataFrame:
-    """Messages of a stream whose request wasn't seen since its user cleared; of a request in one batch the first by arrival.
+def with_new_requests(source: DataFrame, cleared: DataFrame) -> DataFrame:
+    """The messages of a stream, with _since, and beside them a row (_new) for each request that wasn't seen since its user cleared.
 
-    Requests without an id all pass. cleared: (user_id, upto), a row a user.
+    The state of a request is two times: those of the first and the last micro-batch that it came in. A micro-batch has
+    one time, also when it is run again, so a request is new where both are equal. cleared: (user_id, upto), a row a user.
     """
-
-    def first(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        best = None
-        for f in frames:
-            at = f.loc[[f["arrival"].idxmin()]]
-            if best is None or at["arrival"].iloc[0] < best["arrival"].iloc[0]:
-                best = at
-        state.update((True,))
-        yield best
-
-    named = F.coalesce("request_id", F.lit("")) != ""
     since = source.join(cleared.select(F.col("user_id").alias("_u"), F.col("upto").alias("_since")), F.col("user_id") == F.col("_u"), "left")
-    since = since.drop("_u").withColumn("_since", F.coalesce("_since", F.lit(-1)))
-    schema = f"{INCOMING}, _since bigint"
-    columns = [f.split()[0] for f in schema.split(", ")]
-    new = since.where(named).select(*columns).groupBy("user_id", "request_id", "_since").applyInPandasWithState(first, schema, "seen boolean", "append", "NoTimeout")
-    return new.unionByName(since.where(~named).select(*columns)).drop("_since")
+    columns = [f.split()[0] for f in INCOMING.split(", ")]
+    since = since.select(*columns, F.coalesce("_since", F.lit(-1)).cast("bigint").alias("_since"), F.lit(False).alias("_new"))
+    timed = since.where(named()).withColumn("_at", F.current_timestamp())
+    met = timed.groupBy("user_id", "request_id", "_since").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    keys = met.where("_first = _last").select("user_id", "request_id", "_since", F.lit(True).alias("_new"))
+    return since.unionByName(keys, allowMissingColumns=True)
+
+
+def only_new(rows: DataFrame) -> DataFrame:
+    """Of one micro-batch of with_new_requests: of each new request the first message by arrival, and all messages without a request."""
+    told = rows.where("not _new")
+    new = told.where(named()).join(rows.where("_new").select("user_id", "request_id", "_since"), ["user_id", "request_id", "_since"], "left_semi")
+    return first_requests(new.unionByName(told.where(~named())).drop("_new", "_since"))
+
+
+def named() -> Column:
+    return F.coalesce("request_id", F.lit("")) != ""
 
 
 def numbered(store: Batches, new: DataFrame, batch: int, part: Column | None = None) -> DataFrame:
@@ -73,7 +70,7 @@ def run(source: DataFrame, store: Batches, checkpoint: str) -> None:
     spark.conf.set(key, ROCKS)
     cleared = store.stored("cleared").groupBy("user_id").agg(F.max("upto").alias("upto"))
     try:
-        out = only_new(source, cleared).writeStream.foreachBatch(lambda df, n: numbered(store, store.held(df), n))
+        out = with_new_requests(source, cleared).writeStream.outputMode("update").foreachBatch(lambda df, n: numbered(store, store.held(only_new(store.held(df))), n))
         out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -248,3 +248,16 @@ def test_cards_follow_their_session(spark, tmp_path):
     got = ingest.card_units(m, f"{tmp_path}/log", make, "Cards of: ", tries=1, wait=0).orderBy("session_id", "place").collect()
     assert [(r.session_id, r.place, r.is_card) for r in got] == [("s1", 0, False), ("s1", 1, True), ("s1", 2, True), ("s2", 0, False)]
     assert got[0].content.endswith("user: hello") and [got[1].content, got[1].ts] == ["[2023] A: x", 1683504000000] and got[2].content.strip() == "[2024] B: z"
+
+
+def test_requests_seen_need_no_python_and_the_first_message_counts(spark, store, tmp_path):
+    """Of a request's messages in one micro-batch the first by arrival counts, in any order of files; no task runs Python for them."""
+    told = [("u0", "r1", 5, "late"), ("u0", "r1", 2, "early"), ("u0", "r2", 7, "b"), ("u0", None, 9, "c"), ("u0", "", 8, "d")]
+    incoming(spark, told).coalesce(1).write.parquet(f"{tmp_path}/in/part=0")
+    source = spark.readStream.schema(stream.INCOMING).parquet(f"{tmp_path}/in/part=*")
+    stream.run(source, store, f"{tmp_path}/checkpoint")
+    incoming(spark, [("u0", "r1", 1, "again"), ("u0", "r3", 11, "e")]).coalesce(1).write.parquet(f"{tmp_path}/in/part=1")
+    stream.run(source, store, f"{tmp_path}/checkpoint")
+    assert rows(store.rows("messages"), "seq", "arrival", "content") == [(0, 2, "early"), (1, 7, "b"), (2, 8, "d"), (3, 9, "c"), (4, 11, "e")]
+    plan = stream.with_new_requests(spark.createDataFrame([], stream.INCOMING), store.stored("cleared"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
