@@ -105,61 +105,76 @@ def captioned(text: Column, caption: Column) -> Column:
     return F.when(F.coalesce(caption, F.lit("")) != "", F.concat(text, F.lit(" [image: "), caption, F.lit("]"))).otherwise(text)
 
 
+def let(x: Column, then) -> Column:
+    """then(x), where x is computed once however often then reads it: in a lambda Spark would compute it at each place, once an item."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def relative_dates(text: Column, ts: Column) -> Column:
     """What relative dates of a text mean at its time; empty where none or no time is known.
 
     Rules in order, then counted phrases; a phrase counts once whatever its case. A count that leads
-    out of the calendar is skipped.
+    out of the calendar is skipped. No phrase of one rule overlaps one of another, so that the text is
+    searched once for all rules, and the phrases found are told apart.
     """
     at = F.to_date(F.timestamp_millis(ts))
     day, month, year = "dd MMMM yyyy", "MMMM yyyy", "yyyy"
     week = lambda d: F.concat(F.lit("week of "), F.date_format(F.date_trunc("week", d), day))
     shown = lambda d, form: F.date_format(d, form)
     rules = [
-        (r"\blast night\b", shown(F.date_add(at, -1), day)),
-        (r"\byesterday\b", shown(F.date_add(at, -1), day)),
-        (r"\btomorrow\b", shown(F.date_add(at, 1), day)),
-        (r"\b(?:today|tonight)\b", shown(at, day)),
-        (r"\blast week\b", week(F.date_add(at, -7))),
-        (r"\bthis week\b", week(at)),
-        (r"\bnext week\b", week(F.date_add(at, 7))),
-        (r"\blast month\b", shown(F.add_months(at, -1), month)),
-        (r"\bthis month\b", shown(at, month)),
-        (r"\bnext month\b", shown(F.add_months(at, 1), month)),
-        (r"\blast year\b", (F.year(at) - 1).cast("string")),
-        (r"\bthis year\b", F.year(at).cast("string")),
-        (r"\bnext year\b", (F.year(at) + 1).cast("string")),
+        ("last night", shown(F.date_add(at, -1), day)),
+        ("yesterday", shown(F.date_add(at, -1), day)),
+        ("tomorrow", shown(F.date_add(at, 1), day)),
+        ("(?:today|tonight)", shown(at, day)),
+        ("last week", week(F.date_add(at, -7))),
+        ("this week", week(at)),
+        ("next week", week(F.date_add(at, 7))),
+        ("last month", shown(F.add_months(at, -1), month)),
+        ("this month", shown(at, month)),
+        ("next month", shown(F.add_months(at, 1), month)),
+        ("last year", (F.year(at) - 1).cast("string")),
+        ("this year", F.year(at).cast("string")),
+        ("next year", (F.year(at) + 1).cast("string")),
     ]
 
-    def pair(phrase: Column, means: Column) -> Column:
-        return F.struct(phrase.alias("phrase"), means.alias("means"))
-
-    def stands_for(means: Column):
-        return lambda p: pair(p, means)
-
-    plain = [F.transform(find_all(text, f"(?iU){pattern}"), stands_for(means)) for pattern, means in rules]
+    def plain(p: Column) -> Column:
+        """The phrase with the number of its rule, and what it means."""
+        out = None
+        for n, (pattern, means) in enumerate(rules):
+            test, told = p.rlike(f"(?iU)^{pattern}$"), F.struct(F.lit(n).alias("rule"), p.alias("phrase"), means.alias("means"))
+            out = F.when(test, told) if out is None else out.when(test, told)
+        return out
 
     def counted(p: Column) -> Column:
         word = F.lower(F.regexp_extract(p, f"(?iU){fixed.N_AGO}", 1))
         unit = F.lower(F.regexp_extract(p, f"(?iU){fixed.N_AGO}", 2))
         table = F.create_map(*(F.lit(x) for kv in fixed.QUANTITIES.items() for x in kv))
+
+        def means(n: Column) -> Column:
+            years = F.year(at) - n
+            return (
+                F.when(unit == "day", shown(F.date_add(at, -n), day))
+                .when(unit == "week", shown(F.date_add(at, -7 * n), day))
+                .when(unit == "month", shown(F.add_months(at, -n), day))
+                .otherwise(F.when(years > 0, years.cast("string")))
+            )
+
         n = F.coalesce(F.try_element_at(table, word), word.try_cast("int"))
-        n = F.when(n < 20000, n)
-        years = F.year(at) - n
-        means = (
-            F.when(unit == "day", shown(F.date_add(at, -n), day))
-            .when(unit == "week", shown(F.date_add(at, -7 * n), day))
-            .when(unit == "month", shown(F.add_months(at, -n), day))
-            .otherwise(F.when(years > 0, years.cast("string")))
-        )
-        return pair(p, means)
+        return F.struct(F.lit(len(rules)).alias("rule"), p.alias("phrase"), let(F.when(n < 20000, n), means).alias("means"))
+
+    def joined(found: Column) -> Column:
+        keys = F.transform(found, lambda x: F.lower(x["phrase"]))
+        first = let(keys, lambda k: F.filter(found, lambda x, i: F.array_position(k, F.lower(x["phrase"])) == i + 1))
+        text = F.array_join(F.transform(first, lambda x: F.concat(x["phrase"], F.lit(" = "), x["means"])), "; ")
+        return F.when(F.size(found) > 0, F.concat(F.lit(" [Resolved relative dates: "), text, F.lit("]"))).otherwise("")
 
+    told = F.transform(find_all(text, rf"(?iU)\b(?:{'|'.join(pattern for pattern, _ in rules)})\b"), plain)
     ago = F.filter(F.transform(find_all(text, f"(?iU){fixed.N_AGO}"), counted), lambda x: x["means"].isNotNull())
-    found = F.concat(*plain, ago)
-    keys = F.transform(found, lambda x: F.lower(x["phrase"]))
-    first = F.filter(F.transform(F.arrays_zip(found.alias("x"), keys.alias("k")), lambda z, i: F.struct(z["x"].alias("x"), (F.array_position(keys, z["k"]) == i + 1).alias("new"))), lambda z: z["new"])
-    shown_all = F.array_join(F.transform(first, lambda z: F.concat(z["x"]["phrase"], F.lit(" = "), z["x"]["means"])), "; ")
-    return F.when(known(ts) & (F.size(found) > 0), F.concat(F.lit(" [Resolved relative dates: "), shown_all, F.lit("]"))).otherwise("")
+    of = lambda n: lambda x: x["rule"] == n
+    by_rule = lambda x: F.concat(*(F.filter(x, of(n)) for n in range(len(rules))))
+    # One phrase is in order; more are put in order of their rules, and as they stand within a rule.
+    ordered = let(told, lambda x: F.when(F.size(x) < 2, x).otherwise(by_rule(x)))
+    return F.when(known(ts), let(F.concat(ordered, ago), joined)).otherwise("")
 
 
 def overlap(a: Column, b: Column) -> Column:

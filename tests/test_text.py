@@ -55,3 +55,10 @@ def test_sentences_and_cleaning(spark):
     assert one(spark, T.sentences(F.col("text")), " One. Two!\nThree? \n\n four") == ["One.", "Two!", "Three?", "four"]
     assert one(spark, T.sanitized(F.col("text")), "a b\u0085c\u000bd") == "a b c d"
     assert one(spark, T.without_index_mark(F.col("text")), "x ->-> 1,2 ") == "x"
+
+
+def test_a_text_is_searched_for_relative_dates_once(spark):
+    df = spark.createDataFrame([("Yesterday, TODAY and last night; yesterday, today, two days ago, Last Year", MAY)], "text string, ts bigint")
+    shown = df.select(T.relative_dates(F.col("text"), F.col("ts")).alias("x"))
+    assert shown.head()[0] == " [Resolved relative dates: last night = 07 May 2023; Yesterday = 07 May 2023; TODAY = 08 May 2023; Last Year = 2022; two days ago = 06 May 2023]"
+    assert shown._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2
