@@ -30,12 +30,12 @@ def scan(store: Batches, batch: int) -> None:
 
     New events meet the leaders that are kept, and new leaders; their places go on from the chains' lengths.
     """
-    new = store.held(fresh(store, batch))
+    new = fresh(store, batch)
     store.write("scanned", batch, new.groupBy("user_id").agg(F.max("seq").alias("upto"), F.count("*").alias("rows")))
     found = store.write("events", batch, updates.events(new))
     known = store.rows("leaders", upto=batch - 1).drop("batch")
     led = store.write("leaders", batch, updates.leaders_of(found, known))
-    chained = store.held(updates.chains(found, known.unionByName(led)))
+    chained = updates.chains(found, known.unionByName(led))
     lengths = store.latest("lengths", ["user_id", "chain_id"], batch - 1).select("user_id", "chain_id", "length")
     placed = chained.join(lengths, ["user_id", "chain_id"], "left").withColumn("pos", (F.col("pos") + F.coalesce("length", F.lit(0))).cast("int"))
     placed = store.write("chained", batch, placed)
@@ -72,8 +72,8 @@ def freeze(store: Batches, batch: int, waiting: int = WAITING, share: float = SH
     due = next_.join(last, "user_id", "left").where(F.col("upto").isNull() | (F.col("next") - F.col("upto") > F.greatest(F.lit(waiting), F.floor(share * F.col("n_docs")))))
     due = store.held(due.select("user_id", "next"))
     units = ingest.message_units(store.rows("messages", upto=batch).join(due, "user_id", "left_semi"))
-    index = retrieval.build_index(units)
-    store.write("postings", batch, index.postings)
+    postings = store.write("postings", batch, retrieval.postings_of(units))
+    index = retrieval.index_of(postings, retrieval.units_sized(units).select("user_id", "dl"))
     terms = store.write("terms", batch, index.terms)
     means = terms.groupBy("user_id").agg(F.avg("idf").alias("mean_idf"))
     store.write("segments", batch, due.join(index.corpus, "user_id").join(means, "user_id", "left").select("user_id", F.col("next").alias("upto"), "n_docs", "avgdl", "mean_idf"))

@@ -49,9 +49,9 @@ def named() -> Column:
 def numbered(store: Batches, new: DataFrame, batch: int, part: Column | None = None) -> DataFrame:
     """Writes a batch's messages, numbered on from each user's last, and the users' next numbers."""
     span = F.floor(F.col("arrival") / SPAN) if part is None else part
-    held = store.held(assign_seq(new, ["arrival"], span))
+    placed = assign_seq(new, ["arrival"], span)
     last = store.latest("counters", ["user_id"], batch - 1).select(F.col("user_id").alias("_u"), "next")
-    at = held.join(last, F.col("user_id") == F.col("_u"), "left").withColumn("seq", F.col("seq") + F.coalesce("next", F.lit(0)))
+    at = placed.join(last, F.col("user_id") == F.col("_u"), "left").withColumn("seq", F.col("seq") + F.coalesce("next", F.lit(0)))
     written = store.write("messages", batch, at)
     store.put_latest("counters", ["user_id"], batch, written.groupBy("user_id").agg((F.max("seq") + 1).alias("next")))
     return written

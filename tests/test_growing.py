@@ -261,3 +261,12 @@ def test_requests_seen_need_no_python_and_the_first_message_counts(spark, store,
     assert rows(store.rows("messages"), "seq", "arrival", "content") == [(0, 2, "early"), (1, 7, "b"), (2, 8, "d"), (3, 9, "c"), (4, 11, "e")]
     plan = stream.with_new_requests(spark.createDataFrame([], stream.INCOMING), store.stored("cleared"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_sentence_is_searched_for_words_once(spark):
+    """Filters on the words and values of sentences read them, and don't find them again."""
+    from anamnesis.functions import fixed
+
+    units = incoming(spark, story(5)).withColumn("seq", F.col("arrival"))
+    plan = updates.updates(updates.events(units))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(fixed.TOPIC_WORD) == 1
