@@ -76,7 +76,10 @@ def library_files(spark, sf, at):
     c = table(spark, sf, "conversations").withColumn("lib", F.lpad(F.col("conv_id").cast("string"), 9, "0"))
     chat = c.where("conv_id % 3 <> 1").withColumn("kind", F.lit("chat"))
     ask = c.where("turn = 0").withColumn("kind", F.lit("questions"))
-    chat.unionByName(ask).select("lib", "kind", "turn", "role", "text").repartition(8, "lib").write.partitionBy("lib", "kind").json(at)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = chat.unionByName(ask).select("lib", "kind", "turn", "role", "text").repartition(tasks, "lib")
+    # Tasks move their own files to their place: with version 1 the driver moves all of them, one after the other.
+    told.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("lib", "kind").json(at)
 
 
 @query

@@ -42,8 +42,12 @@ def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 def chosen(listed: DataFrame, wanted: Column, limit: int = 0) -> DataFrame:
     """Of a listing the wanted files of the first keys in order (all, if limit is 0); keys without such a file are skipped, but count."""
-    keys = listed.select("key").distinct()
-    return listed.where(wanted).join(keys.orderBy("key").limit(limit) if limit else keys, "key", "left_semi")
+    if not limit:
+        return listed.where(wanted)
+    # The files are listed once: each key has its wanted ones beside it.
+    columns = [c for c in listed.columns if c != "key"]
+    each = listed.groupBy("key").agg(F.collect_list(F.when(wanted, F.struct(*columns))).alias("x"))
+    return each.orderBy("key").limit(limit).select("key", F.explode("x").alias("x")).select(*(F.col("x")[c].alias(c) if c != "key" else F.col("key") for c in listed.columns))
 
 
 def read_chosen(spark: SparkSession, files: DataFrame, schema: str, most: int = 10_000) -> DataFrame:
