@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.batches import kept
 from .evaluation import evidence_recall
 
 GOLD = ("gold_answer", "golden_answer", "reference_answer", "correct_answer")
@@ -41,8 +42,7 @@ def texts(records: DataFrame, value: str = "value") -> DataFrame:
     Lists are walked a level at a time, all records at once: the items of each level's lists are its rows,
     and a last sort by path puts a record's lines together. An empty list is an empty line. Text that isn't JSON is an error.
     """
-    spark = records.sparkSession
-    level = records.select("id", F.get_json_object(value, "$").alias("raw"), F.parse_json(F.col(value)).alias("v"), F.array().cast("array<int>").alias("path"))
+    level = kept(records.select("id", F.get_json_object(value, "$").alias("raw"), F.parse_json(F.col(value)).alias("v"), F.array().cast("array<int>").alias("path")), "level")
     done = None
     while True:
         listed = F.coalesce((kind(F.col("v")) == "ARRAY") & (F.to_json("v") != "[]"), F.lit(False))
@@ -55,20 +55,23 @@ def texts(records: DataFrame, value: str = "value") -> DataFrame:
             break
         items = inner.select("id", "raw", "path", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("pos", "v"))
         raw = F.call_function("get_json_object", F.col("raw"), F.concat(F.lit("$["), F.col("pos").cast("string"), F.lit("]")))
-        level = items.select("id", raw.alias("raw"), "v", F.concat("path", F.array("pos")).alias("path"))
+        # Kept, so that a level isn't made again from the first for each one below.
+        level = kept(items.select("id", raw.alias("raw"), "v", F.concat("path", F.array("pos")).alias("path")), "level")
     lines = done.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("x"))
     return lines.select("id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
 
 
 def gold_texts(records: DataFrame) -> DataFrame:
     """(id, text): the gold answers of records (id, record), record JSON text; a record without one under any name is an error."""
-    gold = field(F.parse_json("record"), *GOLD)
+    parsed = records.select("id", "record", F.parse_json("record").alias("p"))
+    first = F.coalesce(*(F.when(F.variant_get("p", f"$.{k}", "variant").isNotNull(), F.lit(k)) for k in GOLD))
+    parsed = parsed.select("id", "record", field(F.col("p"), *GOLD).alias("gold"), first.alias("first"))
+    gold, first = F.col("gold"), F.col("first")
     found = F.coalesce(F.to_json(gold), F.raise_error(F.lit("no gold answer")).cast("string"))
-    first = F.coalesce(*(F.when(F.variant_get(F.parse_json("record"), f"$.{k}", "variant").isNotNull(), F.lit(k)) for k in GOLD))
     # Of an object or list its own text keeps the order of keys; scalars are taken as VARIANT shows them.
     own = F.coalesce(*(F.when(first == k, F.get_json_object("record", f"$.{k}")) for k in GOLD))
     value = F.when(kind(gold).isin("ARRAY", "OBJECT"), own).otherwise(found)
-    return texts(records.select("id", value.alias("value")))
+    return texts(parsed.select("id", value.alias("value")))
 
 
 def evidence_text(gold: Column, rubric: Column, evidence: Column) -> Column:
