@@ -85,3 +85,13 @@ def test_judgements(spark):
     assert one(spark, evaluation.judge_label(x), 'so {"label": "wrong"} {"label": "correct"}') == "WRONG"
     assert one(spark, evaluation.rubric_scores(x, F.lit(1)), '{"scores": [{"index": 0, "score": 0.5}]}') == [0.5]
     assert one(spark, evaluation.rubric_scores(x, F.lit(2)), '{"scores": [{"index": 0, "score": 0.5}]}') is None
+
+
+def test_a_search_makes_its_messages_once(spark):
+    from anamnesis.plans.search import Options, search
+
+    told = spark.createDataFrame([("u0", "s", i, "user", 1683504000000 + i, f"Actually the walnut table changed to {i}.") for i in range(6)], "user_id string, session_id string, seq bigint, role string, ts bigint, content string")
+    told = told.where(F.col("content") != "left out by its text")
+    out = search(spark.createDataFrame([(1, "u0", "What is the current walnut table?")], "query_id int, user_id string, query string"), told, Options(top_k=3, timeline=True))
+    assert out.count() == 3
+    assert "left out by its text" not in out._jdf.queryExecution().optimizedPlan().toString()
