@@ -1,6 +1,8 @@
 """A memory that grows by batches: against one run over all, and what each step reads and calls."""
 
+import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -270,3 +272,18 @@ def test_a_sentence_is_searched_for_words_once(spark):
     units = incoming(spark, story(5)).withColumn("seq", F.col("arrival"))
     plan = updates.updates(updates.events(units))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(fixed.TOPIC_WORD) == 1
+
+
+def test_a_scan_writes_its_tables_alone(spark, store):
+    """No step of adding and scanning a batch writes the same rows a second time beside its tables."""
+    stream.append_batch(store, incoming(spark, story(20)), 0)
+    standing.scan(store, 0)
+    assert not os.path.exists(f"{store.path}/_held")
+
+
+def test_words_are_counted_where_their_unit_is(spark):
+    units = spark.createDataFrame([("u0", 0, "a b a"), ("u0", 1, "")], "user_id string, seq bigint, index_text string")
+    postings = retrieval.postings_of(units)
+    assert rows(postings, "seq", "term", "tf", "dl") == [(0, "a", 2, 3), (0, "b", 1, 3)]
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", postings._jdf.queryExecution().executedPlan().toString())
+    assert moved and not any("term" in by for by in moved)
