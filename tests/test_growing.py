@@ -287,3 +287,20 @@ def test_words_are_counted_where_their_unit_is(spark):
     assert rows(postings, "seq", "term", "tf", "dl") == [(0, "a", 2, 3), (0, "b", 1, 3)]
     moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", postings._jdf.queryExecution().executedPlan().toString())
     assert moved and not any("term" in by for by in moved)
+
+
+def test_a_unit_is_counted_in_its_row(spark):
+    """Words of a unit are counted without a table of all units' words."""
+    units = spark.createDataFrame([("u0", 0, "b a b c a b"), ("u0", 1, ""), ("u1", 0, "z")], "user_id string, seq bigint, index_text string")
+    postings = retrieval.postings_of(units)
+    assert rows(postings, "user_id", "seq", "term", "tf", "dl") == [("u0", 0, "a", 2, 6), ("u0", 0, "b", 3, 6), ("u0", 0, "c", 1, 6), ("u1", 0, "z", 1, 1)]
+    assert "Aggregate" not in postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_compacted_store_is_written_without_a_sort_by_batch(spark, store, tmp_path, monkeypatch):
+    stream.append_batch(store, incoming(spark, story(9)), 0)
+    seen, plain = [], Batches.rows
+    monkeypatch.setattr(Batches, "rows", lambda self, *a, **k: (seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")), plain(self, *a, **k))[1])
+    out = store.compacted(f"{tmp_path}/compacted")
+    assert set(seen) == {str(batches.OPEN)} and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert out.rows("messages").count() == 9
