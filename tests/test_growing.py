@@ -297,6 +297,18 @@ def test_a_unit_is_counted_in_its_row(spark):
     assert "Aggregate" not in postings._jdf.queryExecution().executedPlan().toString()
 
 
+def test_latest_assertives_are_found_by_parts(spark, monkeypatch):
+    """Only the parts that hold a user's latest assertives are put in order, not all of them."""
+    monkeypatch.setattr(updates, "LATE", 7)
+    found = spark.createDataFrame([(f"u{i % 2}", i // 2 * (1 + i % 2), n, False, ["1"], ["a", "b", "c"]) for i in range(101) for n in range(1 + i % 3)], "user_id string, seq bigint, n int, negated boolean, values array<string>, topic array<string>")
+    got = updates.assertives(found, keep=10)
+    told = sorted(((r.user_id, r.seq, r.n) for r in found.collect()), reverse=True)
+    want = [x for u in ("u0", "u1") for x in sorted([t for t in told if t[0] == u][:10])]
+    assert rows(got, "user_id", "seq", "n") == want
+    assert "Join" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert updates.assertives(found, keep=1000).count() == found.count()
+
+
 def test_a_compacted_store_is_written_without_a_sort_by_batch(spark, store, tmp_path, monkeypatch):
     stream.append_batch(store, incoming(spark, story(9)), 0)
     seen, plain = [], Batches.rows
