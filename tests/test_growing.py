@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from anamnesis.functions import text
 from anamnesis.operators import ingest, models, retrieval, standing, updates
 from anamnesis.sources import batches, files
 from anamnesis.sources.batches import Batches
@@ -316,3 +317,9 @@ def test_a_compacted_store_is_written_without_a_sort_by_batch(spark, store, tmp_
     out = store.compacted(f"{tmp_path}/compacted")
     assert set(seen) == {str(batches.OPEN)} and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert out.rows("messages").count() == 9
+
+
+def test_sentences_are_cut_without_a_pattern_compiled_for_each_row(spark):
+    told = spark.createDataFrame([(" One.  Two!\n\n three \n.Four? ",), (None,), ("",)], "t string").select(text.sentences(F.col("t")).alias("s"))
+    assert [r.s for r in told.collect()] == [["One.", "Two!", "three", ".Four?"], None, []]
+    assert "split(t" not in told._jdf.queryExecution().optimizedPlan().toString()
