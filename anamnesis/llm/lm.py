@@ -7,9 +7,10 @@ probability of a word after another is its pair's count, smoothed with the word'
 
 Counting: tasks pack the n-grams they met by hash range, and one group a range adds these up and
 fills the filter's block for that range. The filter grows with what is counted. Up to MOST_BITS the
-driver joins the blocks and broadcasts them. A larger filter stays where it is: each slice of texts
-sends its distinct n-grams to the shards of their ranges, and gets their levels back by a shuffle.
-Either way gives the same scores. N-grams are known by 32 bits of hash within their range.
+driver joins the blocks and broadcasts them. A larger filter stays where it is: texts are dealt out
+into parts by hash, once; each part sends its distinct n-grams to the shards of their ranges, and gets
+their levels back by a shuffle. Either way gives the same scores. N-grams are known by 32 bits of hash
+within their range, and sent as the gaps between them.
 
 The base score has exact counts. The most frequent words, a bounded number, are broadcast; the rest
 are counted and looked up by a join.
@@ -25,6 +26,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -39,8 +41,8 @@ from .tokens import END, END_WORD, MIX, STEP, cut, lowered, mixed, pairs, word_h
 HEAD, LONGEST = 100_000, 64
 #: Bits of the filter an entry, and of the largest filter that is broadcast (64 MB); bits set for each entry.
 BITS, MOST_BITS, PROBES = 8, 1 << 29, 3
-#: Bits of a shard, about, of a filter that isn't broadcast, and a number above that of all shards.
-SHARD_BITS, SHARDS = 1 << 24, 1 << 20
+#: Bits of a shard, about, of a filter that isn't broadcast.
+SHARD_BITS = 1 << 24
 #: Tokens of a hash range, about.
 RANGE = 1 << 21
 #: N-grams or words that a task adds up before it hands them on.
@@ -107,8 +109,23 @@ def ranged(h: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - range_bits)).astype(np.int64), ((h >> np.uint64(32 - range_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint64)
 
 
+def slim(keys: np.ndarray) -> bytes:
+    """Ascending numbers of up to 48 bits as the gaps between them: 16 bits of each as they are, and what is above these compressed."""
+    gaps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    high = gaps >> np.uint64(16)
+    size = 1 if not len(high) or high.max() < 256 else 4
+    return size.to_bytes(1, "little") + len(keys).to_bytes(4, "little") + gaps.astype("<u2").tobytes() + zlib.compress(high.astype(f"<u{size}").tobytes(), 1)
+
+
+def unslim(data: bytes) -> np.ndarray:
+    size, n = data[0], int.from_bytes(data[1:5], "little")
+    low = np.frombuffer(data, "<u2", n, 5).astype(np.uint64)
+    high = np.frombuffer(zlib.decompress(data[5 + 2 * n :]), f"<u{size}").astype(np.uint64)
+    return np.cumsum(low + (high << np.uint64(16)), dtype=np.uint64)
+
+
 def ngram_counts(documents: DataFrame, range_bits: int) -> DataFrame:
-    """(range, keys, levels): for each hash range its n-grams, as sorted 32-bit keys, and their levels."""
+    """(range, keys, levels): for each hash range its n-grams, as 32-bit keys packed by slim, and their levels."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -117,7 +134,7 @@ def ngram_counts(documents: DataFrame, range_bits: int) -> DataFrame:
             h, n = np.unique(np.concatenate(parts), return_counts=True)
             at = np.searchsorted(h, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
             _, keys = ranged(h, range_bits)
-            out = [(i, k.astype("<u4").tobytes(), zlib.compress(c.astype("<i4").tobytes(), 1)) for i, (k, c) in enumerate(zip(np.split(keys, at), np.split(n, at))) if len(k)]
+            out = [(i, slim(k), zlib.compress(c.astype("<i4").tobytes(), 1)) for i, (k, c) in enumerate(zip(np.split(keys, at), np.split(n, at))) if len(k)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["range", "keys", "counts"])
 
         parts, held = [], 0
@@ -133,12 +150,12 @@ def ngram_counts(documents: DataFrame, range_bits: int) -> DataFrame:
             yield packed(parts)
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, "<u4") for k in pdf["keys"]])
+        keys = np.concatenate([unslim(k) for k in pdf["keys"]])
         counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<i4") for c in pdf["counts"]]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         keys, first = np.unique(keys[order], return_index=True)
         levels = np.minimum(LEVELS, 1 + np.floor(np.log2(np.add.reduceat(counts[order], first)))).astype(np.uint8)
-        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "keys": [keys.astype("<u4").tobytes()], "levels": [zlib.compress(levels.tobytes(), 1)], "entries": [int(levels.sum())]})
+        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "keys": [slim(keys)], "levels": [zlib.compress(levels.tobytes(), 1)], "entries": [int(levels.sum())]})
 
     packed = documents.select("text").mapInArrow(run, "range int, keys binary, counts binary")
     return packed.groupBy("range").applyInPandas(added, "range int, keys binary, levels binary, entries bigint")
@@ -159,7 +176,7 @@ def filled(counts: DataFrame, block: int) -> DataFrame:
 
         for batch in batches:
             for at, k, v in rows(batch, "range", "keys", "levels"):
-                keys, levels = np.frombuffer(k, "<u4").astype(np.uint64), np.frombuffer(zlib.decompress(v), np.uint8)
+                keys, levels = unslim(k), np.frombuffer(zlib.decompress(v), np.uint8)
                 bits = np.zeros(block, bool)
                 for q in range(1, int(levels.max()) + 1):
                     for p in places(keys[levels >= q], q, block):
@@ -210,34 +227,6 @@ class Model:
                 yield group, likelihoods(*gathered(group), self.counts_of, self.tokens, self.kinds)
 
 
-class Slices:
-    """Scores from levels that were probed elsewhere; reads what probed() gives."""
-
-    def __init__(self, tokens: int, kinds: int):
-        self.tokens, self.kinds = tokens, kinds
-
-    def scored(self, batches) -> Iterator[tuple[list[tuple], np.ndarray]]:
-        at, levels, group = None, [], []
-        for batch in batches:
-            for part, place, doc, text, data in rows(batch, "part", "place", "doc_id", "text", "data"):
-                if part != at:
-                    if group:
-                        yield group, self.scores(group, levels)
-                    at, levels, group = part, [], []
-                if place < 0:
-                    levels.append(data)
-                else:
-                    group.append((doc, text))
-        if group:
-            yield group, self.scores(group, levels)
-
-    def scores(self, group: list[tuple], levels: list[bytes]) -> np.ndarray:
-        # Levels came by shard, that is by hash.
-        words, two, last = gathered(group)
-        kinds, counts = distinct(words, two), COUNT[np.frombuffer(b"".join(levels), np.uint8)]
-        return likelihoods(words, two, last, lambda h: counts[np.searchsorted(kinds, h)], self.tokens, self.kinds)
-
-
 def gathered(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n-grams of all texts of a group together."""
     words, two, last = map(np.concatenate, zip(*ngrams(text for _, text in group)))
@@ -286,33 +275,45 @@ def train(documents: DataFrame, tokens: int, kinds: int) -> Model:
     return joined(*sized(documents, tokens), tokens, kinds)
 
 
-def probed(documents: DataFrame, counts: DataFrame, range_bits: int, block: int) -> DataFrame:
-    """(part, place, doc_id, text, data): slices of the texts, each after the levels of its n-grams, by shard.
+def dealt(documents: DataFrame, tokens: int) -> DataFrame:
+    """(part, doc_id, text): parts of about TOGETHER characters, by hash, each in one task."""
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = max(tasks, tokens * 8 // TOGETHER)
+    return documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).alias("part"), "doc_id", "text").repartition(tasks, "part")
+
+
+def probed(texts: DataFrame, counts: DataFrame, range_bits: int, block: int) -> DataFrame:
+    """(part, shard, levels): the levels of the distinct n-grams of each part of dealt texts, in order of hash within a shard and by shard.
 
     No process holds more of the filter than a shard.
     """
-    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ranges of a shard, as a power of two.
     wide = min(range_bits, max(0, math.ceil(math.log2(SHARD_BITS / block))))
-    schema = "shard int, part bigint, place bigint, doc_id bigint, text string, data binary"
+    base = np.uint64(wide + 32)
 
-    def cut_up(batches) -> Iterator:
+    def asked(part: int, kinds: np.ndarray):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() << 33
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        for batch in batches:
-            for group in grouped(rows(batch, "doc_id", "text")):
-                h = distinct(*gathered(group)[:2])
-                where, keys = ranged(h, range_bits)
-                shards, starts = np.unique(where >> wide, return_index=True)
-                each = zip(shards.tolist(), np.split(where, starts[1:]), np.split(keys, starts[1:]))
-                # How many keys each range of the shard has, and the keys.
-                out = [(s, part, s - SHARDS, None, None, np.concatenate([np.bincount(w - (s << wide), minlength=1 << wide), k.astype(np.int64)]).astype("<u4").tobytes()) for s, w, k in each]
-                out += [(None, part, i, doc, text, None) for i, (doc, text) in enumerate(group)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [c.split()[0] for c in schema.split(", ")])
-                part += 1
+        full = kinds >> np.uint64(32 - range_bits)
+        shards, starts = np.unique(full >> base, return_index=True)
+        out = [(s, part, None, slim(k - (np.uint64(s) << base))) for s, k in zip(shards.tolist(), np.split(full, starts[1:]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["shard", "part", "range", "data"])
+
+    def ask(batches) -> Iterator:
+        def found() -> Iterator[tuple]:
+            for batch in batches:
+                yield from rows(batch, "part", "text")
+
+        at, kinds = None, None
+        for group in grouped(found()):
+            for part, of in groupby(group, lambda r: r[0]):
+                if at is not None and part != at:
+                    yield asked(at, kinds)
+                more = distinct(*gathered(list(of))[:2])
+                at, kinds = part, more if part != at else np.union1d(kinds, more)
+        if at is not None:
+            yield asked(at, kinds)
 
     def probe(batches) -> Iterator:
         import pyarrow as pa
@@ -327,20 +328,17 @@ def probed(documents: DataFrame, counts: DataFrame, range_bits: int, block: int)
                     start = (where - model.first) * block >> 3
                     model.bits[start : start + (block >> 3)] = np.frombuffer(data, np.uint8)
                 else:
-                    packed = np.frombuffer(data, "<u4")
-                    where = model.first + np.repeat(np.arange(1 << wide), packed[: 1 << wide])
-                    out.append((part, shard - SHARDS, model.levels_at(where, packed[1 << wide :].astype(np.uint64)).tobytes()))
+                    full = unslim(data)
+                    levels = model.levels_at((full >> np.uint64(32)).astype(np.int64) + model.first, full & np.uint64(0xFFFFFFFF))
+                    out.append((part, shard, zlib.compress(levels.tobytes(), 1)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "place", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["part", "shard", "levels"])
 
-    slices = materialize(documents.select("doc_id", "text").mapInArrow(cut_up, schema), "lm-slices")
-    asked = slices.where("place < 0").select("shard", "part", F.lit(None).cast("int").alias("range"), "data")
+    sent = texts.sortWithinPartitions("part").mapInArrow(ask, "shard int, part bigint, range int, data binary")
     blocks = filled(counts, block).select(F.shiftright("range", wide).alias("shard"), F.lit(-1).cast("bigint").alias("part"), "range", F.col("bits").alias("data"))
     # Within a shard the blocks of the filter come first.
-    met = blocks.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "part")
-    levels = met.mapInArrow(probe, "part bigint, place bigint, data binary")
-    texts = slices.where("place >= 0").select("part", "place", "doc_id", "text")
-    return texts.unionByName(levels, allowMissingColumns=True).repartition(tasks, "part").sortWithinPartitions("part", "place")
+    met = blocks.unionByName(sent).repartition(tasks, "shard").sortWithinPartitions("shard", "part")
+    return met.mapInArrow(probe, "part bigint, shard int, levels binary")
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -353,36 +351,58 @@ def score(documents: DataFrame) -> DataFrame:
     under = n + 0.1 * (kinds + 1)
     head = {bytes(r.word): r.c for r in counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HEAD).collect()}
     levels, range_bits, block = sized(learned, n)
-    if block << range_bits <= MOST_BITS:
-        model, texts = joined(levels, range_bits, block, n, kinds), documents.select("doc_id", "text")
-    else:
-        model, texts = Slices(n, kinds), probed(documents, levels, range_bits, block)
+    whole = block << range_bits <= MOST_BITS
+    model = joined(levels, range_bits, block, n, kinds) if whole else None
     shared = spark.sparkContext.broadcast((model, {w: math.log10((c + 0.1) / under) for w, c in head.items()}))
 
-    def run(batches) -> Iterator:
+    def told(row: int, group: list[tuple], values: np.ndarray):
         import pyarrow as pa
+
+        known, out = shared.value[1], []
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        for (doc, text), value in zip(group, values):
+            seen = Counter({b"": 1})
+            seen.update(lowered(text).split())
+            rest, total, have = [], 0.0, 0
+            for w, k in seen.items():
+                if (v := known.get(w)) is None:
+                    rest.append(w)
+                else:
+                    total += k * v
+                    have += k
+            out.append((row, doc, seen.total(), have, total, float(value), rest, [seen[w] for w in rest]))
+            row += 1
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "doc_id", "n_tokens", "have", "total", "score", "words", "times"])
+
+    def run(batches) -> Iterator:
         from pyspark import TaskContext
 
-        model, known = shared.value
         row = TaskContext.get().partitionId() << 33
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        for group, values in model.scored(batches):
-            out = []
-            for (doc, text), value in zip(group, values):
-                seen = Counter({b"": 1})
-                seen.update(lowered(text).split())
-                rest, total, have = [], 0.0, 0
-                for w, k in seen.items():
-                    if (v := known.get(w)) is None:
-                        rest.append(w)
-                    else:
-                        total += k * v
-                        have += k
-                out.append((row, doc, seen.total(), have, total, float(value), rest, [seen[w] for w in rest]))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "doc_id", "n_tokens", "have", "total", "score", "words", "times"])
-
-    parts = materialize(texts.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, have bigint, total double, score double, words array<binary>, times array<bigint>"), "lm-parts")
+        for group, values in shared.value[0].scored(batches):
+            yield told(row, group, values)
+            row += len(group)
+
+    def run_part(texts, probes):
+        import pyarrow as pa
+
+        part = texts.column("part")[0].as_py()
+        levels = b"".join(zlib.decompress(v) for _, v in sorted(rows(probes, "shard", "levels")))
+        counts, out, at = COUNT[np.frombuffer(levels, np.uint8)], [], part << 33
+        groups = list(grouped(rows(texts, "doc_id", "text")))
+        found = [gathered(g) for g in groups]
+        of = np.unique(np.concatenate([distinct(words, two) for words, two, _ in found]))
+        for group, one in zip(groups, found):
+            out.append(told(at, group, likelihoods(*one, lambda h: counts[np.searchsorted(of, h)], n, kinds)))
+            at += len(group)
+        return pa.Table.from_batches(out)
+
+    schema = "row bigint, doc_id bigint, n_tokens bigint, have bigint, total double, score double, words array<binary>, times array<bigint>"
+    if whole:
+        parts = documents.select("doc_id", "text").mapInArrow(run, schema)
+    else:
+        texts = dealt(documents, n)
+        parts = texts.groupBy("part").cogroup(probed(texts, levels, range_bits, block).groupBy("part")).applyInArrow(run_part, schema)
+    parts = materialize(parts, "lm-parts")
     rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     found = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(under))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("also"))

@@ -356,3 +356,12 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(abs(got[0][d] - got[1][d]) < 1e-9 for d in got[0]) and len(got[0]) == 300
+
+
+def test_ascending_hashes_are_sent_as_gaps():
+    from anamnesis.llm import lm
+
+    for keys in (np.zeros(0, np.uint64), np.array([0, 0, 7, 1 << 38], np.uint64), np.sort(np.random.default_rng(1).integers(0, 1 << 32, 25_000).astype(np.uint64))):
+        packed = lm.slim(keys)
+        assert (lm.unslim(packed) == keys).all()
+    assert len(packed) < 2.9 * len(keys)
