@@ -7,14 +7,20 @@ of their sketches one at least is equal.  A set is indexed by its segments in th
 a guest in the next bands that a larger partner may be in.  Segments are WIDTH bits, about ten shingles
 each, and are joined by the XOR of the hashes of their odd bits.
 
-Equal sets are one node.  Of a segment's members only the pairs with one of them, the pivot, are
-compared: the member that shares most segments.  Its differences to the others are kept, as they are
+Equal sets are one node.  Members of a key that has few are paired with each other, unless their
+sizes or a short sketch of the whole sets rule a link out.  Of a key's many members only the pairs with
+one of them, the pivot, are compared: the member that shares most segments.  Its differences to the others are kept, as they are
 all that is needed of the rest: the sets x and z, given by what they differ in from any one set, differ
 in what these differences differ in.  So the members of a pivot are described by what they differ in
 from what most of them have, and the one nearest to that is compared with all: what differs little is
 linked to it.  The others are linked only through differences that they share (see meet).  No pairs
 of a group are made but these, and no link between two that aren't joined otherwise is lost.
 
+texts_alike is for similarities under that, which take a segment for every few shingles. Its keys
+are a prefix: of all shingles in one order the first n - ceil(n p / q) + 1 of each set, of which two
+sets that are alike by p / q share one at least. Any order does; what a sample has often comes last in
+it, so that few strangers meet. All that follows the keys is the same.
+
 Nulls and texts without words have an empty set, linked with nothing; a text of fewer words than a
 shingle has one shingle, all its words. A null doc_id takes part but is never a component's id; a
 component of null ids only has a null id. Repeated rows are returned as often as they come. Other columns
@@ -32,15 +38,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows
 from .components import components
-from .simhash import digest, renamed, sent, shingles
+from .simhash import SIMILAR, digest, renamed, sent, shingles
 from .tokens import MIX, STEP, mixed
 
 #: Words of a shingle; p and q of the similarity; bits of a segment.
 SHINGLE, LIKE, WIDTH = 3, (90, 100), 256
+#: Members of a prefix's key that are paired with each other (of a segment's, two); bits of a mark.
+FEW, MARK = 32, 2048
 #: Members of a pivot that are compared in one task; shingles of its first ones that its centre is found by.
 PART, CENTRE = 256, 1 << 21
 #: Ids, at 8 bytes each, that are sent to all tasks.
 IDS = 1_000_000
+#: Of texts_alike: similarity; one text in how many is looked at for common shingles, at most how many
+#: texts and characters of each, and how many shingles are sent to all tasks. They only order the shingles.
+NEAR, RATE, TEXTS, CHARS, COMMON = (8, 10), 16, 1 << 16, 1 << 15, 1 << 18
 
 
 def band_starts(largest: int = 1 << 40) -> list[int]:
@@ -95,8 +106,41 @@ def keys_of(hashes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]
     return home, np.concatenate(guest)
 
 
-def prints(documents: DataFrame, size: int, p: int, q: int) -> DataFrame:
-    """(doc_id, digest, n, h1, h2, home, guest) of every document: its set's size, hashes and keys."""
+def common(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one text of a bounded sample has, and how many have them."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [shingles(text, size) for (text,) in rows(batch, "text")]
+            h, c = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
+
+    rate = max(RATE, -(-documents.count() // TEXTS))
+    some = documents.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select(F.substring("text", 1, CHARS).alias("text")).distinct()
+    found = some.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toPandas().sort_values("h", key=lambda c: c.astype("int64").to_numpy().view(np.uint64))
+    return found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+
+
+def mark(hashes: np.ndarray) -> np.ndarray:
+    """A short sketch of a whole set: MARK bits, of which each shingle flips one."""
+    return np.packbits(np.bincount((mixed(hashes) % np.uint64(MARK)).astype(np.int64), minlength=MARK).astype(np.uint8) & 1).view(np.int64)
+
+
+def prefix(hashes: np.ndarray, p: int, q: int, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, as many as two sets alike by p / q can't differ in; those that are often seen come last."""
+    known, times = often
+    rank = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, times[at], 0)
+    order = np.lexsort((mixed(hashes), rank))
+    return hashes[order[: len(hashes) - -(-len(hashes) * p // q) + 1]].view(np.int64)
+
+
+def prints(documents: DataFrame, size: int, p: int, q: int, often=None) -> DataFrame:
+    """(doc_id, digest, n, h1, h2, mark, home, guest) of every document: its set's size, hashes, mark and keys; these are prefixes, if common shingles are given in a broadcast."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -106,33 +150,48 @@ def prints(documents: DataFrame, size: int, p: int, q: int) -> DataFrame:
             out = []
             for (text,) in rows(batch, "text"):
                 h = shingles(text, size)
-                home, guest = keys_of(h, p, q) if len(h) else (h.view(np.int64), h.view(np.int64))
+                home = guest = np.zeros(0, np.int64)
+                if len(h):
+                    home, guest = keys_of(h, p, q) if often is None else (prefix(h, p, q, often.value), guest)
                 sums = [mixed(h * MIX).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(h + STEP), initial=np.uint64(0))]
-                out.append((len(h), *(int(s.astype(np.int64)) for s in sums), home, guest))
-            n, h1, h2, home, guest = zip(*out) if out else [()] * 5
+                out.append((len(h), *(int(s.astype(np.int64)) for s in sums), mark(h), home, guest))
+            n, h1, h2, marks, home, guest = zip(*out) if out else [()] * 6
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([at["doc_id"].cast(pa.int64()), at["digest"], *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.array(home, lists), pa.array(guest, lists)], ["doc_id", "digest", "n", "h1", "h2", "home", "guest"])
+            yield pa.RecordBatch.from_arrays([at["doc_id"].cast(pa.int64()), at["digest"], *(pa.array(x, pa.int64()) for x in (n, h1, h2)), *(pa.array(x, lists) for x in (marks, home, guest))], ["doc_id", "digest", "n", "h1", "h2", "mark", "home", "guest"])
 
-    schema = "doc_id bigint, digest string, n bigint, h1 bigint, h2 bigint, home array<bigint>, guest array<bigint>"
+    schema = "doc_id bigint, digest string, n bigint, h1 bigint, h2 bigint, mark array<bigint>, home array<bigint>, guest array<bigint>"
     return documents.select("doc_id", digest(F.col("text")).alias("digest"), "text").mapInArrow(run, schema)
 
 
-def stars(told: DataFrame, kinds: DataFrame, p: int, q: int) -> DataFrame:
-    """(pivot, node, many) of nodes that share a key with its pivot; many, if the key has a third member."""
+def pairs_of(members: DataFrame, told: DataFrame, n: DataFrame, p: int, q: int, few: int) -> DataFrame:
+    """(pivot, node) of all pairs of a key's members that may be linked: by their sizes, and as marks differ in no more bits than sets in shingles."""
+    lists = members.groupBy("key").agg(F.collect_list("node").alias("nodes")).select(F.sort_array("nodes").alias("nodes"))
+    lists = lists.select("nodes", F.posexplode("nodes").alias("at", "pivot"))
+    both = materialize(lists.select("pivot", F.explode(F.slice("nodes", F.col("at") + 2, few)).alias("node")).distinct(), "jaccard-few")
+    sized = both.join(n, "node").join(n.select(F.col("node").alias("pivot"), F.col("n").alias("pn")), "pivot")
+    sized = materialize(sized.where(F.least("n", "pn") * q >= F.greatest("n", "pn") * p), "jaccard-sized")
+    marks = told.select(F.col("row").alias("node"), "mark")
+    met = sized.join(marks, "node").join(marks.select(F.col("node").alias("pivot"), F.col("mark").alias("pmark")), "pivot")
+    far = F.aggregate(F.zip_with("mark", "pmark", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return met.where(far * (q + p) <= (F.col("n") + F.col("pn")) * (q - p)).select("pivot", "node")
+
+
+def stars(told: DataFrame, kinds: DataFrame, p: int, q: int, few: int = 2) -> DataFrame:
+    """(pivot, node, many) of nodes that share a key with its pivot; many, if the key has more than a few members. The others are paired with each other."""
     flagged = lambda c, home: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(home).alias("home")))
     one = told.select("row", "home", "guest").join(sent(kinds.select(F.col("node").alias("row")), IDS), "row", "left_semi")
     keyed = one.select(F.col("row").alias("node"), F.explode(F.concat(flagged("home", True), flagged("guest", False))).alias("x")).select("node", "x.*")
     known = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("home")).where("c > 1 and home").select("key", "c")
     # Merge joins: a hot key's members can be split among tasks.
     members = materialize(keyed.select("key", "node").join(materialize(known, "jaccard-keys").hint("merge"), "key"), "jaccard-members")
+    n = kinds.select("node", "n")
+    paired = pairs_of(members.where(F.col("c") <= few), told, n, p, q, few).select("pivot", "node", F.lit(False).alias("many"))
+    members = members.where(F.col("c") > few)
     shares = members.groupBy("node").agg(F.count("*").alias("shares"))
     members = materialize(members.join(shares.hint("merge"), "node"), "jaccard-shares")
     pivots = members.groupBy("key").agg(F.max(F.struct("shares", F.col("node").alias("pivot"))).alias("top")).select("key", "top.pivot")
-    met = members.join(materialize(pivots, "jaccard-pivots").hint("merge"), "key").where("node <> pivot")
-    met = met.groupBy("pivot", "node").agg(F.max(F.col("c") > 2).alias("many"))
-    n = kinds.select("node", "n")
-    met = met.join(n, "node").join(n.select(F.col("node").alias("pivot"), F.col("n").alias("pn")), "pivot")
-    return materialize(met.where(F.col("many") | (F.least("n", "pn") * q >= F.greatest("n", "pn") * p)).select("pivot", "node", "many"), "jaccard-stars")
+    met = members.join(materialize(pivots, "jaccard-pivots").hint("merge"), "key").where("node <> pivot").select("pivot", "node", F.lit(True).alias("many"))
+    return materialize(met.unionByName(paired).groupBy("pivot", "node").agg(F.max("many").alias("many")), "jaccard-stars")
 
 
 def usual(found: list[np.ndarray]) -> np.ndarray:
@@ -194,7 +253,9 @@ def differences(star: DataFrame, kinds: DataFrame, documents: DataFrame, size: i
     places = materialize(heads.unionByName(dealt), "jaccard-places")
     wanted = materialize(places.select("node").distinct().join(kinds.select("node", "digest"), "node"), "jaccard-wanted")
     texts = documents.select(digest(F.col("text")).alias("digest"), "text").join(sent(wanted), "digest").groupBy("node").agg(F.first("text").alias("text"))
-    held = texts.join(places.hint("merge"), "node").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("many").isNotNull(), "node")
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many tasks as there are partitions, so that none gets many long texts at once.
+    held = texts.join(places.hint("merge"), "node").repartition(tasks, "pivot", "part").sortWithinPartitions("pivot", "part", F.col("many").isNotNull(), "node")
     schema = "pivot bigint, pn bigint, node bigint, n bigint, linked boolean, centre boolean, more array<bigint>, less array<bigint>"
     return materialize(held.select("pivot", "part", "node", "many", "text").mapInArrow(run, schema), "jaccard-differences")
 
@@ -267,15 +328,15 @@ def meet(told: DataFrame, p: int, q: int) -> DataFrame:
     return links.unionByName(first).unionByName(verified(rest, items, p, q)).select("a", "b")
 
 
-def joined(documents: DataFrame, size: int = SHINGLE, like: tuple[int, int] = LIKE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def joined(documents: DataFrame, size: int = SHINGLE, like: tuple[int, int] = LIKE, often=None, few: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """prints; the distinct sets (node, n, first, h1, h2) that aren't empty; and links (a, b) of nodes, enough of them to join what is linked."""
     p, q = like
     if not 0 < p <= q:
         raise ValueError("a similarity is over 0 and at most 1")
-    told = materialize(prints(documents, size, p, q).withColumn("row", F.monotonically_increasing_id()), "jaccard-prints")
+    told = materialize(prints(documents, size, p, q, often).withColumn("row", F.monotonically_increasing_id()), "jaccard-prints")
     kinds = told.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.min("row").alias("node"))
     kinds = materialize(kinds, "jaccard-kinds")
-    star = stars(told, kinds, p, q)
+    star = stars(told, kinds, p, q, few)
     found = differences(star, kinds, documents, size, p, q)
     links = found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return told, kinds, materialize(links.unionByName(meet(from_the_centre(found), p, q)), "jaccard-links")
@@ -290,3 +351,13 @@ def similar(documents: DataFrame, size: int = SHINGLE, like: tuple[int, int] = L
     ids = materialize(ids.join(least, "root").select("h1", "h2", "n", "component_id"), "jaccard-components")
     alone = told.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return told.where("n > 0").join(sent(ids), ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def texts_alike(documents: DataFrame, size: int = SIMILAR, like: tuple[int, int] = NEAR) -> DataFrame:
+    """(digest, root): the distinct texts by digest, and which of them links lead to; texts without words lead to themselves only."""
+    often = documents.sparkSession.sparkContext.broadcast(common(documents, size))
+    told, kinds, links = joined(documents, size, like, often, FEW)
+    named = renamed(kinds.select("h1", "h2", "n", "node"), components(links), "node").select("h1", "h2", "n", "root")
+    named = materialize(named, "jaccard-named")
+    texts = told.groupBy("digest").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("n").alias("n"), F.min("row").alias("row"))
+    return texts.join(named, ["h1", "h2", "n"], "left").select("digest", F.coalesce("root", "row").alias("root"))

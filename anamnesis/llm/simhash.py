@@ -17,8 +17,8 @@ hasn't used, so that strangers don't all meet. No pair inside a known component
 link between components is lost.
 
 first_of_each is a stage for texts, not fingerprints: it links texts whose five-word shingles are
-alike by 0.8 or more. Such texts differ in up to a sixth of the bits, so that they are looked for
-with the same variants of many segments of a longer fingerprint (see similar).
+alike by 0.8 or more. Such texts differ in up to a sixth of the bits, too many for segments, so
+that they are joined by their shingles (jaccard.texts_alike), exactly.
 
 Nulls: a null text has no words, and its fingerprint is zero, linked like any other. A null doc_id
 takes part but is never a component's id; a component of null ids only has a null id. Repeated rows
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows, whole
 from .components import components
-from .tokens import MIX, cut, lowered, mixed, powers, word_hashes
+from .tokens import MIX, cut, lowered, mixed, word_hashes
 
 BITS, SEED, SHINGLE = 4, 42, 4
 #: The bits of A, B, C and D, and the segments.
@@ -46,12 +46,8 @@ SEGMENTS = ((*A, *B), (*B, *C), (*A, *C), (*D,))
 FEW = 32
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 15
-#: Of the stage: words of a shingle and similarity; words of a shingle of the long fingerprint, its
-#: 64-bit words with two segments each, rounds, bits of a segment, and bits of the word that is only
-#: compared which may differ.
-SIMILAR, LIKE, SHORT, WIDE, ROUNDS, WIDTH, MARK = 5, 0.8, 2, 3, 2, 26, 16
-#: What numbers are turned by for the order of each round.
-TURNS = (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
+#: Of the stage: words of a shingle.
+SIMILAR = 5
 #: Rows, at about 60 bytes each, that are sent to all tasks; more meet the texts by a shuffle.
 BROADCAST = 200_000
 
@@ -223,103 +219,26 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def long_fingerprint(text: str | None, words: int) -> list[int]:
-    """64-bit words of a long fingerprint; of short shingles, as edits leave most of these."""
-    h = shingles(text, SHORT)
-    return [int(majority(mixed(h + salt))) for salt in powers(words + 1)[1 : words + 1]]
-
-
-def wide(documents: DataFrame, words: int) -> DataFrame:
-    """Of every document the digest of its text, and p0, p1, ..., the words of its long fingerprint."""
-    names = [f"p{k}" for k in range(words)]
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            prints = [long_fingerprint(text, words) for (text,) in rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[k] for p in prints], pa.int64()) for k in range(words))], ["digest", *names])
-
-    return documents.select(digest(F.col("text")).alias("digest"), "text").mapInArrow(run, ", ".join(["digest string", *(f"{n} bigint" for n in names)]))
-
-
 def digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def halves(words: list[Column], width: int) -> Column:
-    """Keys of some words of a long fingerprint: both halves of each are segments, without each of their bits in turn."""
-    keys = []
-    for word in words:
-        for low in (0, 32):
-            n = len(keys)
-            keys += [F.shiftrightunsigned(word, low).bitwiseAND(((1 << width) - 1) ^ (1 << b)).bitwiseOR((n + b) << 40) for b in range(width)]
-    return F.array(*keys)
-
-
 def sent(found: DataFrame, most: int | None = None) -> DataFrame:
     """A written table of short rows, broadcast if it has no more than `most` (BROADCAST); else joined by a merge, whose hot keys can be split."""
     most = BROADCAST if most is None else most
     return F.broadcast(found) if found.limit(most + 1).count() <= most else found.hint("merge")
 
 
-def similarity(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b) of nodes with the Jaccard similarity of the shingles of their texts (node, text)."""
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for node, text in rows(batch, "node", "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([shingles(text, size).view(np.int64)], pa.list_(pa.int64()))], ["node", "set"])
-
-    sets = materialize(texts.mapInArrow(run, "node bigint, set array<bigint>"), "similar-sets")
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (both / F.greatest(F.lit(1), F.size("set_a") + F.size("set_b") - both)).alias("similarity"))
-
-
-def similar(documents: DataFrame, like: float = LIKE, size: int = SIMILAR, width: int = WIDTH) -> DataFrame:
-    """(digest, root): the distinct texts by digest, and which are linked by shingles alike by `like` or more.
-
-    The long fingerprint is of two-word shingles: texts whose five-word shingles are alike by 0.8
-    differ in about a tenth of its bits, and one segment in four then differs by one bit at most.
-    Each round indexes other segments, and pairs of each key the two ends of an order of its own:
-    so the two of a pair always meet, and a large group is joined by its many keys' ends, not
-    compared with itself. What meets is checked on a word of its own, and then by its shingles.
-    Links are exact, but a link is found with a probability: see README for how many are. Strangers
-    that share a key are about texts / 2 ** (width - 1); a wider segment suits a larger corpus.
-    """
-    prints = materialize(wide(documents, WIDE * ROUNDS + 1), "similar-prints")
-    words = [c for c in prints.columns if c != "digest"]
-    kinds = materialize(prints.groupBy("digest").agg(*(F.first(c).alias(c) for c in words)).select(F.monotonically_increasing_id().alias("node"), "*"), "similar-kinds")
-    met = None
-    for n in range(ROUNDS):
-        mine = [F.col(c) for c in words[n * WIDE : (n + 1) * WIDE]]
-        # An order of its own, from which the node comes back.
-        turn = lambda c: c.bitwiseXOR(TURNS[n % len(TURNS)])  # noqa: B023, E731
-        keyed = dealt(kinds.select(turn(F.col("node")).alias("order"), *mine)).select("order", F.explode(halves(mine, width)).alias("key"))
-        ends = keyed.groupBy("key").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low <> high")
-        ends = ends.select(turn(F.col("low")).alias("a"), turn(F.col("high")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        met = ends if met is None else met.unionByName(ends)
-    met = materialize(met.distinct(), "similar-met")
-    mark = lambda c: kinds.select(F.col("node").alias(c), F.col(words[-1]).alias(f"mark_{c}"))
-    near = materialize(met.join(mark("a"), "a").join(mark("b"), "b").where(apart(F.col("mark_a"), F.col("mark_b")) <= MARK).select("a", "b"), "similar-pairs")
-    wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(kinds.select("node", "digest"), "node"), "similar-wanted")
-    # Of a text's copies one is enough.
-    texts = documents.select(digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")).join(sent(wanted), "digest").groupBy("node").agg(F.first("text").alias("text"))
-    links = similarity(near, texts, size).where(F.col("similarity") >= like).select("a", "b")
-    return renamed(kinds.select("digest", "node"), components(links), "node").select("digest", "root")
-
-
 def first_of_each(documents: DataFrame, **how) -> DataFrame:
-    """One document of each group of similar texts (see similar): that with the least doc_id, nulls last, then the least digest.
+    """One document of each group of similar texts (see jaccard.texts_alike): that with the least doc_id, nulls last, then the least digest.
 
     Rows are told apart by id and text, so that a row goes only for what its own text is like. Of
     rows alike in both that one stays which is least as JSON. Null texts count as empty; texts
     without words are alike only if they are equal.
     """
-    found = materialize(similar(documents, **how), "simhash-similar")
+    from .jaccard import texts_alike
+
+    found = materialize(texts_alike(documents, **how), "simhash-similar")
     rows_ = documents.select(whole(documents).alias("d")).select("d", F.col("d.doc_id").alias("id"), digest(F.col("d.text")).alias("digest"))
     each = rows_.groupBy("id", "digest").agg(F.count("*").alias("n")).join(found, "digest")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")

@@ -133,3 +133,24 @@ def test_keys_keep_the_bound():
 
 def test_no_rows(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_no_link_of_texts_is_lost(spark):
+    """Pairs that barely are alike by 0.8, others that barely aren't, and a passage that more texts have than are paired with each other."""
+    random.seed(12)
+    word = lambda: f"v{random.randrange(10**6)}"
+    passage, rows = [word() for _ in range(12)], []
+    for _ in range(300):
+        base = [word() for _ in range(90)] + passage
+        copy, edits = list(base), random.choice([1, 2, 2, 2, 3])
+        for at in random.sample(range(5, 85, 8), edits):
+            copy[at] = word()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    want = wanted(rows, 5, (80, 100))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    digests = {r.digest: r.doc_id for r in docs.select("doc_id", jaccard.digest(jaccard.F.col("text")).alias("digest")).collect()}
+    groups: dict = {}
+    for r in jaccard.texts_alike(docs).collect():
+        groups.setdefault(r.root, []).append(digests[r.digest])
+    got = Counter((d, min(g)) for g in groups.values() for d in g)
+    assert got == Counter((d, c) for d, _, c in want) and 300 < len(groups) < 450
