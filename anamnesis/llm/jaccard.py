@@ -4,8 +4,8 @@ A set's sketch flips one bit for each shingle's hash, so that the sketches of tw
 bits than the sets differ in shingles.  Sets of sizes a and b that are alike by p / q differ in at most
 (a + b) (q - p) / (q + p) shingles.  Within a band of sizes that is at most some D, so of D + 1 segments
 of their sketches one at least is equal.  A set is indexed by its segments in the band of its size, and as
-a guest in the next bands that a larger partner may be in.  Segments are WIDTH bits, about ten shingles
-each, and are joined by the XOR of the hashes of their odd bits.
+a guest in the next bands that a larger partner may be in.  Segments are WIDTH bits, of which about ten
+are odd, so wide that strangers hardly share them by chance, and are joined by the XOR of the hashes of their odd bits.
 
 Equal sets are one node.  Members of a key that has few are paired with each other, unless their
 sizes or a short sketch of the whole sets rule a link out.  Of a key's many members only the pairs with
@@ -29,8 +29,10 @@ aren't read. No rows give no rows. Shingles are compared by 64-bit hashes, sets
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -42,7 +44,7 @@ from .simhash import SIMILAR, digest, renamed, sent, shingles
 from .tokens import MIX, STEP, mixed
 
 #: Words of a shingle; p and q of the similarity; bits of a segment.
-SHINGLE, LIKE, WIDTH = 3, (90, 100), 256
+SHINGLE, LIKE, WIDTH = 3, (90, 100), 1 << 32
 #: Members of a prefix's key that are paired with each other (of a segment's, two); bits of a mark.
 FEW, MARK = 32, 2048
 #: Members of a pivot that are compared in one task; shingles of its first ones that its centre is found by.
@@ -70,6 +72,20 @@ def most_apart(sizes: int, p: int, q: int) -> int:
     return sizes * (q - p) // (q + p)
 
 
+@cache
+def spares(band: int, p: int, q: int) -> int:
+    """Segments of a band beyond those that the bound needs: more than the least set of the band, or guest, has without a bit, but for some in a million."""
+    most = most_apart(2 * (STARTS[band + 1] - 1), p, q)
+    least = -(-STARTS[band] * p // q)
+    spare = 1
+    while spare <= most // 4:
+        empty = (most_apart(least + least * q // p, p, q) + 1 + spare) * math.exp(-least / (most + 1 + spare))
+        if spare >= empty + 5 * math.sqrt(empty) + 1:
+            break
+        spare += 1 + spare // 16
+    return spare
+
+
 def segment_keys(hashes: np.ndarray, band: int, p: int, q: int) -> np.ndarray:
     """The keys of a set's segments in a band; none where only equal sets are alike.
 
@@ -81,7 +97,7 @@ def segment_keys(hashes: np.ndarray, band: int, p: int, q: int) -> np.ndarray:
     most = most_apart(2 * (STARTS[band + 1] - 1), p, q)
     if not most:
         return np.zeros(0, np.int64)
-    spare = 1 + most // 64
+    spare = spares(band, p, q)
     count = most + 1 + spare
     turned = mixed(hashes ^ mixed(np.full(1, band, np.uint64) * STEP))
     segment = (turned >> np.uint64(32)) % np.uint64(count)

@@ -154,3 +154,12 @@ def test_no_link_of_texts_is_lost(spark):
         groups.setdefault(r.root, []).append(digests[r.digest])
     got = Counter((d, min(g)) for g in groups.values() for d in g)
     assert got == Counter((d, c) for d, _, c in want) and 300 < len(groups) < 450
+
+
+def test_strangers_share_no_segments():
+    random.seed(13)
+    seen = Counter()
+    for _ in range(3000):
+        h = np.array([random.getrandbits(64) for _ in range(random.randint(70, 100))], np.uint64)
+        seen.update(np.concatenate(jaccard.keys_of(h, 90, 100)).tolist())
+    assert max(seen.values()) == 1
