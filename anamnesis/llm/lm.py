@@ -5,15 +5,16 @@ level q is put into the filter once for each of the levels 1 to q.  Probing leve
 is missing gives the level back: never too low, and too high with the filter's error rate.  The
 probability of a word after another is its pair's count, smoothed with the word's own.
 
-Counting: tasks pack the n-grams they met by hash range, and one group a range adds these up and
-fills the filter's block for that range. The filter grows with what is counted. Up to MOST_BITS the
-driver joins the blocks and broadcasts them. A larger filter stays where it is: texts are dealt out
-into parts by hash, once; each part sends its distinct n-grams to the shards of their ranges, and gets
-their levels back by a shuffle. Either way gives the same scores. N-grams are known by 32 bits of hash
-within their range, and sent as the gaps between them.
+There is one way for all sizes. Texts are dealt out into parts by hash. Each part sends its distinct
+n-grams with its counts of them, once, to the shards of the ranges of their hashes. A shard adds the
+counts up, fills the filter's block of each of its ranges, probes it for what it was sent, and answers
+each part. Parts meet their answers and score their texts. No process holds more of the filter than a
+shard, and what is sent grows with the texts. Ranges follow the texts' size alone, so that scores
+don't depend on how a cluster is set; a shard is some ranges in a row. N-grams are known to the
+filter by 32 bits of hash within their range, and sent as the gaps between them.
 
-The base score has exact counts. The most frequent words, a bounded number, are broadcast; the rest
-are counted and looked up by a join.
+The base score has exact counts of the words, which are told by 64 bits of hash; a shard answers them
+with the levels.
 
 Nulls: a null text is its end token only; a null doc_id is learned from and isn't held out. Repeated
 rows are returned, and learned from, as often as they come. Without documents to learn from all
@@ -24,31 +25,26 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows
+from .common import materialize
 from .quality import remainder
 from .tokens import END, END_WORD, MIX, STEP, cut, lowered, mixed, pairs, word_hashes
 
-#: Words broadcast with their counts, and bytes of the longest.
-HEAD, LONGEST = 100_000, 64
-#: Bits of the filter an entry, and of the largest filter that is broadcast (64 MB); bits set for each entry.
-BITS, MOST_BITS, PROBES = 8, 1 << 29, 3
-#: Bits of a shard, about, of a filter that isn't broadcast.
-SHARD_BITS = 1 << 24
-#: Tokens of a hash range, about.
-RANGE = 1 << 21
-#: N-grams or words that a task adds up before it hands them on.
-FLUSH = 3_000_000
-#: Characters of the texts that are scored together.
-TOGETHER = 2_000_000
+#: Bits of the filter an entry, and bits set for each entry.
+BITS, PROBES = 12, 3
+#: Bits of the largest filter that one process may hold whole (64 MB), and of a shard, about.
+MOST_BITS, SHARD_BITS = 1 << 29, 1 << 26
+#: Bytes of the texts whose n-grams are a range, about, and bytes for each entry of the filter, about.
+RANGE, ENTRY = 1 << 22, 4
+#: Bytes of the texts of a part, about.
+TOGETHER = 8_000_000
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 18
 #: Levels tried, and weight of the smoothing.
 LEVELS, PRIOR = 40, 8.0
 #: What a count of each level is taken to be: the middle of the counts that it stands for.
@@ -58,107 +54,114 @@ COUNT = np.array([0.0, 1.0, *(0.75 * 2.0**q - 0.5 for q in range(2, LEVELS + 1))
 def ngrams(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Hashes of the words and of the pairs of texts, and which words end a text, piece by piece. An end token also comes before each text."""
     before = END
-    for piece in cut(b"".join(lowered(t) + b" " + END_WORD + b" " for t in texts)):
+    for piece in cut(b"".join(lowered(t) + b" " + END_WORD + b" " for t in texts), PIECE):
         words = word_hashes(piece)
         if len(words):
             yield mixed(words), pairs(np.concatenate([[before], words[:-1]]), words), words == END
             before = words[-1]
 
 
-def grouped(found: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows, of which the last field is a text, in groups of about TOGETHER characters."""
-    group, held = [], 0
-    for r in found:
-        group.append(r)
-        held += len(r[-1] or "") + 1
-        if held > TOGETHER:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+def gathered(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of all texts together; there is one text at least."""
+    words, two, last = map(np.concatenate, zip(*ngrams(texts)))
+    return words, two, last
 
 
 def teaches():
     return F.coalesce(remainder(F.col("doc_id"), 10) != 0, F.lit(True))
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(word, c) over the documents; the empty word is the end token."""
+def ranged(h: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each hash, and the 32 bits that tell it apart there."""
+    return (h >> np.uint64(64 - range_bits)).astype(np.int64), ((h >> np.uint64(32 - range_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint64)
 
-    def run(batches) -> Iterator:
-        import pyarrow as pa
 
-        def packed(seen: Counter):
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+def packed(numbers: np.ndarray, full: int = 0) -> bytes:
+    """Whole numbers by their bytes' places: the lowest bytes, so many as full says, as they are, and those above compressed."""
+    wide = max(full, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:wide])
+    return bytes([full, wide]) + len(numbers).to_bytes(4, "little") + planes[:full].tobytes() + (zlib.compress(planes[full:].tobytes(), 1) if wide > full else b"")
 
-        seen: Counter = Counter()
-        for batch in batches:
-            for (text,) in rows(batch, "text"):
-                seen.update(lowered(text).split())
-                seen[b""] += 1
-                if len(seen) > FLUSH // 10:
-                    yield packed(seen)
-                    seen = Counter()
-        yield packed(seen)
 
-    return documents.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def ranged(h: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The range of each hash, and the 32 bits that tell it apart there."""
-    return (h >> np.uint64(64 - range_bits)).astype(np.int64), ((h >> np.uint64(32 - range_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint64)
+def unpacked(data: bytes) -> np.ndarray:
+    full, wide, n = data[0], data[1], int.from_bytes(data[2:6], "little")
+    at = 6 + full * n
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :wide] = np.frombuffer(data[6:at] + (zlib.decompress(data[at:]) if wide > full else b""), np.uint8).reshape(wide, n).T
+    return planes.reshape(-1).view("<u8")
 
 
 def slim(keys: np.ndarray) -> bytes:
-    """Ascending numbers of up to 48 bits as the gaps between them: 16 bits of each as they are, and what is above these compressed."""
-    gaps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
-    high = gaps >> np.uint64(16)
-    size = 1 if not len(high) or high.max() < 256 else 4
-    return size.to_bytes(1, "little") + len(keys).to_bytes(4, "little") + gaps.astype("<u2").tobytes() + zlib.compress(high.astype(f"<u{size}").tobytes(), 1)
+    """Ascending numbers as the gaps between them, of which the bytes that an even spread fills are not worth compressing."""
+    return packed(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)), (int(keys[-1]) // len(keys)).bit_length() // 8 if len(keys) else 0)
 
 
 def unslim(data: bytes) -> np.ndarray:
-    size, n = data[0], int.from_bytes(data[1:5], "little")
-    low = np.frombuffer(data, "<u2", n, 5).astype(np.uint64)
-    high = np.frombuffer(zlib.decompress(data[5 + 2 * n :]), f"<u{size}").astype(np.uint64)
-    return np.cumsum(low + (high << np.uint64(16)), dtype=np.uint64)
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the sum of the counts of each, and the place of each given key among them."""
+    kinds, place = np.unique(keys, return_inverse=True)
+    # Sums of whole numbers are exact in floats up to 2 ** 53.
+    return kinds, np.bincount(place, counts, len(kinds)).astype(np.int64), place
+
+
+class Sizes:
+    """How the n-grams of some texts are cut: ranges of the filter, and ranges of a shard as a power of two (wide)."""
+
+    def __init__(self, documents: DataFrame):
+        self.tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        held, many = documents.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        size = (held or 0) + many
+        self.parts = max(self.tasks, size // TOGETHER)
+        self.range_bits = max(6, min(16, math.ceil(math.log2(size / RANGE + 1))))
+        bits = BITS * size / ENTRY / (1 << self.range_bits)
+        self.wide = max(0, min(math.floor(math.log2(SHARD_BITS / max(bits, 1))), self.range_bits - math.ceil(math.log2(self.tasks))))
+        self.shards = 1 << (self.range_bits - self.wide)
 
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """What the filter knows of hashes: range and 32 bits."""
+        return h >> np.uint64(32 - self.range_bits)
 
-def ngram_counts(documents: DataFrame, range_bits: int) -> DataFrame:
-    """(range, keys, levels): for each hash range its n-grams, as 32-bit keys packed by slim, and their levels."""
+    def split(self, ascending: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The bounds of the shards among numbers of so many bits, and the numbers of each shard, counted from its first."""
+        width = np.uint64(bits - self.range_bits + self.wide)
+        bounds = np.searchsorted(ascending, np.arange(1, self.shards, dtype=np.uint64) << width)
+        return bounds, [x & ((np.uint64(1) << width) - np.uint64(1)) if self.shards > 1 else x for x in np.split(ascending, bounds)]
 
-    def run(batches) -> Iterator:
+
+def dealt(documents: DataFrame, sizes: Sizes) -> DataFrame:
+    """(part, doc_id, text, learned): texts in parts of about TOGETHER bytes, by hash, each in one task."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sizes.parts)).alias("part")
+    return documents.select(part, F.col("doc_id").cast("bigint").alias("doc_id"), "text", teaches().alias("learned")).repartition(sizes.tasks, "part")
+
+
+ASKED = "shard int, part bigint, words binary, times binary, pairs binary, both binary"
+
+
+def asked(texts: DataFrame, sizes: Sizes) -> DataFrame:
+    """Of each part of dealt texts and each shard: the distinct words, whole hashes, and pairs, as the filter knows them, with the part's counts of them in learned texts.
+
+    A part asks every shard, of nothing if need be, to hear its share of the tokens.
+    """
+
+    def ask(table):
         import pyarrow as pa
 
-        def packed(parts: list[np.ndarray]):
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            at = np.searchsorted(h, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
-            _, keys = ranged(h, range_bits)
-            out = [(i, slim(k), zlib.compress(c.astype("<i4").tobytes(), 1)) for i, (k, c) in enumerate(zip(np.split(keys, at), np.split(n, at))) if len(k)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["range", "keys", "counts"])
-
-        parts, held = [], 0
-        for batch in batches:
-            for group in grouped(rows(batch, "text")):
-                for words, two, _ in ngrams(text for (text,) in group):
-                    parts += [words, two]
-                    held += 2 * len(words)
-                if held > FLUSH:
-                    yield packed(parts)
-                    parts, held = [], 0
-        if parts:
-            yield packed(parts)
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unslim(k) for k in pdf["keys"]])
-        counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<i4") for c in pdf["counts"]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, first = np.unique(keys[order], return_index=True)
-        levels = np.minimum(LEVELS, 1 + np.floor(np.log2(np.add.reduceat(counts[order], first)))).astype(np.uint8)
-        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "keys": [slim(keys)], "levels": [zlib.compress(levels.tobytes(), 1)], "entries": [int(levels.sum())]})
-
-    packed = documents.select("text").mapInArrow(run, "range int, keys binary, counts binary")
-    return packed.groupBy("range").applyInPandas(added, "range int, keys binary, levels binary, entries bigint")
+        words, two, last = gathered(table.column("text").to_pylist())
+        ends = np.flatnonzero(last)
+        learned = np.repeat(table.column("learned").to_numpy(), np.diff(ends, prepend=-1))
+        sent = []
+        for h, bits in ((words, 64), (sizes.keys(two), 32 + sizes.range_bits)):
+            kinds, counts, _ = summed(h, learned)
+            bounds, of = sizes.split(kinds, bits)
+            sent += [[slim(k) for k in of], [packed(c) for c in np.split(counts, bounds)]]
+        part = table.column("part")[0].as_py()
+        columns = [pa.array(range(sizes.shards), pa.int32()), pa.array([part] * sizes.shards, pa.int64()), *(pa.array(x, pa.binary()) for x in sent)]
+        return pa.Table.from_arrays(columns, ["shard", "part", "words", "times", "pairs", "both"])
+
+    return texts.groupBy("part").applyInArrow(ask, ASKED)
 
 
 def places(keys: np.ndarray, level, block: int) -> list[np.ndarray]:
@@ -168,247 +171,150 @@ def places(keys: np.ndarray, level, block: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) % np.uint64(block)).astype(np.int64) for i in range(PROBES)]
 
 
-def filled(counts: DataFrame, block: int) -> DataFrame:
-    """(range, bits): each range's block of the filter."""
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for at, k, v in rows(batch, "range", "keys", "levels"):
-                keys, levels = unslim(k), np.frombuffer(zlib.decompress(v), np.uint8)
-                bits = np.zeros(block, bool)
-                for q in range(1, int(levels.max()) + 1):
-                    for p in places(keys[levels >= q], q, block):
-                        bits[p] = True
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
+class Block:
+    """The filter of one range."""
 
-    return counts.mapInArrow(run, "range int, bits binary")
-
-
-class Model:
-    """The filter, or its blocks from a range on, and the sizes that smoothing needs."""
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-    def __init__(self, bits: np.ndarray, range_bits: int, block: int, tokens: int, kinds: int, first: int = 0):
-        self.bits, self.range_bits, self.block, self.tokens, self.kinds, self.first = bits, range_bits, block, tokens, kinds, first
+    @classmethod
+    def filled(cls, keys: np.ndarray, counts: np.ndarray) -> Block:
+        """The block of keys that have these counts; its size follows from its entries."""
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        levels = np.minimum(LEVELS, 1 + np.floor(np.log2(counts)).astype(np.int64))
+        bits = np.zeros(max(1024, BITS * int(levels.sum())), bool)
+        for q in range(1, int(levels.max(initial=0)) + 1):
+            keys, levels = keys[levels >= q], levels[levels >= q]
+            for p in places(keys, q, len(bits)):
+                bits[p] = True
+        return cls(bits)
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         """The levels of n-grams by repeated probes: level after level, while all bits are set."""
-        return self.levels_at(*ranged(h, self.range_bits))
-
-    def levels_at(self, where: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        where = (where - self.first) * self.block
         level, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for q in range(1, LEVELS + 1):
-            left = left[self.present(keys[left], where[left], q)]
+            for i in range(PROBES) if len(left) else ():
+                left = left[self.bits[places(keys[left], q, len(self.bits))[i]]]
             if not len(left):
                 break
             level[left] = q
         return level
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return COUNT[self.levels(h)]
 
-    def present(self, keys: np.ndarray, where: np.ndarray, q: int) -> np.ndarray:
-        ok = np.ones(len(keys), bool)
-        for p in places(keys, q, self.block):
-            p += where
-            ok &= ((self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
-        return ok
+class Shard:
+    """What parts sent to a shard, added up: the words' counts, and the blocks of the filter for its ranges."""
 
-    def counts_of(self, h: np.ndarray) -> np.ndarray:
-        kinds, place = np.unique(h, return_inverse=True)
-        return self.counts(kinds)[place]
+    def __init__(self, table, sizes: Sizes):
+        def joined(column: str, read) -> tuple[np.ndarray, np.ndarray]:
+            got = [read(x.as_py()) for x in table.column(column)]
+            return np.concatenate(got), np.cumsum([len(x) for x in got])[:-1]
 
-    def scored(self, batches) -> Iterator[tuple[list[tuple], np.ndarray]]:
-        """Groups of (doc_id, text) with their scores."""
-        for batch in batches:
-            for group in grouped(rows(batch, "doc_id", "text")):
-                yield group, likelihoods(*gathered(group), self.counts_of, self.tokens, self.kinds)
+        words, self.of_words = joined("words", unslim)
+        two, self.of_pairs = joined("pairs", unslim)
+        times, both = joined("times", unpacked)[0], joined("both", unpacked)[0]
+        _, self.counts, self.word = summed(words, times)
+        self.kinds, counts, place = summed(np.concatenate([sizes.keys(words), two]), np.concatenate([times, both]))
+        self.word_kind, self.pair_kind = np.split(place, [len(words)])
+        cuts = np.searchsorted(self.kinds, np.arange(1, 1 << sizes.wide, dtype=np.uint64) << np.uint64(32))
+        self.keys = [k & np.uint64(0xFFFFFFFF) for k in np.split(self.kinds, cuts)]
+        self.blocks = [Block.filled(k, c) for k, c in zip(self.keys, np.split(counts, cuts))]
 
 
-def gathered(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of all texts of a group together."""
-    words, two, last = map(np.concatenate, zip(*ngrams(text for _, text in group)))
-    return words, two, last
+def answered(cells: DataFrame, sizes: Sizes) -> DataFrame:
+    """Of each part and each shard: the levels of the words and pairs that the part sent, the words' counts, and the shard's tokens and distinct words."""
 
+    def answer(table):
+        import pyarrow as pa
 
-def distinct(words: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """What a group's scores need the counts of, in order of hash."""
-    return np.unique(np.concatenate([words, two, mixed(np.array([END]))]))
+        shard = Shard(table, sizes)
+        levels = np.concatenate([b.levels(k) for b, k in zip(shard.blocks, shard.keys)])
+        given = (levels[shard.word_kind], shard.of_words), (levels[shard.pair_kind], shard.of_pairs), (shard.counts[shard.word], shard.of_words)
+        own, both, counts = ([packed(x) for x in np.split(values, bounds)] for values, bounds in given)
+        tokens, kinds = ([int(x)] * table.num_rows for x in (shard.counts.sum(), (shard.counts > 0).sum()))
+        columns = [table.column("part"), table.column("shard"), *(pa.array(x, pa.binary()) for x in (own, both, counts)), *(pa.array(x, pa.int64()) for x in (tokens, kinds))]
+        return pa.Table.from_arrays(columns, ["part", "shard", "own", "both", "counts", "tokens", "kinds"])
 
+    met = cells.repartition(sizes.tasks, "shard").groupBy("shard")
+    return met.applyInArrow(answer, "part bigint, shard int, own binary, both binary, counts binary, tokens bigint, kinds bigint")
 
-def likelihoods(words: np.ndarray, two: np.ndarray, last: np.ndarray, counts, tokens: int, kinds: int) -> np.ndarray:
-    """log10 of each text's probability, end token included; counts gives the counts of hashes."""
-    ends = np.flatnonzero(last)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    own, both = counts(words), counts(two)
-    context = np.concatenate([[0.0], own[:-1]])
-    context[starts] = counts(mixed(np.array([END])))[0]
-    both = np.minimum(both, np.maximum(own, 1))
-    alone = (own + 0.1) / (tokens + 0.1 * (kinds + 1))
-    return np.add.reduceat(np.log10((both + PRIOR * alone) / (np.maximum(context, both) + PRIOR)), starts)
 
+class Model:
+    """The whole filter in one process, and the sizes that smoothing needs."""
 
-def sized(documents: DataFrame, tokens: int) -> tuple[DataFrame, int, int]:
-    """The n-grams' levels by range, the bits of a range's number, and the bits of a range's block.
-
-    Ranges follow from the count of tokens alone, so that scores don't depend on how a cluster is set.
-    """
-    range_bits = max(6, min(16, math.ceil(math.log2(tokens / RANGE + 1))))
-    counts = materialize(ngram_counts(documents, range_bits), "lm-ngrams")
-    entries = counts.agg(F.sum("entries")).first()[0] or 0
-    bits = max(1 << 16, 1 << math.ceil(math.log2(BITS * entries + 1)))
-    return counts, range_bits, max(8, bits >> range_bits)
+    def __init__(self, blocks: dict[int, Block], range_bits: int, tokens: int, kinds: int):
+        self.blocks, self.range_bits, self.tokens, self.kinds = blocks, range_bits, tokens, kinds
 
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        where, keys = ranged(h, self.range_bits)
+        level = np.zeros(len(h), np.uint8)
+        for r in np.unique(where):
+            level[where == r] = self.blocks[int(r)].levels(keys[where == r])
+        return level
 
-def joined(counts: DataFrame, range_bits: int, block: int, tokens: int, kinds: int) -> Model:
-    """The whole filter in one process."""
-    bits = np.zeros(block << range_bits >> 3, np.uint8)
-    for r in filled(counts, block).toLocalIterator():
-        bits[r.range * block >> 3 : (r.range + 1) * block >> 3] = np.frombuffer(r.bits, np.uint8)
-    return Model(bits, range_bits, block, tokens, kinds)
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return COUNT[self.levels(h)]
 
 
 def train(documents: DataFrame, tokens: int, kinds: int) -> Model:
-    """The model of the documents' n-grams; tokens and kinds are the counts of all and of distinct tokens."""
-    return joined(*sized(documents, tokens), tokens, kinds)
-
-
-def dealt(documents: DataFrame, tokens: int) -> DataFrame:
-    """(part, doc_id, text): parts of about TOGETHER characters, by hash, each in one task."""
-    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = max(tasks, tokens * 8 // TOGETHER)
-    return documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).alias("part"), "doc_id", "text").repartition(tasks, "part")
+    """The model of the documents' n-grams, if it isn't above MOST_BITS; tokens and kinds are the counts of all and of distinct tokens.
 
-
-def probed(texts: DataFrame, counts: DataFrame, range_bits: int, block: int) -> DataFrame:
-    """(part, shard, levels): the levels of the distinct n-grams of each part of dealt texts, in order of hash within a shard and by shard.
-
-    No process holds more of the filter than a shard.
+    Scores of a whole table don't need it: score probes the filter where it is.
     """
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges of a shard, as a power of two.
-    wide = min(range_bits, max(0, math.ceil(math.log2(SHARD_BITS / block))))
-    base = np.uint64(wide + 32)
+    sizes = Sizes(documents)
 
-    def asked(part: int, kinds: np.ndarray):
+    def blocks(table):
         import pyarrow as pa
 
-        full = kinds >> np.uint64(32 - range_bits)
-        shards, starts = np.unique(full >> base, return_index=True)
-        out = [(s, part, None, slim(k - (np.uint64(s) << base))) for s, k in zip(shards.tolist(), np.split(full, starts[1:]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["shard", "part", "range", "data"])
-
-    def ask(batches) -> Iterator:
-        def found() -> Iterator[tuple]:
-            for batch in batches:
-                yield from rows(batch, "part", "text")
-
-        at, kinds = None, None
-        for group in grouped(found()):
-            for part, of in groupby(group, lambda r: r[0]):
-                if at is not None and part != at:
-                    yield asked(at, kinds)
-                more = distinct(*gathered(list(of))[:2])
-                at, kinds = part, more if part != at else np.union1d(kinds, more)
-        if at is not None:
-            yield asked(at, kinds)
-
-    def probe(batches) -> Iterator:
-        import pyarrow as pa
+        first = table.column("shard")[0].as_py() << sizes.wide
+        found = Shard(table, sizes).blocks
+        columns = [range(first, first + len(found)), [len(b.bits) for b in found], [np.packbits(b.bits).tobytes() for b in found]]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], ["range", "size", "bits"])
 
-        at, model = None, None
-        for batch in batches:
-            out = []
-            for shard, part, where, data in rows(batch, "shard", "part", "range", "data"):
-                if shard != at:
-                    at, model = shard, Model(np.zeros(block << wide >> 3, np.uint8), range_bits, block, 0, 0, shard << wide)
-                if part < 0:
-                    start = (where - model.first) * block >> 3
-                    model.bits[start : start + (block >> 3)] = np.frombuffer(data, np.uint8)
-                else:
-                    full = unslim(data)
-                    levels = model.levels_at((full >> np.uint64(32)).astype(np.int64) + model.first, full & np.uint64(0xFFFFFFFF))
-                    out.append((part, shard, zlib.compress(levels.tobytes(), 1)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["part", "shard", "levels"])
-
-    sent = texts.sortWithinPartitions("part").mapInArrow(ask, "shard int, part bigint, range int, data binary")
-    blocks = filled(counts, block).select(F.shiftright("range", wide).alias("shard"), F.lit(-1).cast("bigint").alias("part"), "range", F.col("bits").alias("data"))
-    # Within a shard the blocks of the filter come first.
-    met = blocks.unionByName(sent).repartition(tasks, "shard").sortWithinPartitions("shard", "part")
-    return met.mapInArrow(probe, "part bigint, shard int, levels binary")
+    texts = dealt(documents.select("doc_id", "text"), sizes).withColumn("learned", F.lit(True))
+    found = materialize(asked(texts, sizes).groupBy("shard").applyInArrow(blocks, "range int, size bigint, bits binary"), "lm-blocks")
+    if (found.agg(F.sum("size")).first()[0] or 0) > MOST_BITS:
+        raise ValueError(f"the filter has more than {MOST_BITS} bits, too many for one process")
+    got = {r.range: Block(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=r.size).astype(bool)) for r in found.toLocalIterator()}
+    empty = Block.filled(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Model({i: got.get(i, empty) for i in range(1 << sizes.range_bits)}, sizes.range_bits, tokens, kinds)
+
+
+def likelihoods(own: np.ndarray, both: np.ndarray, end: float, starts: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
+    """log10 of each text's probability, end token included, from the counts of its words, of the pairs that they end, and of the end token."""
+    context = np.concatenate([[0.0], own[:-1]])
+    context[starts] = end
+    both = np.minimum(both, np.maximum(own, 1))
+    alone = (own + 0.1) / (tokens + 0.1 * (kinds + 1))
+    return np.add.reduceat(np.log10((both + PRIOR * alone) / (np.maximum(context, both) + PRIOR)), starts)
 
 
 def score(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = documents.sparkSession
-    learned = documents.where(teaches())
-    counts = materialize(word_counts(learned), "lm-words")
-    n, kinds = counts.agg(F.sum("c"), F.count("*")).first()
-    n = n or 0
-    under = n + 0.1 * (kinds + 1)
-    head = {bytes(r.word): r.c for r in counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HEAD).collect()}
-    levels, range_bits, block = sized(learned, n)
-    whole = block << range_bits <= MOST_BITS
-    model = joined(levels, range_bits, block, n, kinds) if whole else None
-    shared = spark.sparkContext.broadcast((model, {w: math.log10((c + 0.1) / under) for w, c in head.items()}))
-
-    def told(row: int, group: list[tuple], values: np.ndarray):
-        import pyarrow as pa
+    sizes = Sizes(documents)
+    texts = dealt(documents, sizes)
+    held = remainder(F.col("doc_id"), 10) == 0
 
-        known, out = shared.value[1], []
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        for (doc, text), value in zip(group, values):
-            seen = Counter({b"": 1})
-            seen.update(lowered(text).split())
-            rest, total, have = [], 0.0, 0
-            for w, k in seen.items():
-                if (v := known.get(w)) is None:
-                    rest.append(w)
-                else:
-                    total += k * v
-                    have += k
-            out.append((row, doc, seen.total(), have, total, float(value), rest, [seen[w] for w in rest]))
-            row += 1
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "doc_id", "n_tokens", "have", "total", "score", "words", "times"])
-
-    def run(batches) -> Iterator:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
-        for group, values in shared.value[0].scored(batches):
-            yield told(row, group, values)
-            row += len(group)
-
-    def run_part(texts, probes):
+    def run(table, answers):
         import pyarrow as pa
 
-        part = texts.column("part")[0].as_py()
-        levels = b"".join(zlib.decompress(v) for _, v in sorted(rows(probes, "shard", "levels")))
-        counts, out, at = COUNT[np.frombuffer(levels, np.uint8)], [], part << 33
-        groups = list(grouped(rows(texts, "doc_id", "text")))
-        found = [gathered(g) for g in groups]
-        of = np.unique(np.concatenate([distinct(words, two) for words, two, _ in found]))
-        for group, one in zip(groups, found):
-            out.append(told(at, group, likelihoods(*one, lambda h: counts[np.searchsorted(of, h)], n, kinds)))
-            at += len(group)
-        return pa.Table.from_batches(out)
-
-    schema = "row bigint, doc_id bigint, n_tokens bigint, have bigint, total double, score double, words array<binary>, times array<bigint>"
-    if whole:
-        parts = documents.select("doc_id", "text").mapInArrow(run, schema)
-    else:
-        texts = dealt(documents, n)
-        parts = texts.groupBy("part").cogroup(probed(texts, levels, range_bits, block).groupBy("part")).applyInArrow(run_part, schema)
-    parts = materialize(parts, "lm-parts")
-    rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    found = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(under))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("also"))
-    held = F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(False))
-    return (
-        parts.select("row", "doc_id", "n_tokens", "have", "total", "score")
-        .join(found, "row", "left")
-        .select("doc_id", held.alias("held_out"), "n_tokens", (F.col("have") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
-    )
+        answers = answers.sort_by("shard")
+
+        def told(column: str) -> np.ndarray:
+            return np.concatenate([unpacked(x.as_py()) for x in answers.column(column)])
+
+        n, kinds = (sum(answers.column(c).to_pylist()) for c in ("tokens", "kinds"))
+        words, two, last = gathered(table.column("text").to_pylist())
+        ends = np.flatnonzero(last)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        known, word = np.unique(words, return_inverse=True)
+        own, c = COUNT[told("own")], told("counts").astype(np.int64)
+        both = COUNT[told("both")][np.unique(sizes.keys(two), return_inverse=True)[1]]
+        values = likelihoods(own[word], both, own[np.searchsorted(known, mixed(np.array([END]))[0])], starts, n, kinds)
+        base = np.log10((c + 0.1) / (n + 0.1 * (kinds + 1)))
+        found = [np.diff(ends, prepend=-1), np.add.reduceat((c > 0)[word].astype(np.int64), starts), np.full(len(ends), n), np.add.reduceat(base[word], starts), values]
+        return pa.Table.from_arrays([table.column("doc_id"), *map(pa.array, found)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    answers = answered(asked(texts, sizes), sizes)
+    found = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, schema)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 from . import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from anamnesis.llm import lines, lm, mixing, pieces, pii, quality, rules, simhash
 from anamnesis.llm.queries import piece_model
@@ -183,6 +185,62 @@ def test_lm_scores_alike_beyond_the_broadcast(spark, documents, monkeypatch):
     assert got[0] == got[1] == got[2] and got[0].total() == 315
 
 
+def test_lm_goes_one_way_at_any_size(documents, monkeypatch):
+    """Nothing is written in between, no n-grams go to the driver, and the plan doesn't turn with the filter's size."""
+    from anamnesis.llm.common import materialize
+
+    written, plans = [], []
+    monkeypatch.setattr(lm, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    for most in (lm.MOST_BITS, 1 << 10):
+        monkeypatch.setattr(lm, "MOST_BITS", most)
+        plan = lm.score(documents)._jdf.queryExecution().executedPlan().toString()
+        plans.append(Counter(re.findall(r"Exchange|FlatMapGroupsInArrow|FlatMapCoGroupsInArrow|MapInArrow", plan)))
+    assert not written and plans[0] == plans[1] and plans[0]["FlatMapCoGroupsInArrow"] == 1
+
+
+def test_lm_sends_in_proportion_to_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOGETHER", 250_000)
+    monkeypatch.setattr(lm, "SHARD_BITS", 1 << 17)
+    random.seed(8)
+    texts = [" ".join(f"w{random.randrange(100_000)}" for _ in range(400)) for _ in range(1600)]
+    sent = []
+    for many in (400, 1600):
+        docs = spark.createDataFrame(list(enumerate(texts[:many])), "doc_id bigint, text string")
+        sizes = lm.Sizes(docs)
+        cells = lm.asked(lm.dealt(docs, sizes), sizes)
+        there, back = (df.select(sum(F.octet_length(c) for c in columns).alias("x")).agg(F.sum("x")).first()[0] for df, columns in ((cells, ("words", "times", "pairs", "both")), (lm.answered(cells, sizes), ("own", "both", "counts"))))
+        sent.append((there + back) / sum(map(len, texts[:many])))
+    assert sent[1] < 1.1 * sent[0]
+
+
+def test_lm_score_by_plain_python(documents, rows):
+    """The filter of so small a table has no errors: scores are those of exact counts, by levels."""
+    texts = [[w for w in (r[1] or "").encode().lower().split()] + [None] for r in rows]
+    seen = Counter()
+    for r, ws in zip(rows, texts):
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 10:
+            seen.update(ws)
+            seen.update(zip([None, *ws], ws))
+    n, v = sum(c for w, c in seen.items() if not isinstance(w, tuple)), sum(not isinstance(w, tuple) for w in seen)
+
+    def level(x):
+        return lm.COUNT[seen[x].bit_length()]
+
+    def value(before, w):
+        own, context = level(w), level(before)
+        both = min(level((before, w)), max(own, 1))
+        return math.log10((both + lm.PRIOR * (own + 0.1) / (n + 0.1 * (v + 1))) / (max(context, both) + lm.PRIOR))
+
+    want = sorted((r[0] or -1, round(sum(map(value, [None, *ws], ws)), 4)) for r, ws in zip(rows, texts))
+    assert sorted((r.doc_id or -1, round(r.score, 4)) for r in lm.score(documents).collect()) == want
+
+
+def test_lm_whole_model_has_a_bound(documents, monkeypatch):
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 10)
+    with pytest.raises(ValueError):
+        lm.train(documents.select("doc_id", "text"), 1000, 100)
+
+
 def test_simhash(documents, rows):
     found = simhash.near_duplicates(documents).collect()
     prints = [(r[0], brute.fingerprint(r[1])) for r in rows]
