@@ -18,8 +18,9 @@ of a group are made but these, and no link between two that aren't joined otherw
 
 texts_alike is for similarities under that, which take a segment for every few shingles. Its keys
 are a prefix: of all shingles in one order the first n - ceil(n p / q) + 1 of each set, of which two
-sets that are alike by p / q share one at least. Any order does; what a sample has often comes last in
-it, so that few strangers meet. All that follows the keys is the same.
+sets that are alike by p / q share one at least. Any order does, so that one is taken in which few strangers
+meet: what a sample has often comes last, and of the rest what is made of common words, as texts share that by
+chance, the more of them the more texts there are. All that follows the keys is the same.
 
 Nulls and texts without words have an empty set, linked with nothing; a text of fewer words than a
 shingle has one shingle, all its words. A null doc_id takes part but is never a component's id; a
@@ -40,20 +41,22 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows
 from .components import components
-from .simhash import SIMILAR, digest, renamed, sent, shingles
+from .simhash import SIMILAR, digest, renamed, rolled, sent, shingles, text_words
 from .tokens import MIX, STEP, mixed
 
 #: Words of a shingle; p and q of the similarity; bits of a segment.
 SHINGLE, LIKE, WIDTH = 3, (90, 100), 1 << 32
-#: Members of a prefix's key that are paired with each other (of a segment's, two); bits of a mark.
-FEW, MARK = 32, 2048
+#: Members of a prefix's key that are paired with each other (of a segment's, two); bits of a mark at least.
+FEW, MARK = 32, 64
 #: Members of a pivot that are compared in one task; shingles of its first ones that its centre is found by.
 PART, CENTRE = 256, 1 << 21
 #: Ids, at 8 bytes each, that are sent to all tasks.
 IDS = 1_000_000
-#: Of texts_alike: similarity; one text in how many is looked at for common shingles, at most how many
-#: texts and characters of each, and how many shingles are sent to all tasks. They only order the shingles.
+#: Of texts_alike: similarity; one text in how many is looked at for common shingles and words, at most how many
+#: texts and characters of each, and how many of either are sent to all tasks. They only order the shingles.
 NEAR, RATE, TEXTS, CHARS, COMMON = (8, 10), 16, 1 << 16, 1 << 15, 1 << 18
+#: Steps between a word and one twice as common.
+STEPS = 16
 
 
 def band_starts(largest: int = 1 << 40) -> list[int]:
@@ -122,36 +125,60 @@ def keys_of(hashes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]
     return home, np.concatenate(guest)
 
 
-def common(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that more than one text of a bounded sample has, and how many have them."""
+def common(documents: DataFrame, size: int) -> tuple[np.ndarray, ...]:
+    """Shingles that a bounded sample has more than once, and how often; words that it has more than once, and how common they are in STEPS."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [shingles(text, size) for (text,) in rows(batch, "text")]
-            h, c = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
+            found = [text_words(text) for (text,) in rows(batch, "text")]
+            for word, each in (False, [np.unique(rolled(w, size)) for w in found]), (True, found):
+                h, c = np.unique(np.concatenate(each or [np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([word] * len(h), pa.bool_()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["word", "h", "c"])
 
     rate = max(RATE, -(-documents.count() // TEXTS))
     some = documents.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select(F.substring("text", 1, CHARS).alias("text")).distinct()
-    found = some.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toPandas().sort_values("h", key=lambda c: c.astype("int64").to_numpy().view(np.uint64))
-    return found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+    found = materialize(some.mapInArrow(run, "word boolean, h bigint, c bigint").groupBy("word", "h").agg(F.sum("c").alias("c")).where("c > 1"), "jaccard-common")
+    out = []
+    for word in (False, True):
+        most = found.where(F.col("word") == word).orderBy(F.desc("c"), "h").limit(COMMON).select("h", "c").toPandas()
+        h, c = most["h"].to_numpy(np.int64).view(np.uint64), most["c"].to_numpy(np.int64)
+        order = np.argsort(h)
+        out += [h[order], np.rint(np.log2(c[order]) * STEPS).astype(np.int64) if word else c[order]]
+    return tuple(out)
+
+
+def looked_up(h: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each hash, 0 where it isn't known."""
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, values[at], 0)
 
 
 def mark(hashes: np.ndarray) -> np.ndarray:
-    """A short sketch of a whole set: MARK bits, of which each shingle flips one."""
-    return np.packbits(np.bincount((mixed(hashes) % np.uint64(MARK)).astype(np.int64), minlength=MARK).astype(np.uint8) & 1).view(np.int64)
-
-
-def prefix(hashes: np.ndarray, p: int, q: int, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set, as many as two sets alike by p / q can't differ in; those that are often seen come last."""
-    known, times = often
-    rank = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        rank = np.where(known[at] == hashes, times[at], 0)
-    order = np.lexsort((mixed(hashes), rank))
+    """A short sketch of a whole set: as many bits as shingles, rounded up to a power of two, of which each shingle flips one."""
+    bits = MARK << (max(0, len(hashes) - 1) // MARK).bit_length()
+    return np.packbits(np.bincount((mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def folded(marks: Column) -> Column:
+    """A mark of half as many bits."""
+    half = (F.size(marks) / 2).cast("int")
+    return F.zip_with(F.slice(marks, F.lit(1), half), F.slice(marks, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def prefix(words: np.ndarray, size: int, p: int, q: int, often: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The first shingles of a set, as many as two sets alike by p / q can't differ in: those last that are often seen, and those late whose words are common.
+
+    A shingle's place in the order follows from its hash, or from its words, which are the same wherever it is.
+    """
+    hashes, at = np.unique(rolled(words, size), return_index=True)
+    size = min(size, len(words))
+    each = looked_up(words, *often[2:])
+    together = sum(each[k : len(words) - size + 1 + k] for k in range(size))
+    order = np.lexsort((mixed(hashes), together[at], looked_up(hashes, *often[:2])))
     return hashes[order[: len(hashes) - -(-len(hashes) * p // q) + 1]].view(np.int64)
 
 
@@ -165,10 +192,11 @@ def prints(documents: DataFrame, size: int, p: int, q: int, often=None) -> DataF
             at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest")}
             out = []
             for (text,) in rows(batch, "text"):
-                h = shingles(text, size)
+                words = text_words(text)
+                h = np.unique(rolled(words, size))
                 home = guest = np.zeros(0, np.int64)
                 if len(h):
-                    home, guest = keys_of(h, p, q) if often is None else (prefix(h, p, q, often.value), guest)
+                    home, guest = keys_of(h, p, q) if often is None else (prefix(words, size, p, q, often.value), guest)
                 sums = [mixed(h * MIX).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(h + STEP), initial=np.uint64(0))]
                 out.append((len(h), *(int(s.astype(np.int64)) for s in sums), mark(h), home, guest))
             n, h1, h2, marks, home, guest = zip(*out) if out else [()] * 6
@@ -188,12 +216,31 @@ def pairs_of(members: DataFrame, told: DataFrame, n: DataFrame, p: int, q: int,
     sized = materialize(sized.where(F.least("n", "pn") * q >= F.greatest("n", "pn") * p), "jaccard-sized")
     marks = told.select(F.col("row").alias("node"), "mark")
     met = sized.join(marks, "node").join(marks.select(F.col("node").alias("pivot"), F.col("mark").alias("pmark")), "pivot")
+    for _ in range((-(-q // p) - 1).bit_length()):
+        met = met.withColumn("mark", F.when(F.size("mark") > F.size("pmark"), folded(F.col("mark"))).otherwise(F.col("mark")))
+        met = met.withColumn("pmark", F.when(F.size("pmark") > F.size("mark"), folded(F.col("pmark"))).otherwise(F.col("pmark")))
     far = F.aggregate(F.zip_with("mark", "pmark", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return met.where(far * (q + p) <= (F.col("n") + F.col("pn")) * (q - p)).select("pivot", "node")
 
 
+def by_size(members: DataFrame, n: DataFrame, p: int, q: int) -> DataFrame:
+    """(key, node, c) of members of keys, each key cut into bands of sizes: what is linked is in one, or in two that follow each other.
+
+    A set is also a guest of the band above its own. Bands are a little wider than a link reaches, for the rounding of logarithms.
+    """
+    band = F.floor(F.log("n") / math.log(1.001 * q / p))
+    own = F.explode(F.array(*(F.struct((band + k).alias("band"), F.lit(not k).alias("home")) for k in (0, 1)))).alias("x")
+    dealt = members.select("key", "node").join(n, "node").select("node", "key", own).select("node", F.xxhash64("key", "x.band").alias("key"), "x.home")
+    dealt = materialize(dealt, "jaccard-bands")
+    known = dealt.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("home")).where("c > 1 and home").select("key", "c")
+    return materialize(dealt.select("key", "node").join(known.hint("merge"), "key"), "jaccard-banded")
+
+
 def stars(told: DataFrame, kinds: DataFrame, p: int, q: int, few: int = 2) -> DataFrame:
-    """(pivot, node, many) of nodes that share a key with its pivot; many, if the key has more than a few members. The others are paired with each other."""
+    """(pivot, node, many) of nodes that share a key with its pivot; many, if the key has more than a few members. The others are paired with each other.
+
+    Where more than two are few, keys are of all sizes, and those of many members are cut by size first.
+    """
     flagged = lambda c, home: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(home).alias("home")))
     one = told.select("row", "home", "guest").join(sent(kinds.select(F.col("node").alias("row")), IDS), "row", "left_semi")
     keyed = one.select(F.col("row").alias("node"), F.explode(F.concat(flagged("home", True), flagged("guest", False))).alias("x")).select("node", "x.*")
@@ -201,8 +248,11 @@ def stars(told: DataFrame, kinds: DataFrame, p: int, q: int, few: int = 2) -> Da
     # Merge joins: a hot key's members can be split among tasks.
     members = materialize(keyed.select("key", "node").join(materialize(known, "jaccard-keys").hint("merge"), "key"), "jaccard-members")
     n = kinds.select("node", "n")
-    paired = pairs_of(members.where(F.col("c") <= few), told, n, p, q, few).select("pivot", "node", F.lit(False).alias("many"))
-    members = members.where(F.col("c") > few)
+    some, members = members.where(F.col("c") <= few), members.where(F.col("c") > few)
+    if few > 2:
+        members = by_size(members, n, p, q)
+        some, members = some.unionByName(members.where(F.col("c") <= few).select(*some.columns)), members.where(F.col("c") > few)
+    paired = pairs_of(some, told, n, p, q, few).select("pivot", "node", F.lit(False).alias("many"))
     shares = members.groupBy("node").agg(F.count("*").alias("shares"))
     members = materialize(members.join(shares.hint("merge"), "node"), "jaccard-shares")
     pivots = members.groupBy("key").agg(F.max(F.struct("shares", F.col("node").alias("pivot"))).alias("top")).select("key", "top.pivot")

@@ -207,16 +207,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted; of a text with fewer words, that of all its words."""
-    words = np.concatenate([word_hashes(piece) for piece in cut(lowered(text))] or [np.zeros(0, np.uint64)])
-    if not len(words):
-        return words
+def text_words(text: str | None) -> np.ndarray:
+    """A hash of each word of a text, in order."""
+    return np.concatenate([word_hashes(piece) for piece in cut(lowered(text))] or [np.zeros(0, np.uint64)])
+
+
+def rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each shingle, repeats included; of fewer words, that of all of them."""
     size = min(size, len(words))
-    h = np.zeros(len(words) - size + 1, np.uint64)
+    h = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
     for k in range(size):
         h = mixed(h * MIX + words[k : len(words) - size + 1 + k])
-    return np.unique(h)
+    return h
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; of a text with fewer words, that of all its words."""
+    return np.unique(rolled(text_words(text), size))
 
 
 def digest(text: Column) -> Column:

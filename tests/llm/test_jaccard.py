@@ -163,3 +163,64 @@ def test_strangers_share_no_segments():
         h = np.array([random.getrandbits(64) for _ in range(random.randint(70, 100))], np.uint64)
         seen.update(np.concatenate(jaccard.keys_of(h, 90, 100)).tolist())
     assert max(seen.values()) == 1
+
+
+def groups_of_texts(spark, rows):
+    """(doc_id, least doc_id of its group) by texts_alike; texts differ."""
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    digests = {r.digest: r.doc_id for r in docs.select("doc_id", jaccard.digest(jaccard.F.col("text")).alias("digest")).collect()}
+    groups: dict = {}
+    for r in jaccard.texts_alike(docs).collect():
+        groups.setdefault(r.root, []).append(digests[r.digest])
+    return Counter((d, min(g)) for g in groups.values() for d in g)
+
+
+def starred(spark, rows):
+    """What prints and stars make of texts at similarity 0.8."""
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    often = spark.sparkContext.broadcast(jaccard.common(docs, 5))
+    told = jaccard.materialize(jaccard.prints(docs, 5, 8, 10, often).withColumn("row", jaccard.F.monotonically_increasing_id()), "test-prints")
+    kinds = jaccard.materialize(told.groupBy("h1", "h2", "n").agg(jaccard.F.min("row").alias("node"), jaccard.F.min("digest").alias("digest")), "test-kinds")
+    return told, jaccard.stars(told, kinds, 8, 10, jaccard.FEW)
+
+
+@pytest.mark.parametrize("rate", [16, 10**9])
+def test_passages_of_many_texts_of_all_sizes(spark, monkeypatch, rate):
+    """Keys with far more members than are paired: strangers of many sizes, groups of near copies among them, links that only just hold."""
+    monkeypatch.setattr(jaccard, "RATE", rate)
+    random.seed(14)
+    word = lambda: f"v{random.randrange(10**6)}"
+    passage, texts = [word() for _ in range(30)], []
+    for i in range(240):
+        base = [word() for _ in range(int(8 * 1.02 ** (i % 200)))] + passage
+        texts.append(" ".join(base))
+        for _ in range(random.choice([0, 0, 1, 3])):
+            copy = list(base)
+            for at in random.sample(range(len(base)), random.choice([1, 1, 2, 3, max(1, len(base) // 50)])):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+            base = copy if random.random() < 0.5 else base
+    rows = list(enumerate(dict.fromkeys(texts)))
+    want = wanted(rows, 5, (80, 100))
+    assert groups_of_texts(spark, rows) == Counter((d, c) for d, _, c in want) and 200 < len({c for _, _, c in want}) < len(rows) - 50
+
+
+def test_strangers_are_not_compared(spark, monkeypatch):
+    """A passage that more texts have than are paired, long ones and texts of all sizes: no two of them are compared, nor with one of them."""
+    monkeypatch.setattr(jaccard, "RATE", 10**9)
+    random.seed(15)
+    word = lambda: f"v{random.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    sizes = [6000 + i for i in range(12)] + [int(300 * 1.05**i) for i in range(60)]
+    told, star = starred(spark, [(i, " ".join([word() for _ in range(n)] + passage)) for i, n in enumerate(sizes)])
+    shared = told.select(jaccard.F.explode("home").alias("key")).groupBy("key").count()
+    assert shared.agg(jaccard.F.max("count")).head()[0] > 2 * jaccard.FEW and star.count() == 0
+
+
+def test_common_words_are_no_keys(spark):
+    """Texts that share shingles of common words by chance, of which the sample has few twice, have keys of rare words."""
+    random.seed(16)
+    text = lambda i: " ".join([f"c{random.randrange(12)}" for _ in range(60)] + [f"r{i}x{k}" for k in range(30)])
+    told, star = starred(spark, [(i, text(i)) for i in range(400)])
+    shared = told.select(jaccard.F.explode("home").alias("key")).groupBy("key").count().where("count > 1")
+    assert shared.count() == 0 and star.count() == 0
