@@ -323,3 +323,17 @@ def test_sentences_are_cut_without_a_pattern_compiled_for_each_row(spark):
     told = spark.createDataFrame([(" One.  Two!\n\n three \n.Four? ",), (None,), ("",)], "t string").select(text.sentences(F.col("t")).alias("s"))
     assert [r.s for r in told.collect()] == [["One.", "Two!", "three", ".Four?"], None, []]
     assert "split(t" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def early(n=2010):
+    """An assertive, then more on another topic than the reference keeps, then what contradicts the first."""
+    lines = ["The walnut crane permit invoice arrived with 7 boxes."] + ["The turbine lathe warranty invoice came with 9 boxes."] * n + ["We never approved the walnut crane permit."]
+    return [("u0", "", i, t) for i, t in enumerate(lines)]
+
+
+def test_no_assertive_is_too_early_for_a_pair(spark):
+    told = early()
+    found = updates.events(incoming(spark, told).withColumn("seq", F.col("arrival")))
+    want = [("u0", len(told) - 1, 0, told[-1][3], told[0][3], "assertive")]
+    assert rows(updates.conflicts(found, updates.chains(found)), *PAIR) == want
+    assert updates.conflicts(found, updates.chains(found), keep=2000).count() == 0
