@@ -337,3 +337,11 @@ def test_no_assertive_is_too_early_for_a_pair(spark):
     want = [("u0", len(told) - 1, 0, told[-1][3], told[0][3], "assertive")]
     assert rows(updates.conflicts(found, updates.chains(found)), *PAIR) == want
     assert updates.conflicts(found, updates.chains(found), keep=2000).count() == 0
+
+
+def test_no_assertive_of_an_earlier_scan_is_too_early_for_a_pair(spark, store):
+    told = early()
+    for n, part in enumerate((told[:1000], told[1000:])):
+        stream.append_batch(store, incoming(spark, part), n)
+        standing.scan(store, n)
+    assert rows(standing.conflicts(store, 1), *PAIR) == [("u0", len(told) - 1, 0, told[-1][3], told[0][3], "assertive")]
