@@ -345,3 +345,13 @@ def test_no_assertive_of_an_earlier_scan_is_too_early_for_a_pair(spark, store):
         stream.append_batch(store, incoming(spark, part), n)
         standing.scan(store, n)
     assert rows(standing.conflicts(store, 1), *PAIR) == [("u0", len(told) - 1, 0, told[-1][3], told[0][3], "assertive")]
+
+
+def test_a_search_shows_the_conflict_with_an_early_assertive(spark):
+    told = incoming(spark, early())
+    messages = told.select("user_id", "session_id", F.col("arrival").alias("seq"), "role", "ts", "content")
+    asked = spark.createDataFrame([(1, "u0", "Who approved the walnut crane permit today?")], "query_id int, user_id string, query string")
+    from anamnesis.plans.search import Options, search
+
+    got = {r.id: r.content for r in search(asked, messages, Options(top_k=5)).collect()}
+    assert len(got) == 5 and "arrived with 7 boxes" in got["conflict-0"]
