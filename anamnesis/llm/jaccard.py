@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows
+from .common import SLICE, batches_of, materialize, rows
 from .components import components
 from .simhash import SIMILAR, digest, renamed, rolled, sent, shingles, text_words
 from .tokens import MIX, STEP, mixed
@@ -188,20 +188,22 @@ def prints(documents: DataFrame, size: int, p: int, q: int, often=None) -> DataF
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest")}
-            out = []
-            for (text,) in rows(batch, "text"):
-                words = text_words(text)
-                h = np.unique(rolled(words, size))
-                home = guest = np.zeros(0, np.int64)
-                if len(h):
-                    home, guest = keys_of(h, p, q) if often is None else (prefix(words, size, p, q, often.value), guest)
-                sums = [mixed(h * MIX).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(h + STEP), initial=np.uint64(0))]
-                out.append((len(h), *(int(s.astype(np.int64)) for s in sums), mark(h), home, guest))
-            n, h1, h2, marks, home, guest = zip(*out) if out else [()] * 6
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([at["doc_id"].cast(pa.int64()), at["digest"], *(pa.array(x, pa.int64()) for x in (n, h1, h2)), *(pa.array(x, lists) for x in (marks, home, guest))], ["doc_id", "digest", "n", "h1", "h2", "mark", "home", "guest"])
+        lists = pa.list_(pa.int64())
+        for whole in batches:
+            # What is made of a slice is sent before the next.
+            for start in range(0, whole.num_rows, SLICE):
+                batch, out = whole.slice(start, SLICE), []
+                at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest")}
+                for (text,) in rows(batch, "text"):
+                    words = text_words(text)
+                    h = np.unique(rolled(words, size))
+                    home = guest = np.zeros(0, np.int64)
+                    if len(h):
+                        home, guest = keys_of(h, p, q) if often is None else (prefix(words, size, p, q, often.value), guest)
+                    sums = [mixed(h * MIX).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(h + STEP), initial=np.uint64(0))]
+                    out.append((len(h), *(int(s.astype(np.int64)) for s in sums), mark(h), home, guest))
+                n, h1, h2, marks, home, guest = zip(*out)
+                yield pa.RecordBatch.from_arrays([at["doc_id"].cast(pa.int64()), at["digest"], *(pa.array(x, pa.int64()) for x in (n, h1, h2)), *(pa.array(x, lists) for x in (marks, home, guest))], ["doc_id", "digest", "n", "h1", "h2", "mark", "home", "guest"])
 
     schema = "doc_id bigint, digest string, n bigint, h1 bigint, h2 bigint, mark array<bigint>, home array<bigint>, guest array<bigint>"
     return documents.select("doc_id", digest(F.col("text")).alias("digest"), "text").mapInArrow(run, schema)
@@ -399,11 +401,13 @@ def joined(documents: DataFrame, size: int = SHINGLE, like: tuple[int, int] = LI
     p, q = like
     if not 0 < p <= q:
         raise ValueError("a similarity is over 0 and at most 1")
-    told = materialize(prints(documents, size, p, q, often).withColumn("row", F.monotonically_increasing_id()), "jaccard-prints")
+    with batches_of(documents.sparkSession):
+        told = materialize(prints(documents, size, p, q, often).withColumn("row", F.monotonically_increasing_id()), "jaccard-prints")
     kinds = told.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.min("row").alias("node"))
     kinds = materialize(kinds, "jaccard-kinds")
     star = stars(told, kinds, p, q, few)
-    found = differences(star, kinds, documents, size, p, q)
+    with batches_of(documents.sparkSession):
+        found = differences(star, kinds, documents, size, p, q)
     links = found.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return told, kinds, materialize(links.unionByName(meet(from_the_centre(found), p, q)), "jaccard-links")
 
